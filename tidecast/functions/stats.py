@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecast.session import materialise
+
 
 def ratio(num: Column, den: Column) -> Column:
     """num/den, null when den is 0 or null."""
@@ -45,10 +47,11 @@ def grouped_quantiles(
     """Exact linear-interpolated quantiles per key, also when one key holds most rows.
 
     ``percentile`` merges a key's whole value map in one task. Here equal values are
-    first counted (map-side), then each key's value range is cut into ``bins`` counted
-    cells, and only the cells that hold a wanted rank are ordered.
+    first counted (map-side) into a written table, then each key's value range is cut into
+    ``bins`` counted cells, and only the cells that hold a wanted rank are ordered.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    counted = materialise(counted, "quantile-counts")
     span = counted.groupBy(*keys).agg(
         F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__total")
     )

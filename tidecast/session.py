@@ -21,6 +21,7 @@ def local_session(app: str = "tidecast", cpus: str | None = None) -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
