@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast import rules
@@ -74,9 +75,10 @@ def ratio_summary(r: DataFrame) -> DataFrame:
 def holiday_aggregate(summary: DataFrame) -> DataFrame:
     """Mean over the years, weighted by the number of entities; periods that look fully
     closed (no data) are left out."""
-    dead = summary.where("phase = 'holiday' and pct_closed >= 99 and impact_open is null").select(*PERIOD)
+    dead = (F.col("phase") == "holiday") & (F.col("pct_closed") >= 99) & F.col("impact_open").isNull()
+    any_dead = F.max(F.when(dead, 1).otherwise(0)).over(W.partitionBy(*PERIOD))
     return (
-        summary.join(dead, PERIOD, "left_anti")
+        summary.withColumn("__dead", any_dead).where("__dead = 0")
         .groupBy(F.col("period_type").alias("holiday_type"), "phase", "offset")
         .agg((F.sum(F.col("impact") * F.col("n_total")) / F.sum("n_total")).alias("impact"))
     )
