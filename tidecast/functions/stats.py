@@ -41,44 +41,37 @@ def corr_safe(x: Column, y: Column) -> Column:
     return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def grouped_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 512
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, also when one key holds most rows.
-
-    ``percentile`` merges a key's whole value map in one task. Here equal values are
-    first counted (map-side) into a written table, then each key's value range is cut into
-    ``bins`` counted cells, and only the cells that hold a wanted rank are ordered.
+def order_stats(df: DataFrame, keys: list[str], value: str, ranks: dict, bins: int = 512) -> DataFrame:
+    """Exact values at 0-based ranks per key, also when one key holds most rows.
+
+    ``ranks`` maps a name to a function of the group's size column. ``percentile`` merges a
+    key's whole value map in one task. Here equal values are first counted (map-side) into a
+    written table, then each key's value range is cut into ``bins`` counted cells, and only
+    the cells that hold a wanted rank are ordered. Also returns the size as ``__total``.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    counted = materialise(counted, "quantile-counts")
+    counted = materialise(counted, "value-counts")
     span = counted.groupBy(*keys).agg(
         F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__total")
     )
-    same = _same(keys, "c", "s")
     cell = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
         F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)
     )
     placed = (
         counted.alias("c")
-        .join(span.alias("s"), same)
+        .join(span.alias("s"), _same(keys, "c", "s"))
         .select(*[F.col(f"c.{k}").alias(k) for k in keys], F.col(value), "__n", "__total",
                 cell.cast("long").alias("__cell"))
     )
     cells = placed.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__m"), F.max("__total").alias("__total"))
     before = W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0)))
-    ranks = []
-    for p in probs.values():
-        pos = F.lit(p) * (F.col("__total") - 1)
-        ranks += [F.floor(pos), F.ceil(pos)]
+    wanted_ranks = {n: f(F.col("__total")) for n, f in ranks.items()}
     hit = F.lit(False)
-    for r in ranks:
+    for r in wanted_ranks.values():
         hit = hit | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__m")))
     wanted = cells.where(hit).select(*keys, "__cell", "__before")
-    inside = (
-        W.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    )
+    inside = W.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     rows = (
         placed.alias("c")
         .join(wanted.alias("s"), _same([*keys, "__cell"], "c", "s"))
@@ -86,16 +79,26 @@ def grouped_quantiles(
                 F.col(value), "__n", "__total", "__before")
         .withColumn("__from", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     )
-    aggs = []
+    picks = [
+        F.max(F.when((r >= F.col("__from")) & (r < F.col("__from") + F.col("__n")), F.col(value))).alias(n)
+        for n, r in wanted_ranks.items()
+    ]
+    return rows.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, safe for hot keys (see order_stats)."""
+    ranks = {}
+    for name, p in probs.items():
+        ranks[f"__{name}_lo"] = lambda t, p=p: F.floor(F.lit(p) * (t - 1))
+        ranks[f"__{name}_hi"] = lambda t, p=p: F.ceil(F.lit(p) * (t - 1))
+    out = order_stats(df, keys, value, ranks)
+    cols = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("__total") - 1)
-        at = lambda r: F.max(
-            F.when((r >= F.col("__from")) & (r < F.col("__from") + F.col("__n")), F.col(value))
-        )
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    return rows.groupBy(*keys).agg(*aggs)
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return out.select(*keys, *cols)
 
 
 def _same(keys: list[str], a: str, b: str) -> Column:
