@@ -785,7 +785,7 @@ cte(
 @query(
     "fc_chain_blend",
     with_(
-        """SELECT h.entity, t.chain, CAST(h.date AS VARCHAR) AS date, s.hour, round(w, 4) AS own_weight, round(daily, 4) AS daily, greatest(0.0, round_even(daily * s.ratio, 0)) AS forecast, method FROM (
+        """SELECT h.entity, t.chain, CAST(h.date AS VARCHAR) AS date, s.hour, round(t.w, 4) AS own_weight, round(daily, 4) AS daily, greatest(0.0, round_even(daily * s.ratio, 0)) AS forecast, method FROM (
          SELECT e.*, CASE WHEN chain_avg IS NOT NULL THEN w * own_avg + (1 - w) * chain_avg * coalesce(m.multiplier, 1) ELSE own_avg END * CASE WHEN e.is_holiday THEN e.holiday_impact ELSE 1 END AS daily,
            CASE WHEN chain_avg IS NOT NULL THEN 'CHAIN_BLEND' ELSE 'OWN_DATA_ONLY' END AS method FROM (SELECT z.entity, z.date, z.is_holiday, z.holiday_impact, tg.chain, tg.own_avg, tg.w, tg.chain_avg FROM hz z JOIN tg ON tg.entity = z.entity) e
            LEFT JOIN mult m ON m.chain = e.chain AND m.wd = isodow(e.date)) h JOIN tg t ON t.entity = h.entity
