@@ -501,7 +501,7 @@ cte(
     "ap4",
     """SELECT *, CASE WHEN correction_factor IS NOT NULL AND forecast > 0 THEN greatest(0.0, round_even(least(greatest(a7, forecast * (1 - sp)), forecast * (1 + sp)), 0)) ELSE forecast END AS corrected FROM (
   SELECT *, CASE WHEN abs(anchor - 1) > 0.05 AND abs(correction_factor - 1) < 0.03 THEN a6 * (1 - least(0.3, last_mape / 300)) + forecast * anchor * least(0.3, last_mape / 300) ELSE a6 END AS a7,
-   CASE WHEN last_mape > 200 THEN 0.85 WHEN is_special_event THEN 0.50 WHEN last_mape > 100 THEN 0.70 WHEN last_mape > 50 THEN 0.35 ELSE 0.40 END AS sp FROM ap3)""",
+   CAST(CASE WHEN last_mape > 200 THEN 0.85 WHEN is_special_event THEN 0.50 WHEN last_mape > 100 THEN 0.70 WHEN last_mape > 50 THEN 0.35 ELSE 0.40 END AS DOUBLE) AS sp FROM ap3)""",
     ["ap3"],
 )
 
@@ -672,16 +672,16 @@ def item_state(spark, sf):
     return I.once(spark, sf, "item-state", lambda: N.item_step(g.where(f"date >= date'{SPLIT}'"), keys, first, 0.5, 1.5))
 
 
-@query("ln_item", with_("SELECT entity, item, round(overall_bias, 4) AS overall_bias, round(correction_factor, 4) AS correction_factor, round(last_mape, 4) AS last_mape FROM itst", "itst"))
+@query("ln_item", with_("SELECT entity, item, round(overall_bias, 7) AS overall_bias, round(correction_factor, 7) AS correction_factor, round(last_mape, 7) AS last_mape FROM itst", "itst"))
 def ln_item(spark, sf):
-    return rounded(item_state(spark, sf), "overall_bias", "correction_factor", "last_mape")
+    return rounded(item_state(spark, sf), "overall_bias", "correction_factor", "last_mape", n=7)
 
 
 @query(
     "ln_item_apply",
     with_(
         f"""SELECT g.entity, CAST(g.date AS VARCHAR) AS date, g.item, g.pred AS forecast, CASE WHEN s.correction_factor IS NOT NULL AND g.pred > 0 THEN greatest(0.0, round_even(least(greatest(
-          g.pred * s.correction_factor - CASE WHEN abs(w.value) > 2 THEN w.value * 0.5 ELSE 0 END, g.pred * 0.7), g.pred * 1.3), 0)) ELSE g.pred END AS corrected
+          g.pred * s.correction_factor - CASE WHEN abs(w.value) > 2 THEN w.value * 0.5 ELSE 0 END, g.pred * 0.7::DOUBLE), g.pred * 1.3::DOUBLE), 0)) ELSE g.pred END AS corrected
         FROM grp_led g LEFT JOIN itst s ON s.entity = g.entity AND s.item = g.item LEFT JOIN (SELECT entity, dayname(date) AS weekday, 0.3 * avg(pred - actual) AS value FROM grp_led WHERE pred >= 0 GROUP BY ALL HAVING count(*) >= 3) w
         ON w.entity = g.entity AND w.weekday = dayname(g.date) WHERE g.pred IS NOT NULL""",
         "grp_led", "itst",
