@@ -176,3 +176,22 @@ def detail(ledger: DataFrame, entity: str, n: int = 200) -> DataFrame:
         F.desc("date"), F.asc_nulls_last("shift"), F.asc_nulls_last("hour"), F.desc("run_date")
     ).limit(n)
 
+
+
+def asof_baseline(ledger: DataFrame, factors: DataFrame, divisor: float) -> DataFrame:
+    """Holiday rows rebuilt from a nearby normal day times the holiday factor.
+
+    The baseline is the day total of the same weekday one week before, else one week after,
+    else two weeks before; without one, the current total is scaled by factor / divisor.
+    factors: date, factor. Candidate days unfold into rows, so the lookup is an equi join."""
+    total = ledger.groupBy(*DAY_KEYS).agg(F.sum("pred").alias("total")).where("total > 0")
+    hol = total.join(F.broadcast(factors), "date")
+    offs = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(o).alias("o")) for i, o in enumerate((-7, 7, -14))])
+    cand = hol.select("entity", "date", F.inline(offs)).withColumn("base_date", F.expr("date_add(date, o)"))
+    near = total.select("entity", F.col("date").alias("base_date"), F.col("total").alias("base"))
+    best = cand.join(near, ["entity", "base_date"]).groupBy(*DAY_KEYS).agg(F.min_by("base", "rank").alias("base"))
+    new = hol.join(best, DAY_KEYS, "left").select(
+        *DAY_KEYS, (F.coalesce(F.col("base") * F.col("factor"), F.col("total") * F.col("factor") / divisor) / F.col("total")).alias("k"),
+    )
+    j = ledger.join(new, DAY_KEYS, "left")
+    return j.withColumn("pred", F.when(F.col("k").isNotNull(), F.bround(F.col("pred") * F.col("k"), 0)).otherwise(F.col("pred"))).drop("k")

@@ -112,6 +112,8 @@ def seasonal_forecast(day: DataFrame, horizon: DataFrame, min_days: int = 14) ->
 
     names = [*f, "trend"]
     train = _assemble(frame(day.where("guests > 0")).withColumn("y", F.col("guests") / F.col("level")), names)
+    if train.isEmpty():
+        return horizon.select("*", F.lit(None).cast("double").alias("forecast")).where("false")
     model = LinearRegression(labelCol="y", regParam=0.01).fit(train)
     out = model.transform(_assemble(frame(horizon), names))
     return out.withColumn("forecast", F.greatest(F.lit(0.0), F.col("prediction") * F.col("level"))).select(*horizon.columns, "forecast")
@@ -132,6 +134,8 @@ def global_forecast(day: DataFrame, cal: DataFrame, horizon: DataFrame, min_days
     w = W.partitionBy("entity").orderBy("date")
     train = full.join(ok, "entity").withColumn("lag_rel", F.lag("guests", 7).over(w) / F.col("level")).where("lag_rel is not null")
     train = cyclic(train.join(c, "date")).withColumn("y", F.col("guests") / F.col("level"))
+    if train.isEmpty():  # too few suitable entities: no forecast from this source
+        return horizon.select("entity", "date", F.lit(None).cast("double").alias("forecast")).where("false")
     model = gbt(label="y").fit(_assemble(train, names))
     h = cyclic(horizon.select("entity", "date").join(ok, "entity").join(last, "entity").join(c, "date")).withColumn("lag_rel", F.col("lag") / F.col("level"))
     out = model.transform(_assemble(h, names))
@@ -169,7 +173,11 @@ def meta_forecast(features: DataFrame, future: DataFrame, cols: list[str], ctx:
     hold = predict(b, predict(a, late, "b1"), "b2").drop("features")
     names = ["b1", "b2", *ctx]
     enough = hold.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
-    meta = gbt(label, iters=10, depth=3, features="meta").fit(_assemble(hold.join(enough, "entity", "left_semi"), names, "meta"))
+    learn = _assemble(hold.join(enough, "entity", "left_semi"), names, "meta")
+    if learn.isEmpty():  # nothing to learn the second level from: mean of the bases
+        both = predict(b, predict(a, _assemble(future, cols), "b1"), "b2").drop("features")
+        return both.withColumn("forecast", (F.col("b1") + F.col("b2")) / 2)
+    meta = gbt(label, iters=10, depth=3, features="meta").fit(learn)
     out = predict(b, predict(a, _assemble(future, cols), "b1"), "b2").drop("features")
     return predict(meta, _assemble(out, names, "meta"), "forecast").drop("meta")
 

@@ -1007,3 +1007,24 @@ def bt_holdout(spark, sf):
     return rounded(E.holdout(I.daily(spark, sf)), "mae", "rmse", "avg_daily", "r2", "mape", "weighted_mae")
 
 
+
+
+_FACT = "CASE holiday_type WHEN 'LIBERATION_DAY' THEN 1.7::DOUBLE WHEN 'LABOR_DAY' THEN 1.7::DOUBLE WHEN 'NATIONAL_DAY' THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END"
+cte("asof_tot", "SELECT entity, date, sum(pred) AS total FROM ledger GROUP BY ALL HAVING sum(pred) > 0", ["ledger"])
+
+
+@query(
+    "jn_asof_baseline",
+    with_(
+        f"""SELECT l.entity, CAST(l.date AS VARCHAR) AS date, l.shift, CASE WHEN k.k IS NOT NULL THEN round_even(l.pred * k.k, 0) ELSE l.pred END AS pred FROM ledger l LEFT JOIN (
+        SELECT h.entity, h.date, coalesce(coalesce(a.total, b.total, c.total) * f, h.total * f / 0.883::DOUBLE) / h.total AS k FROM (SELECT t.*, {_FACT} AS f FROM asof_tot t JOIN cal c ON c.date = t.date AND c.holiday_type IS NOT NULL) h
+          LEFT JOIN asof_tot a ON a.entity = h.entity AND a.date = h.date - 7 LEFT JOIN asof_tot b ON b.entity = h.entity AND b.date = h.date + 7 LEFT JOIN asof_tot c ON c.entity = h.entity AND c.date = h.date - 14) k
+        ON k.entity = l.entity AND k.date = l.date""",
+        "ledger", "asof_tot", "cal",
+    ),
+)
+def jn_asof_baseline(spark, sf):
+    t = F.col("holiday_type")
+    f = F.when(t.isin("LIBERATION_DAY", "LABOR_DAY"), 1.7).when(t == "NATIONAL_DAY", 1.5).otherwise(0.5)
+    factors = I.calendar(spark, sf).where(t.isNotNull()).select("date", f.alias("factor"))
+    return L.asof_baseline(ledger(spark, sf).select("entity", "date", "shift", "pred"), factors, 0.883)

@@ -23,10 +23,11 @@ def dedup_txn(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("open_time", delay).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def hourly(stream: DataFrame, delay: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Counts and guests per entity and hour (or sliding window), in append mode."""
+def hourly(stream: DataFrame, delay: str | None = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts and guests per entity and hour (or sliding window), in append mode. ``delay``
+    None keeps the watermark the stream already has, as behind :func:`dedup_txn`."""
     win = F.window("open_time", "3 hours" if slide else "1 hour", slide)
-    g = stream.withWatermark("open_time", delay).groupBy(win, "entity")
+    g = (stream.withWatermark("open_time", delay) if delay else stream).groupBy(win, "entity")
     return g.agg(F.count("*").alias("n"), F.sum("guests").alias("guests")).select(
         F.col("window.start").alias("start"), F.col("window.end").alias("end"), "entity", "n", "guests")
 
