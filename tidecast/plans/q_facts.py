@@ -377,7 +377,7 @@ _KIND = "CASE WHEN isodow(date) >= 6 THEN 'weekend' ELSE 'weekday' END"
 def _kinds(src: str, col: str) -> str:
     """Rows of an entity that has one day kind only stand for both kinds."""
     return f"""SELECT entity, unnest(CASE WHEN count(DISTINCT day_kind) OVER (PARTITION BY entity) = 1
-    THEN ['weekday', 'weekend'] ELSE [day_kind] END) AS day_kind, {col}, round(ratio, 6) AS ratio FROM {src}"""
+    THEN ['weekday', 'weekend'] ELSE [day_kind] END) AS day_kind, {col}, round(ratio, 9) AS ratio FROM {src}"""
 
 
 cte(
@@ -392,7 +392,7 @@ cte(
 
 @query("agg_hour_ratio", with_(_kinds("hour_share", "hour"), "hour_share"))
 def agg_hour_ratio(spark, sf):
-    return facts.hour_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    return facts.hour_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 9))
 
 
 cte(
@@ -406,7 +406,7 @@ cte(
 @query(
     "agg_wd_hour_ratio",
     with_(
-        """SELECT entity, weekday, hour, round(r / sum(r) OVER (PARTITION BY entity, weekday), 6) AS ratio FROM (
+        """SELECT entity, weekday, hour, round(r / sum(r) OVER (PARTITION BY entity, weekday), 9) AS ratio FROM (
         SELECT *, v / nullif(sum(v) OVER (PARTITION BY entity, weekday), 0) AS r FROM (
           SELECT entity, weekday, hour, sum(wg) AS v, avg(guests) AS mean FROM weighted_txn GROUP BY ALL))
         WHERE r > 0.01 AND mean >= 0.5""",
@@ -414,7 +414,7 @@ cte(
     ),
 )
 def agg_wd_hour_ratio(spark, sf):
-    return facts.weekday_hour_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    return facts.weekday_hour_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 9))
 
 
 cte(
@@ -427,7 +427,7 @@ cte(
 
 @query("agg_shift_ratio", with_(_kinds("shift_share", "shift"), "shift_share"))
 def agg_shift_ratio(spark, sf):
-    return facts.shift_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    return facts.shift_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 9))
 
 
 cte(
@@ -440,9 +440,9 @@ cte(
 )
 
 
-@query("agg_wd_shift_ratio", with_("SELECT entity, weekday, shift, round(ratio, 6) AS ratio FROM wd_shift_ratio", "wd_shift_ratio"))
+@query("agg_wd_shift_ratio", with_("SELECT entity, weekday, shift, round(ratio, 9) AS ratio FROM wd_shift_ratio", "wd_shift_ratio"))
 def agg_wd_shift_ratio(spark, sf):
-    return facts.weekday_shift_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    return facts.weekday_shift_ratio(I.txn(spark, sf)).withColumn("ratio", F.round("ratio", 9))
 
 
 cte(
@@ -455,10 +455,10 @@ cte(
 )
 
 
-@query("agg_hist_shift_ratio", with_("SELECT entity, weekday, shift, round(ratio, 6) AS ratio FROM hist_shift_ratio", "hist_shift_ratio"))
+@query("agg_hist_shift_ratio", with_("SELECT entity, weekday, shift, round(ratio, 9) AS ratio FROM hist_shift_ratio", "hist_shift_ratio"))
 def agg_hist_shift_ratio(spark, sf):
     g = facts.guest_facts(I.txn(spark, sf), by_shift=True)
-    return facts.hist_shift_ratio(g).withColumn("ratio", F.round("ratio", 6))
+    return facts.hist_shift_ratio(g).withColumn("ratio", F.round("ratio", 9))
 
 
 cte(
@@ -470,10 +470,10 @@ cte(
 )
 
 
-@query("agg_item_shift_ratio", with_("SELECT entity, item, shift, round(ratio, 6) AS ratio FROM item_shift_ratio", "item_shift_ratio"))
+@query("agg_item_shift_ratio", with_("SELECT entity, item, shift, round(ratio, 9) AS ratio FROM item_shift_ratio", "item_shift_ratio"))
 def agg_item_shift_ratio(spark, sf):
     s = facts.item_facts(item_txn(spark, sf), by_shift=True)
-    return facts.item_shift_ratio(s).withColumn("ratio", F.round("ratio", 6))
+    return facts.item_shift_ratio(s).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(
