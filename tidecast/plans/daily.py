@@ -5,6 +5,7 @@ Each stage is a composition of operators. Stages that several later ones read ar
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ class Inputs:
 
 def forecast_rows(inp: Inputs, today: str, days: int = 30) -> DataFrame:
     """Shift forecasts of the next ``days`` days for every entity that is not excluded."""
-    start = str(inp.txn.sparkSession.range(1).select(F.date_add(F.lit(today).cast("date"), 1)).first()[0])
+    start = str(dt.date.fromisoformat(today) + dt.timedelta(days=1))
     day = materialise(facts.daily(inp.txn), "daily-facts")
     cal = inp.calendar
     prof = materialise(profile.report(day, cal, today), "profiles")
