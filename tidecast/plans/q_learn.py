@@ -131,9 +131,9 @@ def keys2(spark, sf):
 def _key_query(name, scopes):
     inn = ", ".join(f"'{s}'" for s in scopes)
 
-    @query(name, with_(f"SELECT entity, scope, key, round(value, 4) AS value, count FROM keys2 WHERE scope IN ({inn})", "keys2"))
+    @query(name, with_(f"SELECT entity, scope, key, round(value, 7) AS value, count FROM keys2 WHERE scope IN ({inn})", "keys2"))
     def run(spark, sf):
-        return rounded(keys2(spark, sf).where(F.col("scope").isin(*scopes)), "value")
+        return rounded(keys2(spark, sf).where(F.col("scope").isin(*scopes)), "value", n=7)
 
     return run
 
@@ -281,14 +281,14 @@ _DIR = """CASE WHEN len(bias_history) >= 5 THEN CASE WHEN len(list_filter(bias_h
 @query(
     "ln_context",
     with_(
-        f"""SELECT k.entity, key, round(value, 4) AS value, s.dir AS bias_direction FROM keys2 k LEFT JOIN (SELECT entity, {_DIR} AS dir FROM state) s ON s.entity = k.entity WHERE scope = 'context'""",
+        f"""SELECT k.entity, key, round(value, 7) AS value, s.dir AS bias_direction FROM keys2 k LEFT JOIN (SELECT entity, {_DIR} AS dir FROM state) s ON s.entity = k.entity WHERE scope = 'context'""",
         "keys2", "state",
     ),
 )
 def ln_context(spark, sf):
     s = state(spark, sf).select("entity", N.bias_direction(F.col("bias_history")).alias("bias_direction"))
     k = keys2(spark, sf).where("scope = 'context'").select("entity", "key", "value")
-    return rounded(k.join(s, "entity", "left"), "value")
+    return rounded(k.join(s, "entity", "left"), "value", n=7)
 
 
 for _h in (1, 2):
