@@ -39,13 +39,13 @@ def test_dates_and_status(spark):
 
 def test_codes_and_names(spark):
     assert col(spark, ["01VN1234", "9876543", "AB"], clean.ext_code) == ["1234", "6543", "AB"]
-    assert col(spark, ["Phở-Kichi KingBBQ  Đường"], clean.name_norm) == ["pho kichi king bbq duong"]
+    assert col(spark, ["Phở-Lotus KingBBQ  Đường"], clean.name_norm) == ["pho lotus king bbq duong"]
 
 
 def test_chain_prefers_brand_code_then_list_order(spark):
-    df = spark.createDataFrame([("GogiHouse Center", None), ("Gogi House", "ss"), ("Other", None)], "restaurant_name string, brand_code string")
-    got = [r["chain"] for r in readers.chain_of(df, {"SS": "Seoul"}, ["Gogi House", "Gogi"]).collect()]
-    assert got == ["Gogi House", "Seoul", None]
+    df = spark.createDataFrame([("BlueHouse Center", None), ("Blue House", "ss"), ("Other", None)], "restaurant_name string, brand_code string")
+    got = [r["chain"] for r in readers.chain_of(df, {"SS": "South"}, ["Blue House", "Blue"]).collect()]
+    assert got == ["Blue House", "South", None]
 
 
 def test_cancelled(spark):
