@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidecast.llm import host_rules
+from tidecast.llm import bottom_k, host_rules
 from tidecast.llm.words import table
 
 QUERIES = {
+    "op4_bottom_k": lambda spark, sf_dir: bottom_k.query(table(spark, sf_dir, "documents")),
     "op10_host_quality": lambda spark, sf_dir: host_rules.query(table(spark, sf_dir, "documents")),
 }
 ORACLES = {"op10_host_quality": host_rules.ORACLE}
