@@ -4,9 +4,9 @@
    collected and sent, however many items there are.
 2. One pass over whole texts finds every 3-word run of a block's items. Runs that lie near each
    other form a passage; it keeps the run numbers and the item words around them as numbers.
-3. Runs are counted over all passages of all documents. An item's seeds are its rarest runs (two
-   thirds, 8 at least): relative to the item, so that a passage copied into a third of all
-   documents keeps its seeds.
+3. Runs are counted over all passages of all documents. An item's seeds are its rare runs, those
+   seen at most ``COMMON`` times as often as its median run: relative to the item, so that a passage
+   copied into a third of all documents keeps its seeds.
 4. Passages join items at the seeds. The join is on seeds, with one row per passage and item.
 5. A local alignment of words (match 2, mismatch -1, gap -1) between passage and item gives
    score / (2 * words of the item); from ``LEAST_SCORE`` on, the document holds the item.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidecast.llm.words import whole
 from tidecast.session import materialise
 
-RUN, LEAST_SCORE, BLOCK_WORDS = 3, 0.35, 500_000
+RUN, LEAST_SCORE, COMMON, BLOCK_WORDS = 3, 0.35, 20, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 PASSAGE = "doc_id long, text_hash long, first long, runs array<int>, words array<int>"
@@ -113,7 +113,7 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
 
 
 def seeds(found: DataFrame, items: Items) -> DataFrame:
-    """(run, k): the rarest runs of each item, k being the item's place in the block."""
+    """(run, k): the rare runs of each item, k being the item's place in the block."""
     spark = found.sparkSession
     at = {int(c): i for i, c in enumerate(items.codes)}
     rows = [(at[c], k) for k, (_, w) in enumerate(items.items) for c in set(items.runs_of(w))]
@@ -121,9 +121,8 @@ def seeds(found: DataFrame, items: Items) -> DataFrame:
     seen = found.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c"))
     # at most as many rows as the block has runs
     runs = runs.join(F.broadcast(seen), "run", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    lists = runs.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "run"))).alias("o"))
-    most = F.greatest(F.lit(8), F.ceil(F.size("o") * 2 / 3).cast("int"))
-    return lists.select("k", F.explode(F.slice("o", F.lit(1), most)).alias("x")).select("k", "x.run")
+    middle = runs.groupBy("k").agg(F.greatest(F.median("c"), F.lit(1)).alias("middle"))
+    return runs.join(middle, "k").where(F.col("c") <= COMMON * F.col("middle")).select("k", "run")
 
 
 def align(item: list[list[int]], text: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
