@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, host_rules
+from tidecast.llm import align_leaks, bottom_k, flow_mix, host_rules
 from tidecast.llm.words import table
 
 QUERIES = {
     "op1_align_leaks": lambda spark, sf_dir: align_leaks.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op3_flow_mix": lambda spark, sf_dir: flow_mix.query(table(spark, sf_dir, "documents")),
     "op4_bottom_k": lambda spark, sf_dir: bottom_k.query(table(spark, sf_dir, "documents")),
     "op10_host_quality": lambda spark, sf_dir: host_rules.query(table(spark, sf_dir, "documents")),
 }
