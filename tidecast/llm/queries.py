@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, flow_mix, host_rules, token_arrow
+from tidecast.llm import align_leaks, bottom_k, flow_mix, host_rules, secret_index, token_arrow
 from tidecast.llm.words import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_flow_mix": lambda spark, sf_dir: flow_mix.query(table(spark, sf_dir, "documents")),
     "op4_bottom_k": lambda spark, sf_dir: bottom_k.query(table(spark, sf_dir, "documents")),
     "op8_token_arrow": lambda spark, sf_dir: token_arrow.query(table(spark, sf_dir, "documents")),
+    "op9_secret_index": lambda spark, sf_dir: secret_index.query(table(spark, sf_dir, "documents")),
     "op10_host_quality": lambda spark, sf_dir: host_rules.query(table(spark, sf_dir, "documents")),
 }
 ORACLES = {"op10_host_quality": host_rules.ORACLE}
