@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, token_arrow
+from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, token_arrow, toxic_fm
 from tidecast.llm.words import table
 
 QUERIES = {
     "op1_align_leaks": lambda spark, sf_dir: align_leaks.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op3_flow_mix": lambda spark, sf_dir: flow_mix.query(table(spark, sf_dir, "documents")),
     "op4_bottom_k": lambda spark, sf_dir: bottom_k.query(table(spark, sf_dir, "documents")),
+    "op5_toxic_fm": lambda spark, sf_dir: toxic_fm.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_chat_grammar": lambda spark, sf_dir: chat_grammar.query(table(spark, sf_dir, "conversations")),
     "op8_token_arrow": lambda spark, sf_dir: token_arrow.query(table(spark, sf_dir, "documents")),
     "op9_secret_index": lambda spark, sf_dir: secret_index.query(table(spark, sf_dir, "documents")),
