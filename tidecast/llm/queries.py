@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, token_arrow, toxic_fm
+from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, tag_paths, token_arrow, toxic_fm
 from tidecast.llm.words import table
 
 QUERIES = {
     "op1_align_leaks": lambda spark, sf_dir: align_leaks.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op2_tag_paths": lambda spark, sf_dir: tag_paths.query(table(spark, sf_dir, "pages")),
     "op3_flow_mix": lambda spark, sf_dir: flow_mix.query(table(spark, sf_dir, "documents")),
     "op4_bottom_k": lambda spark, sf_dir: bottom_k.query(table(spark, sf_dir, "documents")),
     "op5_toxic_fm": lambda spark, sf_dir: toxic_fm.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
