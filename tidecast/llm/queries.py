@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, tag_paths, token_arrow, toxic_fm
+from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, tag_paths, token_arrow, toxic_fm, warc_derive
 from tidecast.llm.words import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_bottom_k": lambda spark, sf_dir: bottom_k.query(table(spark, sf_dir, "documents")),
     "op5_toxic_fm": lambda spark, sf_dir: toxic_fm.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_chat_grammar": lambda spark, sf_dir: chat_grammar.query(table(spark, sf_dir, "conversations")),
+    "op7_warc_derive": lambda spark, sf_dir: warc_derive.query(table(spark, sf_dir, "pages")),
     "op8_token_arrow": lambda spark, sf_dir: token_arrow.query(table(spark, sf_dir, "documents")),
     "op9_secret_index": lambda spark, sf_dir: secret_index.query(table(spark, sf_dir, "documents")),
     "op10_host_quality": lambda spark, sf_dir: host_rules.query(table(spark, sf_dir, "documents")),
