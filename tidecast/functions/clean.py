@@ -70,7 +70,7 @@ def not_cancelled(c: Column) -> Column:
 def ext_code(budget: Column) -> Column:
     """Short store code in a budget code: behind the four-letter prefix, else last four."""
     b = F.trim(budget)
-    return F.when(b.rlike(r"^..[\p{L}]{2}."), F.substring(b, 5, 1000)).otherwise(
+    return F.when(b.rlike(r"^..[\p{L}]{2}."), F.substr(b, F.lit(5))).otherwise(
         F.substring(b, -4, 4)
     )
 

@@ -94,6 +94,11 @@ def blend(df: DataFrame) -> DataFrame:
     return df.withColumn("combined", F.when(total > 0, F.greatest(F.lit(0.0), value / F.nullif(total, F.lit(0.0)))))
 
 
+def blend_or_zero(df: DataFrame) -> DataFrame:
+    """The blend for every row: 0 where no source has a value."""
+    return blend(df).withColumn("combined", F.coalesce("combined", F.lit(0.0)))
+
+
 def growth_adjust(df: DataFrame, today: str) -> DataFrame:
     """Weekly growth from the trend score, limited to 15 % either way."""
     days = F.datediff("date", F.lit(today).cast("date"))
@@ -218,7 +223,7 @@ def shift_split(df: DataFrame, hist: DataFrame, by_shift: DataFrame) -> DataFram
 
 def chain(df: DataFrame, today: str, long_horizon: bool = False) -> DataFrame:
     """Blend and adjust; the long horizon leaves out the trend step and stays daily."""
-    d = growth_adjust(blend(df).where("combined > 0"), today)
+    d = growth_adjust(blend_or_zero(df), today)
     d = d if long_horizon else trend_adjust(d)
     return cap_floor(holiday_factor(d))
 

@@ -12,7 +12,7 @@ from tidecast.operators.metrics import hit_abs, valid_pairs
 
 
 def prepare(ledger: DataFrame) -> DataFrame:
-    """Shift rows with errors; a ledger of hourly rows only is summed to shifts first."""
+    """Shift rows with errors; an entity's day that a run holds in hourly rows only is summed to shifts."""
     v = valid_pairs(ledger)
     shifts = v.where(F.col("shift").isin("MORNING", "EVENING"))
     cols = ["run_date", "entity", "date", "shift", "pred", "actual"]
@@ -21,8 +21,11 @@ def prepare(ledger: DataFrame) -> DataFrame:
         v.where("hour is not null").withColumn("shift", legacy).where("shift is not null")
         .groupBy("run_date", "entity", "date", "shift")
         .agg(F.sum("pred").alias("pred"), F.sum("actual").alias("actual"))
-        .where(~shifts.exists())
     )
+    keys = ["run_date", "entity", "date"]
+    there = shifts.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    hourly = hourly.join(there, same, "left_anti")
     d = shifts.select(*cols).unionByName(hourly.select(*cols))
     e = F.col("pred") - F.col("actual")
     return d.withColumns(

@@ -97,11 +97,11 @@ SYSTEM = (
 )
 
 
-def pairs(day: DataFrame, cal: DataFrame, min_rows: int = 100, min_days: int = 14, cap: int | None = None, state: DataFrame | None = None) -> DataFrame:
-    """Chat examples: 14 days of history to the next 7 days, for entities with enough rows.
-    ``cap`` keeps that many by hash order, which is stable across runs."""
-    n = day.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= max(min_rows, min_days + 7))
-    s = slide_pairs(day.join(n, "entity", "left_semi"))
+def pairs(day: DataFrame, cal: DataFrame, min_rows: int = 100, state: DataFrame | None = None) -> DataFrame:
+    """Chat examples: 14 days of history to the next 7 days, for every entity with 21 days or more.
+    A history of fewer than ``min_rows`` days over all entities gives none."""
+    enough = day.agg((F.count("*") >= min_rows).alias("enough"))
+    s = slide_pairs(day.where(enough.scalar()))
     hol = cal.where("is_holiday").agg(F.collect_set("date").alias("h"))
     s = s.withColumn("__hol", hol.scalar())
     is_hol = lambda d: F.array_contains(F.col("__hol"), d)
@@ -119,16 +119,12 @@ def pairs(day: DataFrame, cal: DataFrame, min_rows: int = 100, min_days: int = 1
     user = F.concat_ws("\n", F.concat(F.lit("Restaurant: "), F.col("entity")), note, F.lit("HISTORY"), F.array_join(past, "\n"), F.lit("TARGETS"), F.array_join(ahead, "\n"))
     reply = F.concat(F.lit("["), F.array_join(answer, ", "), F.lit("]"))
     turn = lambda role, c: F.concat(F.lit(f"<|im_start|>{role}\n"), c, F.lit("<|im_end|>"))
-    out = s.select(
+    return s.select(
         "entity", F.concat_ws("\n", turn("system", F.lit(SYSTEM)), turn("user", user), turn("assistant", reply)).alias("text"),
         F.element_at("history", -1)["date"].alias("history_end"), F.element_at("target", 1)["date"].alias("forecast_start"),
         F.element_at("target", -1)["date"].alias("forecast_end"),
         F.aggregate("target", F.lit(0.0), lambda a, x: a + x["guests"]).cast("long").alias("target_total"),
     )
-    if cap is None:
-        return out
-    h = F.md5(F.concat_ws("|", "entity", F.col("forecast_start").cast("string")))
-    return out.withColumn("__h", h).orderBy("__h").limit(cap).drop("__h")
 
 
 def split_pairs(examples: DataFrame, share: float) -> DataFrame:

@@ -494,7 +494,7 @@ cte("chain1", f"SELECT *, CASE WHEN {_TOT} > 0 THEN greatest(0, ({_VAL}) / nulli
 cte(
     "chain2",
     f"""SELECT *, CASE WHEN date > DATE '{TODAY}' THEN c1 * least(greatest(1 + trend_score / 2000 * ((date - DATE '{TODAY}') / 7), 0.85), 1.15) ELSE c1 END AS c2
-  FROM chain1 WHERE c1 > 0""",
+  FROM (SELECT * REPLACE (coalesce(c1, 0) AS c1) FROM chain1)""",
     ["chain1"],
 )
 cte(
@@ -539,19 +539,19 @@ def fc_blend(spark, sf):
 
 @query("fc_growth_adj", with_(f"SELECT {KEYS}, round(c2, 4) AS combined FROM chain2", "chain2"))
 def fc_growth_adj(spark, sf):
-    d = P.growth_adjust(P.blend(chain_input(spark, sf)).where("combined > 0"), TODAY)
+    d = P.growth_adjust(P.blend_or_zero(chain_input(spark, sf)), TODAY)
     return rounded(d.select("entity", "date", "combined"), "combined")
 
 
 @query("fc_trend_adj", with_(f"SELECT {KEYS}, round(c3, 4) AS combined FROM chain3", "chain3"))
 def fc_trend_adj(spark, sf):
-    d = P.trend_adjust(P.growth_adjust(P.blend(chain_input(spark, sf)).where("combined > 0"), TODAY))
+    d = P.trend_adjust(P.growth_adjust(P.blend_or_zero(chain_input(spark, sf)), TODAY))
     return rounded(d.select("entity", "date", "combined"), "combined")
 
 
 @query("fc_holiday_factor", with_(f"SELECT {KEYS}, round(holiday_factor, 4) AS holiday_factor, round(c4, 4) AS combined FROM chain5", "chain5"))
 def fc_holiday_factor(spark, sf):
-    d = P.trend_adjust(P.growth_adjust(P.blend(chain_input(spark, sf)).where("combined > 0"), TODAY))
+    d = P.trend_adjust(P.growth_adjust(P.blend_or_zero(chain_input(spark, sf)), TODAY))
     return rounded(P.holiday_factor(d).select("entity", "date", "holiday_factor", "combined"), "holiday_factor", "combined")
 
 
@@ -699,12 +699,12 @@ def fc_guardrail(spark, sf):
     "fc_half_day",
     with_(
         """SELECT s.entity, CAST(s.date AS VARCHAR) AS date, s.shift, c.state, CASE c.state WHEN 'CLOSED' THEN 0.0 WHEN 'HALF_DAY' THEN round_even(s.guests * 0.5, 0) ELSE s.guests END AS forecast
-        FROM (SELECT entity, date + 28 AS date, shift, guests FROM shift_day WHERE date >= DATE '2001-06-15') s LEFT JOIN closed_dates c ON c.entity = s.entity AND c.date = s.date""",
+        FROM (SELECT entity, date + 28 AS date, shift, guests FROM shift_day) s LEFT JOIN closed_dates c ON c.entity = s.entity AND c.date = s.date""",
         "shift_day", "closed_dates",
     ),
 )
 def fc_half_day(spark, sf):
-    f = I.shift_day(spark, sf).where("date >= date'2001-06-15'").select(
+    f = I.shift_day(spark, sf).select(
         "entity", F.date_add("date", 28).alias("date"), "shift", F.col("guests").alias("forecast")
     )
     return P.half_day(f, closed_dates(spark, sf))

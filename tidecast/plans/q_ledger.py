@@ -155,7 +155,7 @@ def jn_item_actuals(spark, sf):
 
 
 def two_runs(spark, sf):
-    """Two runs per week; some days of the earlier run are daily-only rows."""
+    """Runs a week apart; some days of the earlier run are daily-only rows, odd days of the later run belong to an older one."""
     a = ledger(spark, sf).select("run_date", "entity", "date", "hour", "shift", "pred", "actual", "mode")
     daily = F.dayofmonth("date") % 3 == 0
     b = ledger(spark, sf).select(
@@ -163,12 +163,14 @@ def two_runs(spark, sf):
         F.when(~daily, F.col("shift")).alias("shift"), F.col("ai_raw").alias("pred"), "actual",
         F.when(daily, "daily_only").otherwise("shift").alias("mode"),
     )
-    return a.where(F.dayofmonth("date") % 2 == 0).unionByName(b)
+    odd = F.dayofmonth("date") % 2 == 1
+    older = F.when(odd, F.date_sub("run_date", 14)).otherwise(F.col("run_date"))
+    return a.withColumn("run_date", older).unionByName(b)
 
 
 cte(
     "two_runs",
-    """SELECT run_date, entity, date, hour, shift, pred, actual, mode FROM ledger WHERE day(date) % 2 = 0
+    """SELECT CASE WHEN day(date) % 2 = 1 THEN run_date - 14 ELSE run_date END AS run_date, entity, date, hour, shift, pred, actual, mode FROM ledger
   UNION ALL SELECT run_date - 7, entity, date, hour, CASE WHEN day(date) % 3 <> 0 THEN shift END, ai_raw, actual,
     CASE WHEN day(date) % 3 = 0 THEN 'daily_only' ELSE 'shift' END FROM ledger""",
     ["ledger"],

@@ -269,7 +269,7 @@ def jn_holiday_offset(spark, sf):
 
 cte(
     "ranges",
-    """SELECT entity, date AS start, date + CAST(1 + hour % 9 AS INTEGER) AS fin FROM txn WHERE guests >= 40""",
+    """SELECT entity, date AS start, date + CAST(1 + hour % 9 AS INTEGER) AS fin FROM txn""",
     ["txn"],
 )
 
@@ -285,7 +285,7 @@ cte(
     ),
 )
 def set_merge_ranges(spark, sf):
-    t = I.txn(spark, sf).where("guests >= 40")
+    t = I.txn(spark, sf)
     per_day = t.groupBy("entity", F.col("date").alias("start")).agg(
         F.max(F.expr("date_add(date, 1 + hour % 9)")).alias("end")
     )
@@ -835,7 +835,7 @@ def schedule_by_entity(spark, sf):
     """Schedule of each entity: the strictest status of its stores."""
     from tidecast.plans.q_sources import schedule
 
-    return schedule(spark, sf).where("sap_code like '%7'").groupBy("entity", "date").agg(F.min("status").alias("status"))
+    return schedule(spark, sf).groupBy("entity", "date").agg(F.min("status").alias("status"))
 
 
 cte(
@@ -847,7 +847,7 @@ cte(
      WHEN r.closure_rate > 0.8 THEN 'rate' END AS reason
   FROM (SELECT entity, cal.date, holiday_type FROM entities, cal WHERE cal.date >= DATE '2001-08-02' AND cal.date < DATE '2001-10-01') h
   LEFT JOIN (SELECT entity, DATE '2001-09-20' AS gone FROM day GROUP BY entity HAVING max(date) < DATE '2001-07-20') USING (entity)
-  LEFT JOIN (SELECT entity, date, min(status) AS status FROM schedule WHERE sap_code LIKE '%7' GROUP BY ALL) s ON s.entity = h.entity AND s.date = CAST(h.date AS VARCHAR)
+  LEFT JOIN (SELECT entity, date, min(status) AS status FROM schedule GROUP BY ALL) s ON s.entity = h.entity AND s.date = CAST(h.date AS VARCHAR)
   LEFT JOIN closures c ON c.entity = h.entity AND c.holiday_type = h.holiday_type
   LEFT JOIN (SELECT entity, period_type, avg(CASE WHEN ratio < 0.1 THEN 1.0 ELSE 0.0 END) AS closure_rate FROM ratios WHERE phase = 'holiday'
     GROUP BY ALL) r ON r.entity = h.entity AND r.period_type = h.holiday_type) WHERE state IS NOT NULL""",

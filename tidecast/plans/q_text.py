@@ -311,7 +311,7 @@ cte(
     """SELECT entity, history_end, forecast_start, forecast_end, target_total, targets FROM (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n, len(list(date) OVER w) AS k,
    (list(date) OVER w)[14] AS history_end, (list(date) OVER w)[15] AS forecast_start, (list(date) OVER w)[21] AS forecast_end, CAST(list_sum((list(guests) OVER w)[15:21]) AS BIGINT) AS target_total,
    list_zip((list(date) OVER w)[15:21], (list(guests) OVER w)[15:21]) AS targets
-  FROM day WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)) WHERE n >= 100 AND (rn - 1) % 3 = 0 AND k = 21""",
+  FROM day WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)) WHERE (SELECT count(*) FROM day) >= 100 AND (rn - 1) % 3 = 0 AND k = 21""",
     ["day"],
 )
 _DP = "entity, CAST(history_end AS VARCHAR) AS history_end, CAST(forecast_start AS VARCHAR) AS forecast_start, CAST(forecast_end AS VARCHAR) AS forecast_end, target_total"
