@@ -29,10 +29,14 @@ def local_session(app: str = "tidecast", cpus: str | None = None) -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only in a local session (tests) a temporary folder is made where that is unset. On a cluster
+    each executor would write to its own disk there, so it is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tidecast-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
