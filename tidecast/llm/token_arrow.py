@@ -4,9 +4,10 @@ Documents are dealt out by ranges of doc_id and sorted, so that shard k holds id
 shard k + 1. A task encodes its texts, appends the end id to each, cuts the stream into sequences
 of ``SEQUENCE`` ids and writes two files in Arrow's IPC file format:
 
-* ``*.tokens.arrow``: ``ids`` fixed_size_list<uint32>[SEQUENCE] and ``mask``
-  fixed_size_list<uint8>[SEQUENCE] (1 for an id, 0 for the filling of the last sequence). Row r of
-  the file lies at a known place, so a mapped file gives any sequence without a copy.
+* ``*.tokens.arrow``: ``ids`` fixed_size_list<uint16>[SEQUENCE] (uint32 for vocabularies beyond
+  65,536) and ``mask`` fixed_size_list<bool>[SEQUENCE], one bit for each id (false for the filling
+  of the last sequence). Row r of the file lies at a known place, so a mapped file gives any
+  sequence without a copy.
 * ``*.index.arrow``: ``doc_id``, ``offset`` (ids before it in the shard), ``n_tokens``.
 
 Each attempt writes files of its own names; the manifest, one row per shard, names those that
@@ -29,6 +30,7 @@ import sys
 import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from tidecast.llm.words import whole
 from tidecast.session import fresh_path, materialise
 
-SEQUENCE, END_ID, ROWS, REMEMBERED = 2048, 0, 256, 700_000
+SEQUENCE, END_ID, ROWS, REMEMBERED = 2048, 0, 256, 1_300_000
 MANIFEST = "shard int, tokens string, index string, n_docs long, n_tokens long"
 RESULT = "doc_id long, offset long, n_tokens long, ids_crc32 long"
 
@@ -53,40 +55,74 @@ def worker_state() -> dict:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian bytes, two for each id where the vocabulary allows, else four."""
+
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    MARKS = r"[.,;:!?]*"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tokens: dict[str, list[int]] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.known: dict[str, bytes] = {}
         self.undivided = re.compile(r"\s ")
+        word = f"([{self.LETTERS}]+)({self.MARKS})"
+        self.simple = re.compile(f"{word}(?:\n{word})?")
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)]
+        # the tokenizer's own names of the blank, the line end and the letters beyond ASCII
+        self.names = {ord(c): split(c)[0][0] for c in letters}
+        self.blank, self.line = split(" ")[0][0], self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.after_line: dict[str, bytes] = {}
+        self.after_word: dict[str, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, letters: str, known: dict[str, bytes], before: str) -> bytes:
+        """A run of letters, after a blank or not, which the tokenizer never divides before its merges."""
+        ids = known.get(letters)
+        if ids is None:
+            name = before + (letters if letters.isascii() else letters.translate(self.names))
+            ids = known[letters] = self.pack([t.id for t in self.tokenizer.model.tokenize(name)])
+        return ids
 
     def piece(self, text: str) -> bytes:
-        out: list[int] = []
-        for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-            ids = self.tokens.get(token)
-            if ids is None:
-                ids = self.tokens[token] = [t.id for t in self.tokenizer.model.tokenize(token)]
-            out += ids
-        return np.array(out, dtype="<u4").tobytes()
+        """A piece that follows a blank, the blank included."""
+        m = self.simple.fullmatch(text)
+        if m is None:
+            return self.whole(" " + text)
+        first, marks, second, more = m.groups()
+        ids = self.word(first, self.known, self.blank)
+        if marks:
+            ids += self.marks(marks)
+        if second:
+            ids += self.line + self.word(second, self.after_line, "")
+            if more:
+                ids += self.marks(more)
+        return ids
+
+    def marks(self, text: str) -> bytes:
+        if text not in self.after_word:
+            self.after_word[text] = self.whole(text)
+        return self.after_word[text]
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or self.undivided.search(text):
             return self.whole(text)
-        if len(self.pieces) > REMEMBERED or len(self.tokens) > REMEMBERED:
-            self.pieces.clear()
-            self.tokens.clear()
+        for kept in (self.known, self.after_line, self.after_word):
+            if len(kept) > REMEMBERED:
+                kept.clear()
         first, *rest = text.split(" ")
-        known = self.pieces
+        known = self.known
         for p in set(rest).difference(known):
-            known[p] = self.piece(" " + p)
-        return self.piece(first) + b"".join(map(known.__getitem__, rest))
+            known[p] = self.piece(p)
+        return self.whole(first) + b"".join(map(known.__getitem__, rest))
 
 
 def encoder(path: str) -> Encoder:
@@ -101,8 +137,9 @@ def _open(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def schema(length: int, code: str) -> pa.Schema:
+    kind = pa.uint16() if code == "H" else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -111,17 +148,18 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens",
 class Shard:
     """Writes one shard's two files."""
 
-    def __init__(self, folder: str, shard: int, length: int):
-        self.shard, self.length = shard, length
+    def __init__(self, folder: str, shard: int, length: int, code: str):
+        self.shard, self.length, self.kind = shard, length, np.dtype("<u2" if code == "H" else "<u4")
+        self.schema = schema(length, code)
         self.names = [f"{folder}/{shard:06d}-{uuid.uuid4().hex}.{k}.arrow" for k in ("tokens", "index")]
         fs, place = _open(folder)
         fs.create_dir(place, recursive=True)
         self.files = [fs.open_output_stream(_open(n)[1]) for n in self.names]
-        self.out = [pa.ipc.new_file(f, s) for f, s in zip(self.files, (schema(length), INDEX), strict=True)]
+        self.out = [pa.ipc.new_file(f, s) for f, s in zip(self.files, (self.schema, INDEX), strict=True)]
         self.buffer, self.held, self.n_docs, self.n_tokens = [], 0, 0, 0
 
     def add(self, ids: list, docs: list[bytes]) -> None:
-        sizes = np.array([len(d) // 4 for d in docs], dtype=np.int64)
+        sizes = np.array([len(d) // self.kind.itemsize for d in docs], dtype=np.int64)
         offset = self.n_tokens + np.cumsum(sizes) - sizes
         self.out[1].write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(offset), pa.array(sizes)], schema=INDEX))
         self.n_docs += len(docs)
@@ -132,18 +170,18 @@ class Shard:
             self.flush()
 
     def flush(self, last: bool = False) -> None:
-        data = np.frombuffer(b"".join(self.buffer), dtype="<u4")
+        data = np.frombuffer(b"".join(self.buffer), dtype=self.kind)
         n = len(data) // self.length
         rows, rest = data[: n * self.length], data[n * self.length :]
         self.buffer, self.held = [rest.tobytes()], len(rest)
-        mask = np.ones(len(rows), np.uint8)
+        mask = np.ones(len(rows), bool)
         if last and len(rest):
-            fill = np.zeros(self.length - len(rest), "<u4")
-            rows, mask = np.concatenate([rows, rest, fill]), np.concatenate([mask, np.ones(len(rest), np.uint8), fill.astype(np.uint8)])
+            fill = np.zeros(self.length - len(rest), self.kind)
+            rows, mask = np.concatenate([rows, rest, fill]), np.concatenate([mask, np.ones(len(rest), bool), fill > 0])
         for k in range(0, len(rows), ROWS * self.length):
             part = slice(k, k + ROWS * self.length)
             cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), self.length) for x in (rows, mask)]
-            self.out[0].write_batch(pa.RecordBatch.from_arrays(cols, schema=schema(self.length)))
+            self.out[0].write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
     def close(self) -> dict:
         self.flush(last=True)
@@ -159,14 +197,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: in
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     cols = cols.withColumn("h", F.xxhash64("text"))
     cols = cols.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for b in batches:
             if b.num_rows:
-                out = out or Shard(folder, TaskContext.get().partitionId(), length)
                 coder = encoder(tokenizer)
+                out = out or Shard(folder, TaskContext.get().partitionId(), length, coder.code)
+                end = coder.pack([END_ID])
                 for k in range(0, b.num_rows, 500):
                     part = b.slice(k, 500)
                     out.add(part[0].to_pylist(), [coder.encode(t) + end for t in part[1].to_pylist()])
@@ -185,12 +223,13 @@ class TokenFile:
         self.reader = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
 
     def __getitem__(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``r``; all record batches but the last hold ROWS sequences or more."""
+        """Ids (without a copy) and mask of sequence ``r``."""
         for k in range(self.reader.num_record_batches):
             b = self.reader.get_batch(k)
             if r < b.num_rows:
                 n = b.column(0).type.list_size
-                return tuple(c.flatten().to_numpy(zero_copy_only=True)[r * n : (r + 1) * n] for c in b.columns)
+                ids, mask = (c.flatten().slice(r * n, n) for c in b.columns)
+                return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
             r -= b.num_rows
         raise IndexError(r)
 
@@ -198,8 +237,8 @@ class TokenFile:
         """The ids under the mask, batch by batch."""
         for k in range(self.reader.num_record_batches):
             b = self.reader.get_batch(k)
-            ids, mask = (c.flatten().to_numpy(zero_copy_only=True) for c in b.columns)
-            yield ids if mask.all() else ids[mask > 0]
+            ids, mask = b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten()
+            yield ids if mask.true_count == len(mask) else ids[mask.to_numpy(zero_copy_only=False)]
 
 
 def documents_of(tokens: str, index: str) -> Iterator[tuple[int | None, int, int, int]]:
@@ -207,14 +246,14 @@ def documents_of(tokens: str, index: str) -> Iterator[tuple[int | None, int, int
     fs, path = _open(index)
     with fs.open_input_file(path) as f:
         docs = pa.ipc.open_file(f).read_all()
-    stream, have, at = TokenFile(tokens).stream(), np.empty(0, "<u4"), 0
+    stream, have, at = TokenFile(tokens).stream(), np.empty(0, "<u2"), 0
     for d, offset, n in zip(*(docs[c].to_pylist() for c in docs.column_names), strict=True):
         crc, left = 0, n
         while left:
             if at == len(have):
                 have, at = next(stream), 0
             part = have[at : at + left]
-            crc = zlib.crc32(part.astype("<u4", copy=False).tobytes(), crc)
+            crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
             at, left = at + len(part), left - len(part)
         yield d, offset, n, crc
 
