@@ -38,12 +38,13 @@ SALTS = 16
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, s): the sorted distinct shingle hashes."""
-    df = docs.select(F.col(doc_id).alias("id"), words(ascii_lower(whole(text))).alias("w"))
+    """(id, t, s): hash of the text, and the sorted distinct shingle hashes."""
+    text = F.col(text)
+    df = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), words(ascii_lower(whole(text))).alias("w"))
     df = df.withColumn("h", window_hashes("w", WIDTH))
     n = F.size("w")
     s = F.when(n >= WIDTH, F.sort_array(F.array_distinct("h"))).when(n > 0, F.array(F.xxhash64("w")))
-    return df.select("id", F.coalesce(s, F.array().cast("array<bigint>")).alias("s"))
+    return df.select("id", "t", F.coalesce(s, F.array().cast("array<bigint>")).alias("s"))
 
 
 def _size_fits(a: str, b: str):
@@ -142,10 +143,11 @@ def _outside_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, t, n, component) for every row; t is the hash of its text."""
     rows = shingle_sets(docs, doc_id, text).select(
         "id",
+        "t",
         F.size("s").alias("n"),
         F.xxhash64("s").alias("f1"),
         F.xxhash64(F.lit(1), "s").alias("f2"),
@@ -188,22 +190,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .join(upper, F.col("c1") == F.col("node"), "left")
         .select("f1", "f2", "n", F.coalesce("component", "c1").alias("component"))
     )
-    out = rows.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(
+    out = rows.select("id", "t", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
+    return out.select("id", "t", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def _kept():
+    return F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull())
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row."""
+    return classify(docs, doc_id, text).select(
         F.col("id").alias(doc_id),
         F.col("n").cast("long").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        F.col("component").alias("component_id"),
+        _kept().alias("kept"),
     )
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the one with the least id. Of rows that share its id, one stays."""
-    out = near_duplicates(docs, doc_id, text)
-    out = materialise(out.where("kept").groupBy(F.col(doc_id).alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    kept = docs.join(out.select("__id"), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    if out.where("__id is not null and __n > 1").isEmpty():
+    out = classify(docs, doc_id, text).where(_kept())
+    out = materialise(out.groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.count(F.lit(1)).alias("__n")), "kept")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__t"))
+    kept = docs.join(out.select("__id", "__t"), same, "left_semi")
+    repeated = out.where("__id is not null").groupBy("__id").agg(F.sum("__n").alias("n")).where("n > 1")
+    if repeated.isEmpty():
         return kept
     return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))
 
