@@ -130,3 +130,14 @@ def test_late_rows_are_dropped_by_the_watermark(spark):
         jobs.run_to_table(jobs.hourly(jobs.dedup_txn(jobs.file_stream(spark, src, s), "10 minutes"), None), out, f"{out}-cp")
     got = {(r["start"].hour, r["n"], r["guests"]) for r in spark.read.parquet(out).collect()}
     assert got == {(8, 1, 1.0), (12, 1, 1.0)}
+
+
+def test_a_day_split_over_two_batches_is_one_day(spark):
+    src, out = fresh_path(spark, "split-src"), fresh_path(spark, "split-out")
+    s = "entity string, date date, error double"
+    for error in (10.0, 20.0):
+        spark.createDataFrame([("A", dt.date(2025, 1, 1), error)], s).coalesce(1).write.mode("append").parquet(src)
+    stream = jobs.file_stream(spark, src, spark.read.parquet(src).schema, files_per_batch=1)
+    jobs.track_bias(stream, out, f"{out}-cp")
+    row = jobs.newest_bias(spark, out).first()
+    assert (round(row["bias"], 9), row["days"]) == (4.5, 1)

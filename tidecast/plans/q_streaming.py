@@ -110,7 +110,9 @@ def st_actuals(spark, sf):
 )
 def st_bias(spark, sf):
     staged = fresh_path(spark, "staged-errors")
-    N.errors(ledger(spark, sf)).select("entity", "date", "error").write.parquet(staged)
+    # dealt out at random, so that days are split between files and between batches
+    N.errors(ledger(spark, sf)).select("entity", "date", "error").repartition(6).write.parquet(staged)
     out = fresh_path(spark, "stream-bias")
-    jobs.track_bias(jobs.file_stream(spark, staged, spark.read.parquet(staged).schema), out, f"{out}-checkpoint")
+    stream = jobs.file_stream(spark, staged, spark.read.parquet(staged).schema, files_per_batch=2)
+    jobs.track_bias(stream, out, f"{out}-checkpoint")
     return rounded(jobs.newest_bias(spark, out), "bias", n=6)

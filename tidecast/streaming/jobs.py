@@ -66,34 +66,30 @@ def read_actuals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("entity", "date", "slot").agg(F.sum("real").alias("real"))
 
 
-def fold_bias(daily: DataFrame, state: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
-    """Smoothed bias per entity over its days in order, continued from ``state``.
+def fold_bias(daily: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Smoothed bias per entity over its days in order.
 
     daily: entity, date, error (one row per day, so an entity's array is bounded)."""
     arr = F.transform(F.sort_array(F.collect_list(F.struct("date", "error"))), lambda x: x["error"])
-    g = daily.groupBy("entity").agg(arr.alias("e"), F.count("*").alias("k"))
-    if state is None:
-        g = g.withColumns({"bias": F.lit(0.0), "days": F.lit(0).cast("long")})
-    else:
-        g = g.join(state, "entity", "full").fillna(0, ["bias", "days", "k"])
-    e = F.coalesce("e", F.array().cast("array<double>"))
-    return g.select(
-        "entity", F.aggregate(e, F.col("bias"), lambda s, x: alpha * x + (1 - alpha) * s).alias("bias"), (F.col("days") + F.col("k")).alias("days"))
+    g = daily.groupBy("entity").agg(arr.alias("e"), F.count("*").alias("days"))
+    fold = F.aggregate("e", F.lit(0.0), lambda s, x: alpha * x + (1 - alpha) * s)
+    return g.select("entity", fold.alias("bias"), "days")
 
 
-def track_bias(stream: DataFrame, path: str, checkpoint: str, alpha: float = ALPHA) -> None:
-    """Keyed state as one table version per batch: batch n reads version n-1, so a repeated
-    batch gives the same version again. stream: entity, date, error."""
+def track_bias(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Sums and counts of the errors per entity and day, written under the batch id: a repeated
+    batch overwrites its own part. A day may be spread over any number of batches, and rows that
+    come late still count for their day. stream: entity, date, error."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        daily = batch.groupBy("entity", "date").agg(F.avg("error").alias("error"))
-        old = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id > 0 else None
-        fold_bias(daily, old, alpha).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        sums = batch.where("error is not null").groupBy("entity", "date")
+        sums = sums.agg(F.sum("error").alias("total"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     _run_batches(stream, each, checkpoint)
 
 
-def newest_bias(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.parquet(path)
-    return t.where(F.col("version") == t.agg(F.max("version")).scalar()).drop("version")
+def newest_bias(spark: SparkSession, path: str, alpha: float = ALPHA) -> DataFrame:
+    """The bias over all that has arrived: days are put together from their parts, then folded."""
+    days = spark.read.parquet(path).groupBy("entity", "date").agg((F.sum("total") / F.sum("n")).alias("error"))
+    return fold_bias(days, alpha)
