@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidecast.functions import stats
 from tidecast.functions.stats import grouped_quantiles
 from tidecast.operators import facts, features, profile
 from tidecast.operators import calendar as C
@@ -90,3 +91,24 @@ def test_grouped_quantiles_equal_numpy(spark, hot):
     for r in q.collect():
         for name, p in (("p5", 5), ("p50", 50), ("p95", 95)):
             assert r[name] == pytest.approx(np.percentile(data[r["k"]], p), rel=1e-9, abs=1e-12)
+
+
+def test_no_cell_is_crowded_by_outliers_and_heavy_tails(spark):
+    """Exact ranks, and no task orders more than a small share of a key's values."""
+    rng = np.random.default_rng(1)
+    sets = {
+        "outlier": np.append(rng.random(20_000) * 3, 5000.0),
+        "tail": np.exp(rng.normal(0, 4, 20_000)),
+        "repeated": np.append(np.full(20_000, 7.0), rng.random(500)),
+    }
+    rows = [(k, float(v)) for k, x in sets.items() for v in x]
+    df = spark.createDataFrame(rows, "k string, v double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    got = stats.grouped_quantiles(df, ["k"], "v", {"q1": 0.25, "m": 0.5, "q9": 0.9})
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for r in got.collect():
+        assert np.allclose([r.q1, r.m, r.q9], np.quantile(sets[r.k], [0.25, 0.5, 0.9]), rtol=1e-12)
+    for r in stats.deal_out(df, ["k"], "v", 128).groupBy("k", "__cell").count().collect():
+        assert r["count"] <= 0.03 * len(np.unique(sets[r.k])) + 2

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecast.session import materialise
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -41,28 +40,31 @@ def corr_safe(x: Column, y: Column) -> Column:
     return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def order_stats(df: DataFrame, keys: list[str], value: str, ranks: dict, bins: int = 512) -> DataFrame:
-    """Exact values at 0-based ranks per key, also when one key holds most rows.
-
-    ``ranks`` maps a name to a function of the group's size column. ``percentile`` merges a
-    key's whole value map in one task. Here equal values are first counted (map-side) into a
-    written table, then each key's value range is cut into ``bins`` counted cells, and only
-    the cells that hold a wanted rank are ordered. Also returns the size as ``__total``.
-    """
+def deal_out(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """Counted distinct values with their cell: (keys, value, __n, __total, __cell)."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    counted = materialise(counted, "value-counts")
-    span = counted.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__total")
-    )
-    cell = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
-        F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)
-    )
-    placed = (
+    marks = F.percentile_approx(value, [k / bins for k in range(1, bins)], 50 * bins)
+    span = counted.groupBy(*keys).agg(marks.alias("__marks"), F.sum("__n").alias("__total"))
+    cell = F.size(F.filter("__marks", lambda x: x < F.col(value)))
+    return (
         counted.alias("c")
         .join(span.alias("s"), _same(keys, "c", "s"))
         .select(*[F.col(f"c.{k}").alias(k) for k in keys], F.col(value), "__n", "__total",
                 cell.cast("long").alias("__cell"))
     )
+
+
+def order_stats(df: DataFrame, keys: list[str], value: str, ranks: dict, bins: int = 128) -> DataFrame:
+    """Exact values at 0-based ranks per key, also when one key holds most rows or values.
+
+    ``ranks`` maps a name to a function of the group's size column. ``percentile`` merges a
+    key's whole value map in one task. Here equal values are first counted (map-side). Each key's
+    distinct values are cut into ``bins`` cells of about equal numbers of values, at marks from a
+    mergeable quantile sketch, so that outliers and heavy tails leave no cell crowded; only the
+    cells that hold a wanted rank are ordered. The marks only deal the values out: the result is
+    exact. Nothing runs before the result is asked for. Also returns the size as ``__total``.
+    """
+    placed = deal_out(df, keys, value, bins)
     cells = placed.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__m"), F.max("__total").alias("__total"))
     before = W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0)))
