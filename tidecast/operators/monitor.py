@@ -97,7 +97,8 @@ def compare_ai(ledger: DataFrame) -> DataFrame:
 
 
 def drift(ledger: DataFrame, today: str) -> DataFrame:
-    """This week against last week; alerts as text joined in a fixed order."""
+    """This week against last week; alerts as text joined in a fixed order, and as the columns that
+    :func:`tidecast.operators.learn.absorb` reads (mape_change_pct, mape_alert, hit_alert)."""
     t = F.lit(today).cast("date")
     week = F.when(F.col("date") >= F.date_sub(t, 7), "this").when(F.col("date") >= F.date_sub(t, 14), "last")
     v = valid_pairs(ledger.where(F.col("date") >= F.date_sub(t, 14))).withColumn("week", week)
@@ -108,15 +109,22 @@ def drift(ledger: DataFrame, today: str) -> DataFrame:
     for k in ("mae", "wmape", "rmse", "hit_rate"):
         last = F.when(F.col(f"{k}_last") > 0, F.col(f"{k}_last"))
         r = r.withColumn(f"{k}_change_pct", (F.col(f"{k}_this") - last) / last * 100)
+    worse = F.coalesce(F.col("wmape_change_pct") > rules.DRIFT_PCT, F.lit(False))
+    fewer = F.col("hit_rate_change_pct").isNotNull() & (F.col("hit_rate_this") - F.col("hit_rate_last") < -10)
+    fewer = F.coalesce(fewer, F.lit(False))
     alerts = F.array_compact(
         F.array(
-            F.when(F.col("wmape_change_pct") > rules.DRIFT_PCT, "WARNING wmape"),
+            F.when(worse, "WARNING wmape"),
             F.when(F.col("mae_change_pct") > 30, "WARNING mae"),
-            F.when(F.col("hit_rate_change_pct").isNotNull() & (F.col("hit_rate_this") - F.col("hit_rate_last") < -10),
-                   "CRITICAL hit_rate"),
+            F.when(fewer, "CRITICAL hit_rate"),
         )
     )
-    return r.withColumns({"alerts": F.array_join(alerts, "; "), "has_drift": F.size(alerts) > 0})
+    return r.withColumns(
+        {
+            "alerts": F.array_join(alerts, "; "), "has_drift": F.size(alerts) > 0,
+            "mape_change_pct": F.coalesce("wmape_change_pct", F.lit(0.0)), "mape_alert": worse, "hit_alert": fewer,
+        }
+    )
 
 
 def problems(ledger: DataFrame, n: int = 20) -> DataFrame:

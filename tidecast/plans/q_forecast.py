@@ -250,11 +250,28 @@ cte("strends", """SELECT entity, date, m7 AS rolling_7d_mean, coalesce(m7 / null
 _FS = ["holiday_impact", "rolling_7d_mean", "trend_7d", "momentum", "weighted_lag", "yoy_growth_rate", "booking_ratio"]
 
 
+_CODES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.EVENT_CODES.items())
+_FLAGS = ["is_pre_holiday", "is_post_holiday", "is_holiday_window", "is_special_event", "is_veg"]
+_NEAR = {"is_t_minus_1": -1, "is_t_minus_2": -2, "is_t_plus_1": 1}
+_PART = {"month": "month(l.date)", "day_of_month": "day(l.date)", "lunar_day": "c.lunar_day", "lunar_month": "c.lunar_month"}
+_DOW = {"is_weekend": "IN (6, 7)", "is_friday": "= 5", "is_saturday": "= 6", "is_sunday": "= 7"}
+_FC = ", ".join(
+    [f"CASE c.event_type {_CODES} ELSE 0 END AS event_code", "CASE WHEN c.holiday_type = 'TET_NGUYEN_DAN' THEN 1 ELSE 0 END AS is_tet"]
+    + [f"CAST(c.{k} AS INTEGER) AS {k}" for k in _FLAGS]
+    + [f"CAST(c.days_to_holiday = {v} AS INTEGER) AS {k}" for k, v in _NEAR.items()]
+    + [f"CAST({v} AS INTEGER) AS {k}" for k, v in _PART.items()]
+    + [f"CAST(isodow(l.date) {v} AS INTEGER) AS {k}" for k, v in _DOW.items()]
+    + [f"lag_{k}d" for k in (7, 14, 28)]
+)
+_FN = ["event_code", "is_tet", *_FLAGS, *_NEAR, *_PART, *_DOW, "lag_7d", "lag_14d", "lag_28d"]
+
+
 @query(
     "fc_features_shift",
     with_(
         f"""SELECT l.entity, CAST(l.date AS VARCHAR) AS date, l.shift, CASE l.shift WHEN 'MORNING' THEN 0 ELSE 1 END AS shift_id, CAST(isodow(l.date) - 1 AS INTEGER) AS weekday,
         CASE WHEN c.is_holiday THEN 1 ELSE 0 END AS is_holiday, CAST(c.days_to_holiday AS INTEGER) AS days_to_holiday, lag_365d, lag_364d AS same_weekday_last_year, trend_signal,
+        {_FC},
         l.guests - lag_7d AS delta_7d, CASE WHEN booking_ratio > 0.3 THEN 1 ELSE 0 END AS booking_flag, g.is_outlier_day, g.outlier_weight,
         round(holiday_impact, 6) AS holiday_impact, round(rolling_7d_mean, 6) AS rolling_7d_mean, round(trend_7d, 6) AS trend_7d, round(momentum, 6) AS momentum,
         round(0.6 * lag_7d + 0.3 * lag_14d + 0.1 * lag_28d, 6) AS weighted_lag, round(yoy_growth_rate, 6) AS yoy_growth_rate, round(booking_ratio, 6) AS booking_ratio
@@ -268,7 +285,7 @@ _FS = ["holiday_impact", "rolling_7d_mean", "trend_7d", "momentum", "weighted_la
 def fc_features_shift(spark, sf):
     f = shift_features(spark, sf)
     cols = ["entity", "date", "shift", "shift_id", "weekday", "is_holiday", "days_to_holiday", "lag_365d", "same_weekday_last_year",
-            "trend_signal", "delta_7d", "booking_flag", "is_outlier_day", "outlier_weight", *_FS]
+            "trend_signal", "delta_7d", "booking_flag", "is_outlier_day", "outlier_weight", *_FN, *_FS]
     return rounded(f.select(*cols), *_FS, n=6)
 
 

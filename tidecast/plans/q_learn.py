@@ -430,9 +430,9 @@ def _lim(x):
     return f"least(greatest({x}, 0.65), 1.35)"
 
 
-cte("ab0", "SELECT s.*, p.wmape, p.hit AS hr, s.monitoring_hit_rate AS prev, coalesce(p.ret, false) AS ret, (SELECT pct FROM trend) AS tp, 12.5::DOUBLE AS chg FROM state s LEFT JOIN pe p ON p.entity = s.entity", ["state", "pe", "trend"])
-cte("ab1", f"SELECT *, CASE WHEN overall_bias > 2 THEN {_lim('correction_factor - 0.0125')} WHEN overall_bias < -2 THEN {_lim('correction_factor + 0.0125')} ELSE correction_factor END AS c1, CASE WHEN hr < prev - 2 THEN hr_drops + 1 WHEN hr >= prev THEN 0 ELSE hr_drops END AS d1 FROM ab0", ["ab0"])
-cte("ab2", "SELECT *, CASE WHEN d1 >= 3 THEN 1.0 ELSE c1 END AS c2, CASE WHEN d1 >= 3 THEN 0.0 ELSE overall_bias END AS b2, CASE WHEN d1 >= 3 THEN 0 ELSE escalation_level END AS l2, NOT d1 >= 3 AND hr < 50 AS weak FROM ab1", ["ab1"])
+cte("ab0", "SELECT s.*, p.wmape, p.hit AS hr, s.monitoring_hit_rate AS prev, coalesce(p.ret, false) AS ret, (SELECT pct FROM trend) AS tp, dr.* FROM state s CROSS JOIN (SELECT mape_change_pct AS chg, mape_alert AS ma, hit_alert AS ha FROM drift_flags) dr LEFT JOIN pe p ON p.entity = s.entity", ["state", "pe", "trend", "drift_flags"])
+cte("ab1", f"SELECT *, CASE WHEN ma AND chg > 0 AND overall_bias > 2 THEN {_lim('correction_factor - least(0.05, chg / 1000)')} WHEN ma AND chg > 0 AND overall_bias < -2 THEN {_lim('correction_factor + least(0.05, chg / 1000)')} ELSE correction_factor END AS c1, CASE WHEN ha AND hr < prev - 2 THEN hr_drops + 1 WHEN ha AND hr >= prev THEN 0 ELSE hr_drops END AS d1 FROM ab0", ["ab0"])
+cte("ab2", "SELECT *, CASE WHEN ha AND d1 >= 3 THEN 1.0 ELSE c1 END AS c2, CASE WHEN ha AND d1 >= 3 THEN 0.0 ELSE overall_bias END AS b2, CASE WHEN ha AND d1 >= 3 THEN 0 ELSE escalation_level END AS l2, ha AND NOT d1 >= 3 AND hr < 50 AS weak FROM ab1", ["ab1"])
 cte("ab3", f"SELECT *, CASE WHEN weak THEN {_lim('c2 - CASE WHEN b2 > 2 THEN 1 WHEN b2 < -2 THEN -1 ELSE 0 END * least(0.08, (50 - hr) / 500)')} ELSE c2 END AS c3, CASE WHEN weak THEN least(5, l2 + 1) ELSE l2 END AS l3 FROM ab2", ["ab2"])
 cte("ab4", f"SELECT *, CASE WHEN ret THEN {_lim('c3 - sign(b2) * least(0.15, greatest(0.03, wmape / 1000))')} ELSE c3 END AS c4, CASE WHEN ret THEN least(5, l3 + 2) ELSE l3 END AS l4 FROM ab3", ["ab3"])
 cte("ab5", f"SELECT *, CASE WHEN tp > 10 AND b2 > 2 THEN {_lim('c4 - least(0.03, tp / 500)')} WHEN tp > 10 AND b2 < -2 THEN {_lim('c4 + least(0.03, tp / 500)')} ELSE c4 END AS c5 FROM ab4", ["ab4"])
@@ -441,7 +441,7 @@ cte("ab5", f"SELECT *, CASE WHEN tp > 10 AND b2 > 2 THEN {_lim('c4 - least(0.03,
 @query(
     "ln_absorb",
     with_(
-        """SELECT entity, round(c5, 4) AS correction_factor, round(b2, 4) AS overall_bias, l4 AS escalation_level, ret AS needs_retune, CASE WHEN d1 >= 3 THEN 0 ELSE d1 END AS hr_drops, round(hr, 4) AS monitoring_hit_rate, round(prev, 4) AS last_hit_rate FROM ab5""",
+        """SELECT entity, round(c5, 4) AS correction_factor, round(b2, 4) AS overall_bias, l4 AS escalation_level, ret AS needs_retune, CASE WHEN ha AND d1 >= 3 THEN 0 ELSE d1 END AS hr_drops, round(hr, 4) AS monitoring_hit_rate, round(prev, 4) AS last_hit_rate FROM ab5""",
         "ab5",
     ),
 )
@@ -450,8 +450,7 @@ def ln_absorb(spark, sf):
     m = M.metrics(led, ["entity"])
     per = m.select("entity", "wmape", "mae", "bias", (F.col("hit_rate") - 5).alias("hit_rate"), ((F.col("n") >= 30) & (F.col("wmape") > 40)).alias("retune"))
     hist = M.metrics(led, ["date"]).select("date", F.col("wmape").alias("mape"))
-    drift = monitor.drift(led, I.AS_OF).select(F.lit(12.5).alias("mape_change_pct"), F.lit(True).alias("mape_alert"), F.lit(True).alias("hit_alert"))
-    a = N.absorb(state(spark, sf), per, drift, N.accuracy_trend(hist), I.AS_OF)
+    a = N.absorb(state(spark, sf), per, monitor.drift(led, I.AS_OF), N.accuracy_trend(hist), I.AS_OF)
     cols = ["entity", "correction_factor", "overall_bias", "escalation_level", "needs_retune", "hr_drops", "monitoring_hit_rate", "last_hit_rate"]
     return rounded(a.select(*cols), "correction_factor", "overall_bias", "monitoring_hit_rate", "last_hit_rate")
 

@@ -617,19 +617,28 @@ _WK = "SELECT {} FROM pairs WHERE date >= DATE '2001-08-01' - {} AND date < DATE
 _SUF = lambda suf: ", ".join(f"{_M[k]} AS {k}_{suf}" for k in ["n", *_DR])
 
 
+cte("weeks2", f"SELECT * FROM ({_WK.format(_SUF('this'), 7, -9999)}), ({_WK.format(_SUF('last'), 14, 7)})", ["pairs"])
+cte(
+    "drift_flags",
+    """SELECT coalesce((wmape_this - wmape_last) / nullif(wmape_last, 0) * 100, 0) AS mape_change_pct, coalesce((wmape_this - wmape_last) / nullif(wmape_last, 0) * 100 > 15, false) AS mape_alert,
+  coalesce(hit_rate_last > 0 AND hit_rate_this - hit_rate_last < -10, false) AS hit_alert FROM weeks2""",
+    ["weeks2"],
+)
+
+
 @query(
     "mo_drift",
     with_(
         f"""SELECT n_this, n_last, {_DRSEL}, concat_ws('; ', CASE WHEN (wmape_this - wmape_last) / wmape_last * 100 > 15 THEN 'WARNING wmape' END,
           CASE WHEN (mae_this - mae_last) / mae_last * 100 > 30 THEN 'WARNING mae' END, CASE WHEN hit_rate_this - hit_rate_last < -10 THEN 'CRITICAL hit_rate' END) AS alerts,
-        (wmape_this - wmape_last) / wmape_last * 100 > 15 OR (mae_this - mae_last) / mae_last * 100 > 30 OR hit_rate_this - hit_rate_last < -10 AS has_drift
-        FROM ({_WK.format(_SUF('this'), 7, -9999)}), ({_WK.format(_SUF('last'), 14, 7)})""",
-        "pairs",
+        (wmape_this - wmape_last) / wmape_last * 100 > 15 OR (mae_this - mae_last) / mae_last * 100 > 30 OR hit_rate_this - hit_rate_last < -10 AS has_drift,
+        round(mape_change_pct, 4) AS mape_change_pct, mape_alert, hit_alert FROM weeks2, drift_flags""",
+        "weeks2", "drift_flags",
     ),
 )
 def mo_drift(spark, sf):
     d = monitor.drift(ledger(spark, sf), I.AS_OF)
-    return rounded(d, *[c for c in d.columns if c.startswith(tuple(_DR))])
+    return rounded(d, "mape_change_pct", *[c for c in d.columns if c.startswith(tuple(_DR))])
 
 
 _PROB = f"""SELECT * FROM (SELECT entity, {msql()}, 'worst' AS problem FROM pairs GROUP BY entity HAVING count(*) >= 30 ORDER BY {_M['wmape']} DESC NULLS LAST, entity LIMIT 20)

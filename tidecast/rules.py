@@ -40,6 +40,22 @@ SPECIAL_EVENTS = {
 }
 MID_AUTUMN = ("MID_AUTUMN", 1.30)
 
+# Event type -> code of the feature; days before an event carry its code, 0 is none.
+EVENT_CODES = {
+    "VALENTINE": 1, "PRE_VALENTINE": 1,
+    "WOMENS_DAY": 2, "PRE_WOMENS_DAY": 2,
+    "VN_WOMENS_DAY": 3, "PRE_VN_WOMENS_DAY": 3,
+    "TEACHERS_DAY": 4, "PRE_TEACHERS_DAY": 4,
+    "CHRISTMAS": 5,
+    "HALLOWEEN": 6,
+    "CHILDRENS_DAY": 7,
+    "NEW_YEARS_EVE": 8,
+    "WHITE_DAY": 9,
+    "FATHERS_DAY": 10,
+    "MOTHERS_DAY": 11,
+    "MID_AUTUMN": 12,
+}
+
 # Profile thresholds.
 MIN_GAP_DAYS = 7
 MAX_GAP_RATIO = 0.5
