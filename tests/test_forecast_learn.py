@@ -141,3 +141,13 @@ def test_a_day_split_over_two_batches_is_one_day(spark):
     jobs.track_bias(stream, out, f"{out}-cp")
     row = jobs.newest_bias(spark, out).first()
     assert (round(row["bias"], 9), row["days"]) == (4.5, 1)
+
+
+def test_models_without_training_rows_give_null(spark):
+    cols = ["a", *models.PROTECTED]
+    row = {c: 1.0 for c in [*cols, "shift_id", "weekday", "is_weekend", "is_holiday", "holiday_impact"]}
+    h = spark.createDataFrame([{**row, "entity": "A", "date": D(2025, 1, 1), "guests": 5.0, "sample_weight": 1.0}])
+    assert models.gbt_forecast(h.limit(0), h, cols).first()["forecast"] is None
+    assert models.stack_forecast(h.limit(0), h, cols).first()["forecast"] is None
+    _, passed, r2 = models._gated(h.limit(0), cols, "guests")
+    assert (passed, r2) == (False, 0.0)

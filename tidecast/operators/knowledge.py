@@ -84,10 +84,11 @@ def learn(ledger: DataFrame, today: str, days: int = 14) -> DataFrame:
 def retrieve(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top ``k`` documents per query among those with the query's metadata value.
 
-    docs: id, label, embedding; queries: query, label, vector. The join is on the label;
-    a partial top-k runs before the shuffle, so a hot label sends k rows per task."""
+    docs: id, label, embedding; queries: query, label, vector. The join is on the label, whose
+    side to send Spark chooses by size; a partial top-k runs before the shuffle of the scores, so
+    a hot label sends k rows per task."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
-    q = F.broadcast(queries.withColumn("qn", F.sqrt(dot(F.col("vector"), F.col("vector")))))
+    q = queries.withColumn("qn", F.sqrt(dot(F.col("vector"), F.col("vector"))))
     e = F.col("embedding")
     scored = docs.join(q, "label").withColumn("score", dot(e, F.col("vector")) / F.nullif(F.sqrt(dot(e, F.transform(e, lambda x: x.cast("double")))) * F.col("qn"), F.lit(0.0)))
     rn = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))

@@ -33,7 +33,19 @@ def gbt(label: str = "guests", weight: str | None = None, iters: int = 20, depth
 
 def predict(model, df: DataFrame, name: str) -> DataFrame:
     """Non-negative prediction as column ``name``."""
-    return model.transform(df).withColumn(name, F.greatest(F.lit(0.0), F.col("prediction"))).drop("prediction")
+    return model.transform(df).withColumn(name, F.when(F.col("prediction").isNotNull(), F.greatest(F.lit(0.0), F.col("prediction")))).drop("prediction")
+
+
+class NoFit:
+    """Stands for a model where there is nothing to learn from: its predictions are null."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.lit(None).cast("double"))
+
+
+def fit_or_none(estimator, train: DataFrame):
+    """The fitted estimator, or :class:`NoFit` on an empty training slice."""
+    return NoFit() if train.isEmpty() else estimator.fit(train)
 
 
 def cut_date(df: DataFrame, share: float) -> Column:
@@ -44,9 +56,13 @@ def cut_date(df: DataFrame, share: float) -> Column:
 
 
 def gbt_forecast(features: DataFrame, horizon: DataFrame, cols: list[str] | None = None, weight: str | None = "sample_weight") -> DataFrame:
-    """Boosted trees over all shift series; weak features are dropped and the fit repeated."""
+    """Boosted trees over all shift series; weak features are dropped and the fit repeated.
+    Without training rows the forecast is null."""
     cols = cols or SHIFT_FEATURES
     train = _assemble(features, cols).persist()
+    if train.isEmpty():
+        train.unpersist()
+        return predict(NoFit(), _assemble(horizon, cols), "forecast").drop("features")
     first = gbt(weight=weight).fit(train)
     imp = first.featureImportances.toArray()
     ranked = sorted(zip(cols, imp), key=lambda x: -x[1])
@@ -75,16 +91,19 @@ def stack_forecast(features: DataFrame, horizon: DataFrame, cols: list[str] | No
     }
     level2 = late
     for name, make in makers.items():
-        level2 = predict(make().fit(early), level2, name)
+        level2 = predict(fit_or_none(make(), early), level2, name)
     names = list(makers)
-    meta_in = _assemble(level2.drop("features"), names + ctx, "meta")
-    meta = gbt(features="meta", iters=15, depth=3).fit(meta_in)
+    # without an early or a late slice there is no second level: fixed shares of the bases stand in
+    known = level2.drop("features").na.drop(subset=names)
+    meta = fit_or_none(gbt(features="meta", iters=15, depth=3), _assemble(known, names + ctx, "meta"))
     out = _assemble(horizon, cols)
     for name, make in makers.items():
-        out = predict(make().fit(data), out, name)
+        out = predict(fit_or_none(make(), data), out, name)
     data.unpersist()
-    out = predict(meta, _assemble(out.drop("features"), names + ctx, "meta"), "meta_forecast")
-    # Where the second level gives nothing, fixed shares of the bases stand in.
+    if isinstance(meta, NoFit):
+        out = out.drop("features").withColumn("meta_forecast", F.lit(None).cast("double"))
+    else:
+        out = predict(meta, _assemble(out.drop("features"), names + ctx, "meta"), "meta_forecast")
     fall = 0.45 * F.col("p_gbt") + 0.35 * F.col("p_forest") + 0.20 * F.col("p_linear")
     return out.withColumn("forecast", F.coalesce("meta_forecast", fall)).drop("meta")
 
@@ -152,7 +171,7 @@ def item_forecast(features: DataFrame, future: DataFrame, cols: list[str], seaso
     }
     out = _assemble(future, cols)
     for name, m in models.items():
-        out = predict(m.fit(train), out, name)
+        out = predict(fit_or_none(m, train), out, name)
     train.unpersist()
     ms = [F.col(n) for n in models]
     total = sum((F.coalesce(m, F.lit(0.0)) for m in ms), F.lit(0.0))
@@ -275,13 +294,13 @@ def _gated(train: DataFrame, cols: list[str], label: str, share: float = 0.8):
     """Fit on the first ``share`` of the dates; the model only when R2 on the rest passes
     and it beats no correction."""
     data = _assemble(train, cols).withColumn("__cut", cut_date(train, share)).persist()
-    model = gbt(label, iters=15, depth=3).fit(data.where("date < __cut"))
+    model = fit_or_none(gbt(label, iters=15, depth=3), data.where("date < __cut"))
     ev = model.transform(data.where("date >= __cut")).agg(
         F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("mae"), F.avg(F.abs(label)).alias("base"),
         F.coalesce(1 - ratio(F.sum((F.col(label) - F.col("prediction")) ** 2), F.var_pop(label) * F.count("*")), F.lit(0.0)).alias("r2"),
     ).first()
     data.unpersist()
-    passed = ev["r2"] is not None and ev["r2"] >= MIN_R2 and ev["mae"] <= ev["base"] * (1 - MIN_GAIN)
+    passed = None not in (ev["r2"], ev["mae"], ev["base"]) and ev["r2"] >= MIN_R2 and ev["mae"] <= ev["base"] * (1 - MIN_GAIN)
     return model, bool(passed), float(ev["r2"] or 0.0)
 
 
@@ -378,11 +397,3 @@ def tune_weights(comparison: DataFrame) -> DataFrame:
         s("AI_PRIMARY_ML_SECONDARY", F.least(F.lit(0.4), ml)), s("ML_PRIMARY_AI_VALIDATE", F.greatest(F.lit(0.6), ml)),
     )
     return comparison.select(F.inline(arr)).withColumn("ai_weight", 1 - F.col("ml_weight"))
-
-
-def importances(features: DataFrame, cols: list[str]) -> DataFrame:
-    """Feature importance of one fit, for reports."""
-    m = gbt().fit(_assemble(features, cols))
-    return features.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, m.featureImportances.toArray())], "feature string, importance double")
-
-

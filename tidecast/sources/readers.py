@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.functions.clean import name_norm, norm_key, num_coerce
+from tidecast.functions.clean import name_norm, num_coerce
 from tidecast.operators import facts
 
 
@@ -225,7 +225,3 @@ def chain_of(dim: DataFrame, brand_codes: dict[str, str], chains: list[str]) ->
         *[F.when(F.contains(name, name_norm(F.lit(c))), F.lit(c)) for c in chains]
     )
     return dim.withColumn("chain", F.coalesce(F.try_element_at(codes, F.upper(F.trim("brand_code"))), by_name))
-
-
-def normalised_entity(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("entity", norm_key(F.col(col)))

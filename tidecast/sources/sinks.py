@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast.session import fresh_path
@@ -27,20 +27,30 @@ def ledger_summaries(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
 def save_state(state: DataFrame, root: str) -> str:
     """Write a new state version, then move the pointer: readers see old or new, never half.
 
-    The pointer is a one-row table whose newest version wins, so it needs no rename.
+    The pointer is a table of versions whose highest number wins, so it needs no rename and no
+    clock. The state has one writer at a time.
     """
     spark = state.sparkSession
     version = fresh_path(spark, "state").rsplit("/", 1)[1]
     state.write.parquet(f"{root}/versions/{version}")
-    spark.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("saved_at")
-    ).write.mode("append").parquet(f"{root}/pointer")
+    number = 1 + (_newest(spark, root) or (0, ""))[0]
+    spark.createDataFrame([(number, version)], "number long, version string").write.mode("append").parquet(f"{root}/pointer")
     return version
 
 
+def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Highest number and its version; None before the first."""
+    try:
+        seen = spark.read.parquet(f"{root}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return tuple(seen.agg(F.max("number"), F.max_by("version", "number")).first())
+
+
 def load_state(spark: SparkSession, root: str) -> DataFrame:
-    newest = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "saved_at")).first()[0]
-    return spark.read.parquet(f"{root}/versions/{newest}")
+    return spark.read.parquet(f"{root}/versions/{_newest(spark, root)[1]}")
 
 
 def history_keep(history: DataFrame, today_rows: DataFrame, keep: int = 90) -> DataFrame:
@@ -62,9 +72,3 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Report rows as CSV with a header, or JSON lines."""
     w = df.write.mode("errorifexists")
     (w.option("header", True).csv(path) if fmt == "csv" else w.json(path))
-
-
-def last_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """Newest ``n`` rows per key; keys hold one row per date, so groups stay small."""
-    w = W.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
