@@ -32,6 +32,8 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: Limits of the rules: words at least, percent of repeated words, symbols per 100 words,
 #: percent of lines that repeat, characters of the mean word.
 LIMITS = {"short": 10, "repeats": 20, "symbols": 10, "dup_lines": 30, "mean_word": (2, 14)}
+#: Verdicts of this many hosts, some bytes each, are sent to all tasks; more are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
 RULES = ["short", "repeats", "symbols", "dup_lines", "mean_word"]
 BASE = ["short", "repeats"]
 
@@ -135,7 +137,9 @@ def judge(
         measured = measured.drop(text)
     measured = materialise(measured, "measured")  # read twice: for the hosts and for the documents
     hosts = verdicts(host_rates(measured, host, limits), reject_rate, enforce_rate)
-    hosts = hosts.select(*[F.col(c).alias(f"__v_{c}") for c in hosts.columns])
+    hosts = materialise(hosts.select(*[F.col(c).alias(f"__v_{c}") for c in hosts.columns]), "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)  # else both sides are dealt out by host
     flags = failures(limits)
     df = measured.join(hosts, F.col(host).eqNullSafe(F.col("__v_host")), "left")
     base = functools.reduce(operator.or_, [flags[r] for r in BASE])
