@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,36 +93,54 @@ def parse_answer(df: DataFrame, col: str) -> DataFrame:
 
 # -- example pairs ----------------------------------------------------------------------------
 
-SYSTEM = (
-    "You plan restaurant demand. From past guest counts and known events predict the guests of each day. "
-    'Answer with a JSON array only: [{"date": "YYYY-MM-DD", "forecast": N}]'
-)
+
+class PairTemplate(NamedTuple):
+    """Wording and marks of an example pair; the days asked for are rows of the same table."""
+
+    system: str = 'The table lists the guests of one site per day. Replace every "?" and reply with a JSON list of {"date", "forecast"} only.'
+    site: str = "site;"
+    tendency: str = "earlier forecasts were "
+    high: str = "too high"
+    low: str = "too low"
+    header: str = "date;day;guests;kind"
+    asked: str = "?"
+    holiday: str = "H"
+    weekend: str = "W"
+    turn: str = "<|im_start|>%s\n"
+    end: str = "<|im_end|>"
 
 
-def pairs(day: DataFrame, cal: DataFrame, min_rows: int = 100, state: DataFrame | None = None) -> DataFrame:
+def pairs(
+    day: DataFrame, cal: DataFrame, min_rows: int = 100, state: DataFrame | None = None, template: PairTemplate | None = None
+) -> DataFrame:
     """Chat examples: 14 days of history to the next 7 days, for every entity with 21 days or more.
     A history of fewer than ``min_rows`` days over all entities gives none."""
+    t = template or PairTemplate()
     enough = day.agg((F.count("*") >= min_rows).alias("enough"))
     s = slide_pairs(day.where(enough.scalar()))
-    hol = cal.where("is_holiday").agg(F.collect_set("date").alias("h"))
-    s = s.withColumn("__hol", hol.scalar())
-    is_hol = lambda d: F.array_contains(F.col("__hol"), d)
-    num = lambda v: v.cast("int").cast("string")
-    past = F.transform("history", lambda x: F.concat(
-        F.lit("- "), x["date"].cast("string"), F.lit(" ("), _day_name(x["date"]), F.lit("): "), num(x["guests"]), F.when(is_hol(x["date"]), " HOLIDAY").otherwise("")))
-    kind = lambda d: F.concat_ws(" | ", F.when(is_hol(d), "HOLIDAY"), F.when(F.weekday(d) >= 5, "WEEKEND"))
-    ahead = F.transform("target", lambda x: F.concat(
-        F.lit("- "), x["date"].cast("string"), F.lit(" ("), _day_name(x["date"]), F.lit("): "), F.when(kind(x["date"]) == "", "Normal").otherwise(kind(x["date"]))))
-    answer = F.transform("target", lambda x: F.concat(F.lit('{"date": "'), x["date"].cast("string"), F.lit('", "forecast": '), num(x["guests"]), F.lit("}")))
+    s = s.withColumn("__hol", cal.where("is_holiday").agg(F.collect_set("date").alias("h")).scalar())
+    count = lambda x: x["guests"].cast("int").cast("string")
+
+    def row(x, guests):
+        kind = F.concat(
+            F.when(F.array_contains(F.col("__hol"), x["date"]), t.holiday).otherwise(""),
+            F.when(F.weekday(x["date"]) >= 5, t.weekend).otherwise(""),
+        )
+        return F.concat_ws(";", x["date"].cast("string"), F.substring(_day_name(x["date"]), 1, 3), guests, kind)
+
+    rows = F.concat(F.transform("history", lambda x: row(x, count(x))), F.transform("target", lambda x: row(x, F.lit(t.asked))))
     note = F.lit(None).cast("string")
     if state is not None:
         s = s.join(state.select("entity", F.col("overall_bias").alias("__b")), "entity", "left")
-        note = F.when(F.abs("__b") > 2, F.concat(F.lit("NOTE: forecasts here tend to be "), F.when(F.col("__b") > 0, "high").otherwise("low")))
-    user = F.concat_ws("\n", F.concat(F.lit("Restaurant: "), F.col("entity")), note, F.lit("HISTORY"), F.array_join(past, "\n"), F.lit("TARGETS"), F.array_join(ahead, "\n"))
-    reply = F.concat(F.lit("["), F.array_join(answer, ", "), F.lit("]"))
-    turn = lambda role, c: F.concat(F.lit(f"<|im_start|>{role}\n"), c, F.lit("<|im_end|>"))
+        side = F.when(F.col("__b") > 0, t.high).otherwise(t.low)
+        note = F.when(F.abs("__b") > 2, F.concat(F.lit(t.tendency), side))
+    user = F.concat_ws("\n", F.concat(F.lit(t.site), F.col("entity")), note, F.lit(t.header), F.array_join(rows, "\n"))
+    one = lambda x: F.concat(F.lit('{"date": "'), x["date"].cast("string"), F.lit('", "forecast": '), count(x), F.lit("}"))
+    reply = F.concat(F.lit("["), F.array_join(F.transform("target", one), ", "), F.lit("]"))
+    said = {"system": F.lit(t.system), "user": user, "assistant": reply}
+    turns = [F.concat(F.lit(t.turn % role), c, F.lit(t.end)) for role, c in said.items()]
     return s.select(
-        "entity", F.concat_ws("\n", turn("system", F.lit(SYSTEM)), turn("user", user), turn("assistant", reply)).alias("text"),
+        "entity", F.concat_ws("\n", *turns).alias("text"),
         F.element_at("history", -1)["date"].alias("history_end"), F.element_at("target", 1)["date"].alias("forecast_start"),
         F.element_at("target", -1)["date"].alias("forecast_end"),
         F.aggregate("target", F.lit(0.0), lambda a, x: a + x["guests"]).cast("long").alias("target_total"),

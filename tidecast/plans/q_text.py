@@ -308,7 +308,7 @@ def examples(spark, sf):
 
 cte(
     "pairs_ds",
-    """SELECT entity, history_end, forecast_start, forecast_end, target_total, targets FROM (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n, len(list(date) OVER w) AS k,
+    """SELECT entity, history_end, forecast_start, forecast_end, target_total, targets, ds, gs FROM (SELECT entity, list(date) OVER w AS ds, list(guests) OVER w AS gs, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n, len(list(date) OVER w) AS k,
    (list(date) OVER w)[14] AS history_end, (list(date) OVER w)[15] AS forecast_start, (list(date) OVER w)[21] AS forecast_end, CAST(list_sum((list(guests) OVER w)[15:21]) AS BIGINT) AS target_total,
    list_zip((list(date) OVER w)[15:21], (list(guests) OVER w)[15:21]) AS targets
   FROM day WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)) WHERE (SELECT count(*) FROM day) >= 100 AND (rn - 1) % 3 = 0 AND k = 21""",
@@ -317,9 +317,27 @@ cte(
 _DP = "entity, CAST(history_end AS VARCHAR) AS history_end, CAST(forecast_start AS VARCHAR) AS forecast_start, CAST(forecast_end AS VARCHAR) AS forecast_end, target_total"
 
 
-@query("ds_pairs", with_(f"SELECT {_DP} FROM pairs_ds", "pairs_ds"))
+_T = T.PairTemplate()
+_ROW = f"""CAST(ds[i] AS VARCHAR) || ';' || substr(dayname(ds[i]), 1, 3) || ';' || CASE WHEN i <= 14 THEN CAST(CAST(gs[i] AS INTEGER) AS VARCHAR) ELSE '{_T.asked}' END
+  || ';' || CASE WHEN list_contains(hol, ds[i]) THEN '{_T.holiday}' ELSE '' END || CASE WHEN isodow(ds[i]) >= 6 THEN '{_T.weekend}' ELSE '' END"""
+_ANS = """'{"date": "' || CAST(ds[i] AS VARCHAR) || '", "forecast": ' || CAST(CAST(gs[i] AS INTEGER) AS VARCHAR) || '}'"""
+_NL = "' || chr(10) || '"
+_START = lambda role: f"'<|im_start|>{role}{_NL}'"
+_TEXT = f"""{_START('system')} || '{_T.system}<|im_end|>{_NL}<|im_start|>user{_NL}' || concat_ws(chr(10), '{_T.site}' || p.entity,
+  CASE WHEN abs(b.overall_bias) > 2 THEN '{_T.tendency}' || CASE WHEN b.overall_bias > 0 THEN '{_T.high}' ELSE '{_T.low}' END END, '{_T.header}',
+  array_to_string(list_transform(range(1, 22), lambda i: {_ROW}), chr(10))) || '<|im_end|>{_NL}<|im_start|>assistant{_NL}['
+  || array_to_string(list_transform(range(15, 22), lambda i: {_ANS}), ', ') || ']<|im_end|>'"""
+
+
+@query(
+    "ds_pairs",
+    with_(
+        f"""SELECT p.{_DP}, {_TEXT} AS text FROM (SELECT * FROM pairs_ds, (SELECT list(date) AS hol FROM cal WHERE is_holiday)) p LEFT JOIN state b ON b.entity = p.entity""",
+        "pairs_ds", "cal", "state",
+    ),
+)
 def ds_pairs(spark, sf):
-    return examples(spark, sf).drop("text")
+    return examples(spark, sf)
 
 
 @query(
