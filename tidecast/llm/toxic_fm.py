@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.words import whole
+from tidecast.session import materialise
 
 BUCKETS, PREFIXES = 1 << 18, range(4, 11)
 TRAIN_ROWS, LEAST_DOCS, LEAST_CHI, MOST_TERMS = 20_000, 5, 10.0, 20_000
@@ -41,7 +42,7 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Sorted array of all hashed terms, with repetitions."""
+    """Array of all hashed terms, with repetitions."""
     w = F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
     def of(x):
@@ -51,15 +52,6 @@ def terms(text: Column) -> Column:
     return F.transform(F.array_compact(F.flatten(F.transform(w, of))), lambda x: x.cast("int"))
 
 
-def counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct buckets, log(1 + count) and row borders of the given term arrays."""
-    pairs = [np.unique(a, return_counts=True) for a in arrays]
-    border = np.concatenate([[0], np.cumsum([len(b) for b, _ in pairs])]).astype(np.int64)
-    none = np.zeros(0, np.int64)
-    buckets = np.concatenate([none, *[b for b, _ in pairs]]).astype(np.int64)
-    return buckets, np.log1p(np.concatenate([none, *[c for _, c in pairs]])), border
-
-
 def _by_row(x: np.ndarray, border: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
     return total[border[1:]] - total[border[:-1]]
@@ -76,36 +68,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _only(model: dict, buckets: np.ndarray, x: np.ndarray, border: np.ndarray):
-    """The entries of the model's terms, numbered by it."""
-    if not len(model["buckets"]):
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(len(border), np.int64)
-    at = np.minimum(np.searchsorted(model["buckets"], buckets), len(model["buckets"]) - 1)
-    ok = model["buckets"][at] == buckets
-    return at[ok], x[ok], np.concatenate([[0], np.cumsum(ok)])[border]
-
+def fit(i: np.ndarray, x: np.ndarray, border: np.ndarray, labels: np.ndarray, n: int) -> dict:
+    """w0, w and v of ``n`` terms. AdaGrad on the logistic loss, in a fixed order.
 
-def fit(arrays: list[np.ndarray], labels: np.ndarray) -> dict:
-    """The model: kept buckets, w0, w and v. AdaGrad on the logistic loss, in a fixed order."""
+    Row r has the terms i[border[r]:border[r + 1]] with the values x of the same places.
+    """
     y = np.asarray(labels, float)
     share = (y.sum() + 1) / (len(y) + 2)
-    model = {"buckets": np.zeros(0, np.int64), "w0": float(np.log(share / (1 - share))), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
-    if not 0 < y.sum() < len(y):
-        return model
-    buckets, x, border = counted(arrays)
-    row = np.repeat(np.arange(len(y)), np.diff(border))
-    seen = np.bincount(buckets, minlength=BUCKETS)
-    toxic = np.bincount(buckets, y[row], minlength=BUCKETS)
-    mean = y.mean()
-    chi = (toxic - seen * mean) ** 2 / np.maximum(seen * mean * (1 - mean), 1e-9)
-    good = np.flatnonzero((seen >= LEAST_DOCS) & (chi >= LEAST_CHI))
-    model["buckets"] = np.sort(good[np.argsort(-chi[good], kind="stable")][:MOST_TERMS])
-    n = len(model["buckets"])
     rng = np.random.default_rng(SEED)
-    model |= {"w": np.zeros(n), "v": rng.normal(0, 0.01, (n, FACTORS))}
-    i, x, border = _only(model, buckets, x, border)
+    model = {"w0": float(np.log(share / (1 - share))), "w": np.zeros(n), "v": rng.normal(0, 0.01, (n, FACTORS))}
     g0, gw, gv = 1e-8, np.full(n, 1e-8), np.full((n, FACTORS), 1e-8)
-    for _ in range(EPOCHS):
+    for _ in range(EPOCHS if n else 0):
         order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
@@ -128,17 +101,36 @@ def fit(arrays: list[np.ndarray], labels: np.ndarray) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Fits on the bounded sample of labelled rows, as one task's data on the driver."""
+    """Fits on the bounded sample of labelled rows.
+
+    Terms are counted and chosen by Spark; the driver gets the chosen terms of the sample only.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # the sample is bounded by a parameter, and so is what is broadcast
     some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    some = some.select("doc_id", "toxic", F.array_sort(terms(whole("text"))).alias("t")).toArrow()
-    order = np.lexsort((some["t"].combine_chunks().value_lengths().to_numpy(), some["doc_id"].to_numpy()))
-    some = some.take(pa.array(order))
-    arrays = [t.values.to_numpy() for t in some["t"]]
-    return fit(arrays, (some["toxic"].to_numpy() > 0).astype(int))
+    some = materialise(some.select("doc_id", "toxic", terms(whole("text")).alias("t")), "labelled")
+    ids = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
+    y = ids["toxic"].to_numpy()
+    model = {"buckets": np.zeros(0, np.int64)}
+    empty = np.zeros(0, np.int64)
+    if not 0 < y.sum() < len(y):
+        return model | fit(empty, empty, np.zeros(len(y) + 1, np.int64), y, 0)
+    mean = float(y.mean())
+    seen = some.select("toxic", F.explode(F.array_distinct("t")).alias("b")).groupBy("b")
+    seen = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    chi = F.pow(F.col("k") - F.col("n") * mean, F.lit(2.0)) / (F.col("n") * mean * (1 - mean))
+    seen = seen.where((F.col("n") >= LEAST_DOCS) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "b").limit(MOST_TERMS).select("b")
+    model["buckets"] = np.sort(seen.toArrow()["b"].to_numpy()).astype(np.int64)
+    kept = docs.sparkSession.createDataFrame([(int(b),) for b in model["buckets"]], "b int")
+    entries = some.select("doc_id", F.explode("t").alias("b")).join(F.broadcast(kept), "b")
+    entries = entries.groupBy("doc_id", "b").agg(F.count(F.lit(1)).alias("c")).toArrow()
+    row = np.searchsorted(ids["doc_id"].to_numpy(), entries["doc_id"].to_numpy())
+    i = np.searchsorted(model["buckets"], entries["b"].to_numpy())
+    order = np.lexsort((i, row))
+    border = np.searchsorted(row[order], np.arange(len(y) + 1))
+    return model | fit(i[order], np.log1p(entries["c"].to_numpy()[order]), border, y, len(model["buckets"]))
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
