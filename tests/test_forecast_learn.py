@@ -151,3 +151,23 @@ def test_models_without_training_rows_give_null(spark):
     assert models.stack_forecast(h.limit(0), h, cols).first()["forecast"] is None
     _, passed, r2 = models._gated(h.limit(0), cols, "guests")
     assert (passed, r2) == (False, 0.0)
+
+
+def test_hourly_rows_count_where_a_run_has_no_shift_rows(spark):
+    """One entity's shift rows do not hide another entity's hourly rows."""
+    s = "run_date date, entity string, date date, shift string, hour int, pred double, actual double"
+    run, d = D(2025, 1, 1), D(2025, 1, 2)
+    rows = [(run, "A", d, "MORNING", None, 10.0, 12.0), (run, "A", d, None, 9, 1.0, 1.0), (run, "B", d, None, 9, 3.0, 4.0), (run, "B", d, None, 10, 5.0, 6.0)]
+    rows += [(None, "A", d, None, 9, 7.0, 8.0)]
+    got = sorted((r.run_date is None, r.entity, r["shift"], r.pred, r.actual) for r in kpi.prepare(spark.createDataFrame(rows, s)).collect())
+    assert got == [(False, "A", "MORNING", 10.0, 12.0), (False, "B", "MORNING", 8.0, 10.0), (True, "A", "MORNING", 7.0, 8.0)]
+
+
+def test_pairs_for_every_entity_with_three_weeks(spark):
+    days = [(e, D(2025, 1, 1) + dt.timedelta(i), float(10 + i)) for e, n in (("A", 60), ("B", 21), ("C", 20)) for i in range(n)]
+    day = spark.createDataFrame(days, "entity string, date date, guests double")
+    cal = spark.createDataFrame([(D(2025, 1, 1), True), (D(2025, 1, 2), False)], "date date, is_holiday boolean")
+    got = text.pairs(day, cal, template=text.PairTemplate(system="S", holiday="HOL")).collect()
+    assert {r.entity: sum(x.entity == r.entity for x in got) for r in got} == {"A": 14, "B": 1}
+    assert "2025-01-01;Wed;10;HOL\n" in next(r.text for r in got if r.entity == "B")
+    assert text.pairs(day, cal, min_rows=102).count() == 0
