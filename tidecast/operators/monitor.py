@@ -143,7 +143,13 @@ def best_worst_days(per_entity_day: DataFrame, n: int = 10) -> DataFrame:
 
 
 def full_report(ledger: DataFrame, today: str) -> DataFrame:
-    """All breakdowns as one long table (section, key, measures)."""
+    """All breakdowns as one long table (section, key, measures).
+
+    Sections: overall, entity, weekday, hour, rolling, problem_*, entity_day (daily totals, n in
+    days), worst_day and best_day (mae is the day's error), run (per run date, bias as actual -
+    predicted), drift (this and last week) and model (ensemble and raw AI). Measures that a section
+    does not have are null.
+    """
     led = with_weekday(ledger)
     sets = metrics_sets(led, [[], ["entity"], ["weekday"], ["hour"]], CORE).where("level <> 'hour' or hour is not null")
     key = F.coalesce(
@@ -153,7 +159,27 @@ def full_report(ledger: DataFrame, today: str) -> DataFrame:
     a = sets.select(F.col("level").alias("section"), key.alias("key"), *CORE)
     b = rolling(ledger, today).select(F.lit("rolling").alias("section"), F.col("window_days").cast("string").alias("key"), *CORE)
     c = problems(ledger).select(F.concat(F.lit("problem_"), "problem").alias("section"), F.col("entity").alias("key"), *CORE)
-    return a.unionByName(b).unionByName(c)
+    days = entity_day(ledger)
+    parts = [
+        days.select(F.lit("entity_day").alias("section"), F.col("entity").alias("key"), F.col("n_days").alias("n"), "mae", "wmape", "bias", "hit_rate"),
+        days.select(F.lit("worst_day").alias("section"), F.col("entity").alias("key"), F.col("worst_day_error").alias("mae")),
+        days.select(F.lit("best_day").alias("section"), F.col("entity").alias("key"), F.col("best_day_error").alias("mae")),
+        run_performance(ledger).select(
+            F.lit("run").alias("section"), F.col("run_date").cast("string").alias("key"), F.col("samples").alias("n"), "mae", "wmape", "rmse", "bias", "hit_rate"),
+        _rows(drift(ledger, today), "drift", {w: {k: f"{k}_{w}" for k in ("n", "mae", "wmape", "rmse", "hit_rate")} for w in ("this", "last")}),
+        _rows(compare_ai(ledger), "model", {m: {k: f"{m}_{k}" for k in ("mae", "wmape")} for m in ("ensemble", "ai")}),
+    ]
+    out = a.unionByName(b).unionByName(c)
+    for part in parts:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("section", "key", *CORE)
+
+
+def _rows(one: DataFrame, section: str, groups: dict[str, dict[str, str]]) -> DataFrame:
+    """A one-row result as a row per group: measure to column."""
+    names = next(iter(groups.values()))
+    rows = [F.struct(F.lit(g).alias("key"), *[F.col(c).alias(k) for k, c in cols.items()]) for g, cols in groups.items()]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select(F.lit(section).alias("section"), "r.key", *[f"r.{k}" for k in names])
 
 
 def top_worst(ledger: DataFrame, n: int = 20) -> DataFrame:

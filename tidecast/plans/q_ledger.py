@@ -594,14 +594,17 @@ def mo_rolling(spark, sf):
     return rm(monitor.rolling(ledger(spark, sf), I.AS_OF))
 
 
-@query(
-    "mo_compare",
-    with_(
-        """SELECT round(em, 4) AS ensemble_mae, round(ew, 4) AS ensemble_wmape, round(am, 4) AS ai_mae, round(aw, 4) AS ai_wmape,
+_CMP = """SELECT round(em, 4) AS ensemble_mae, round(ew, 4) AS ensemble_wmape, round(am, 4) AS ai_mae, round(aw, 4) AS ai_wmape,
         CASE WHEN em <= am THEN 'ensemble' ELSE 'ai_raw' END AS winner, round(coalesce((am - em) / nullif(am, 0) * 100, 0), 4) AS improvement FROM (
         SELECT avg(abs(p - a)) AS em, sum(abs(p - a)) / sum(a) * 100 AS ew, avg(abs(ai - a)) AS am, sum(abs(ai - a)) / sum(a) * 100 AS aw FROM (
           SELECT date, sum(pred) AS p, sum(actual) AS a, arg_min(ai_raw, (entity, shift)) AS ai FROM ledger
-          WHERE pred IS NOT NULL AND actual > 0 AND ai_raw IS NOT NULL GROUP BY date))""",
+          WHERE pred IS NOT NULL AND actual > 0 AND ai_raw IS NOT NULL GROUP BY date))"""
+
+
+@query(
+    "mo_compare",
+    with_(
+        _CMP,
         "ledger",
     ),
 )
@@ -651,14 +654,24 @@ def mo_problems(spark, sf):
     return rm(monitor.problems(ledger(spark, sf)))
 
 
+_WEEK = lambda w: f"round(mae_{w}, 4), round(wmape_{w}, 4), round(rmse_{w}, 4), NULL, round(hit_rate_{w}, 4)"
+
+
 @query(
     "mo_report",
     with_(
         f"""SELECT 'overall' AS section, 'all' AS key, {msql()} FROM pairs UNION ALL SELECT 'entity', entity, {msql()} FROM pairs GROUP BY entity
         UNION ALL SELECT 'weekday', dayname(date), {msql()} FROM pairs GROUP BY dayname(date)
         UNION ALL SELECT 'rolling', CAST(window_days AS VARCHAR), n, mae, wmape, rmse, bias, hit_rate FROM ({_ROLL})
-        UNION ALL SELECT 'problem_' || problem, entity, n, mae, wmape, rmse, bias, hit_rate FROM ({_PROB})""",
-        "pairs",
+        UNION ALL SELECT 'problem_' || problem, entity, n, mae, wmape, rmse, bias, hit_rate FROM ({_PROB})
+        UNION ALL SELECT 'entity_day', entity, n_days, mae, wmape, NULL, bias, hit_rate FROM ({_ED})
+        UNION ALL SELECT 'worst_day', entity, NULL, worst_day_error, NULL, NULL, NULL, NULL FROM ({_ED})
+        UNION ALL SELECT 'best_day', entity, NULL, best_day_error, NULL, NULL, NULL, NULL FROM ({_ED})
+        UNION ALL SELECT 'run', run_date, samples, mae, wmape, rmse, bias, hit_rate FROM ({_RUN})
+        UNION ALL SELECT 'drift', 'this', n_this, {_WEEK('this')} FROM weeks2 UNION ALL SELECT 'drift', 'last', n_last, {_WEEK('last')} FROM weeks2
+        UNION ALL SELECT 'model', 'ensemble', NULL, ensemble_mae, ensemble_wmape, NULL, NULL, NULL FROM ({_CMP})
+        UNION ALL SELECT 'model', 'ai', NULL, ai_mae, ai_wmape, NULL, NULL, NULL FROM ({_CMP})""",
+        "pairs", "ent_day", "run_delta", "weeks2", "ledger",
     ),
 )
 def mo_report(spark, sf):
