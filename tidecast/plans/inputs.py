@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.clean import shift_of
 from tidecast.operators import calendar as cal_ops
 from tidecast.operators import facts
-from tidecast.plans.registry import cte
+from tidecast.plans.registry import SHARED, cte
 from tidecast.session import materialise
 
 AS_OF = "2001-08-01"
@@ -242,15 +242,13 @@ KINGS_DAY = [
 ]
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """A dimension that many plans share is written to the shared folder once per session."""
+    """A table that parts of a query share is written to the shared folder once per query, so
+    that changed inputs are seen by the next one."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = materialise(build(), name)
-    return _WRITTEN[key]
+    if key not in SHARED:
+        SHARED[key] = materialise(build(), name)
+    return SHARED[key]
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:

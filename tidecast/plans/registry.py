@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Written tables that parts of one query share; emptied when a query begins.
+SHARED: dict = {}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +33,7 @@ def query(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark, sf_dir):
+            SHARED.clear()
             return _plain_dates(fn(spark, sf_dir))
 
         QUERIES[name] = run
