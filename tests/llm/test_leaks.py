@@ -61,3 +61,19 @@ def test_empty_tables(spark):
     assert A.query(docs, bench.limit(0)).count() == 0
     assert A.query(docs.limit(0), bench).count() == 0
     assert A.decontaminate(docs, bench.limit(0)).count() == 1
+
+
+def test_an_item_deep_in_a_text_of_item_words(spark):
+    """Runs all over a long text are one passage, which is aligned in windows."""
+    rng = random.Random(9)
+    items = {k: [f"w{rng.randint(0, 40)}" for _ in range(20)] for k in range(4)}
+    runs = [w for t in items.values() for i in range(0, 18, 3) for w in t[i : i + 3]]
+    text = [w for _ in range(60) for w in rng.sample(runs, 12) + items[rng.randint(0, 3)][3:6]]
+    at = [250, 500, 777]
+    for k, p in enumerate(at):
+        text[p:p] = items[k]
+    got = {r.item_id: r for r in A.query(spark.createDataFrame([(1, " ".join(text))], DOC), spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], ITEM)).collect()}
+    for k, w in items.items():
+        exact = plain.local_alignment(w, text) / (2 * len(w))
+        assert (k in got) == (exact >= A.LEAST_SCORE) and (k not in got or abs(got[k].score - exact) < 1e-9)
+    assert all(got[k].score == 1.0 for k in range(3))

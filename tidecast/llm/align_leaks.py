@@ -3,7 +3,8 @@
 1. The test items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, which bounds what is
    collected and sent, however many items there are.
 2. One pass over whole texts finds every 3-word run of a block's items. Runs that lie near each
-   other form a passage; it keeps the run numbers and the item words around them as numbers.
+   other form a passage; it keeps the run numbers and the item words around them as numbers. Long
+   passages are cut into windows that overlap by more than any alignment that counts can span.
 3. Runs are counted over all passages of all documents. An item's seeds are its rare runs, those
    seen at most ``COMMON`` times as often as its median run: relative to the item, so that a passage
    copied into a third of all documents keeps its seeds.
@@ -77,9 +78,15 @@ def find(text: str | None, known: dict[str, int], codes: np.ndarray, margin: int
     pos, run = pos[order], run[order]
     cuts = np.flatnonzero(np.diff(pos) > margin) + 1
     for p, r in zip(np.split(pos, cuts), np.split(run, cuts), strict=True):
-        if len(p):
-            lo, hi = max(0, int(p[0]) - margin), min(len(ids), int(p[-1]) + RUN + margin)
-            yield lo, np.unique(r).tolist(), ids[lo:hi].tolist()
+        if not len(p):
+            continue
+        lo, hi = max(0, int(p[0]) - margin), min(len(ids), int(p[-1]) + RUN + margin)
+        # long passages go in windows; an alignment that counts spans under 3 margins, the overlap
+        for start in range(lo, max(lo + 1, hi - 3 * margin), 9 * margin):
+            end = min(hi, start + 12 * margin)
+            inside = np.unique(r[(p >= start) & (p < end)])
+            if len(inside):
+                yield start, inside.tolist(), ids[start:end].tolist()
 
 
 def blocks(benchmark: DataFrame) -> int:

@@ -146,7 +146,7 @@ def query(conversations: DataFrame) -> DataFrame:
     )
 
 
-#: A turn conflicts if a control string, escaped or not, lies in it: such turns get one backslash each.
+#: The same for texts that hold no control strings besides conflicting ones; those get a backslash each.
 _SQL_CONTROL = r"[<\[]\\*(/?INST\]|</?SYS>>|/?s>|\|role:[^|\s]*\|>|\|end\|>)"
 ORACLE = rf"""
 WITH rows AS (

@@ -46,7 +46,7 @@ from tidecast.session import fresh_path, materialise
 
 SEQUENCE, END_ID, ROWS, REMEMBERED = 2048, 0, 256, 1_300_000
 MANIFEST = "shard int, tokens string, index string, n_docs long, n_tokens long"
-RESULT = "doc_id long, offset long, n_tokens long, ids_crc32 long"
+RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def worker_state() -> dict:
@@ -278,7 +278,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return shards.repartition(n).mapInArrow(work, RESULT.replace("offset", "start"))
+    return shards.repartition(n).mapInArrow(work, RESULT)
 
 
 def query(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
