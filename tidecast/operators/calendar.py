@@ -65,6 +65,18 @@ def _default_factor(kind: Column) -> Column:
     return F.try_element_at(m, kind)
 
 
+def _steps(o, steps):
+    """Piecewise line over days ``o`` from 1: (last day, start, change per day) of each step."""
+    out, first = None, 1
+    for last, start, change in steps:
+        line = start + (o - first) * change
+        if last is None:
+            return line if out is None else out.otherwise(line)
+        out = F.when(o <= last, line) if out is None else out.when(o <= last, line)
+        first = last + 1
+    return out
+
+
 def day_info(cal: DataFrame, impacts: DataFrame | None = None) -> DataFrame:
     """Pre/post holiday attributes: the nearest holiday ahead (Tet 14 days, others 5), else
     the nearest behind (Tet 7, others 5). ``impacts`` (holiday_type, phase, offset, impact)
@@ -99,13 +111,9 @@ def day_info(cal: DataFrame, impacts: DataFrame | None = None) -> DataFrame:
             "is_veg": F.col("lunar_day").isin(1, 15),
         }
     )
-    pre_tet = (
-        F.when(o <= 3, 1.25 - (o - 1) * 0.05).when(o <= 7, 0.85 + (o - 4) * 0.033).otherwise(0.90 + (o - 8) * 0.01)
-    )
+    pre_tet = _steps(o, rules.PRE_TET_STEPS)
     pre_any = F.when(o <= 2, rules.HOLIDAY_TYPES["PRE_HOLIDAY"][0]).otherwise(1.0 + (5 - o) * 0.025)
-    post_tet = (
-        F.when(o <= 2, 0.50 + (o - 1) * 0.05).when(o <= 5, 0.65 + (o - 3) * 0.075).otherwise(0.85 + (o - 6) * 0.05)
-    )
+    post_tet = _steps(o, rules.POST_TET_STEPS)
     post_any = F.when(o <= 2, rules.HOLIDAY_TYPES["POST_HOLIDAY"][0]).otherwise(0.90 + (o - 1) * 0.025)
     default = (
         F.when(hol, _default_factor(F.col("holiday_type")))

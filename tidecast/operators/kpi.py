@@ -153,8 +153,8 @@ def tolerance_bins(rows: DataFrame) -> DataFrame:
 def run_record(overall: DataFrame) -> DataFrame:
     """Adds the health grade to an overall metrics row (wmape, hit_rate)."""
     m, h = F.col("wmape"), F.col("hit_rate")
-    a = F.when(m <= 15, 5).when(m <= 25, 4).when(m <= 35, 3).when(m <= 50, 2).when(m.isNotNull(), 1)
-    b = F.when(h >= 75, 5).when(h >= 60, 4).when(h >= 45, 3).when(h >= 30, 2).when(h.isNotNull(), 1)
+    a = F.coalesce(*[F.when(m <= x, 5 - k) for k, x in enumerate(rules.GRADE_WMAPE)], F.when(m.isNotNull(), 1))
+    b = F.coalesce(*[F.when(h >= x, 5 - k) for k, x in enumerate(rules.GRADE_HIT_RATE)], F.when(h.isNotNull(), 1))
     n = a.isNotNull().cast("int") + b.isNotNull().cast("int")
     avg = (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) / F.nullif(n, F.lit(0))
     grade = (

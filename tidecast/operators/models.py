@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecast import rules
 from tidecast.functions.stats import clip, is_weekend, order_stats, ratio
 from tidecast.operators.features import SHIFT_FEATURES, cyclic, interpolate
 
@@ -329,14 +330,14 @@ def residual_correct(history: DataFrame, pred: DataFrame) -> DataFrame:
     pred: entity, date, shift, forecast and the feature columns of :func:`residual_columns`."""
     model, ok, r2 = _gated(history.where("mean_before is not null"), RESIDUAL_COLS, "residual")
     p = model.transform(_assemble(pred, RESIDUAL_COLS))
-    big = F.col("forecast") >= 100
+    big = F.col("forecast") >= rules.RESIDUAL_LARGE
     wk = ~is_weekend(F.col("date"))
     eve = F.col("shift") == "EVENING"
-    seg = F.when(wk & big & eve, "e").when(wk & big & ~eve, "m").when(~wk & eve, "w")
-    lim = F.when(seg == "e", 0.30).when(seg == "m", 0.12).when(seg == "w", 0.25)
-    c = F.when((seg == "m") & (F.col("prediction") > 0), F.col("prediction") * 0.45).otherwise(F.col("prediction"))
+    seg = F.when(wk & big & eve, "weekday_evening").when(wk & big & ~eve, "weekday_morning").when(~wk & eve, "weekend_evening")
+    lim = F.element_at(F.create_map(*[F.lit(x) for pair in rules.RESIDUAL_LIMITS.items() for x in pair]), seg)
+    c = F.when((seg == "weekday_morning") & (F.col("prediction") > 0), F.col("prediction") * rules.RESIDUAL_MORNING_DAMPING).otherwise(F.col("prediction"))
     c = clip(c, -F.abs("forecast") * lim, F.abs("forecast") * lim)
-    apply = F.lit(ok) & seg.isNotNull() & (F.abs(c) >= 1.0)
+    apply = F.lit(ok) & seg.isNotNull() & (F.abs(c) >= rules.RESIDUAL_LEAST)
     return p.withColumns(
         {
             "corrected": F.when(apply, F.greatest(F.lit(0.0), F.bround(F.col("forecast") + c, 0))).otherwise(F.col("forecast")),

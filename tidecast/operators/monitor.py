@@ -56,12 +56,13 @@ def run_performance(ledger: DataFrame) -> DataFrame:
     w = W.orderBy("run_date")
     for m in ("mae", "wmape", "rmse", "hit_rate"):
         r = r.withColumn(f"{m}_delta", F.col(m) - F.lag(m).over(w))
-    a, b, h = F.col("mae_delta"), F.col("wmape_delta"), F.col("hit_rate_delta")
-    score = (
-        F.when(a < -0.5, 2).when(a < -0.1, 1).when(a > 1.0, -2).when(a > 0.3, -1).otherwise(0)
-        + F.when(b < -3, 2).when(b < -1, 1).when(b > 5, -2).when(b > 2, -1).otherwise(0)
-        + F.when(h > 3, 2).when(h > 1, 1).when(h < -5, -2).when(h < -2, -1).otherwise(0)
-    )
+    a, b = F.col("mae_delta"), F.col("wmape_delta")
+    score = F.lit(0)
+    for name, (best, good, worst, bad) in rules.VERDICT_STEPS.items():
+        sign = 1 if best > 0 else -1
+        x = F.col(f"{name}_delta") * sign
+        points = F.when(x > best * sign, 2).when(x > good * sign, 1).when(x < worst * sign, -2).when(x < bad * sign, -1).otherwise(0)
+        score = score + points
     verdict = (
         F.when(F.col("mae").isNull() | (F.col("actual_pct") == 0), "PENDING")
         .when(a.isNull() | b.isNull(), "FIRST").when(score >= 2, "BETTER").when(score <= -2, "WORSE")

@@ -101,3 +101,20 @@ HIT_ABS = 15
 DRIFT_PCT = 15
 RETUNE_MAPE = 40
 MIN_ALERT_SAMPLES = 30
+
+# Curves around holidays, (last day of the step, its start, change per day).
+PRE_TET_STEPS = [(3, 1.25, -0.05), (7, 0.85, 0.033), (None, 0.90, 0.01)]
+POST_TET_STEPS = [(2, 0.50, 0.05), (5, 0.65, 0.075), (None, 0.85, 0.05)]
+
+# Limits of the shift residual model (share of the forecast) and its damping.
+RESIDUAL_LARGE = 100
+RESIDUAL_LIMITS = {"weekday_evening": 0.30, "weekday_morning": 0.12, "weekend_evening": 0.25}
+RESIDUAL_MORNING_DAMPING = 0.45
+RESIDUAL_LEAST = 1.0
+
+# Points of a run against the one before: (much better, better, much worse, worse).
+VERDICT_STEPS = {"mae": (-0.5, -0.1, 1.0, 0.3), "wmape": (-3, -1, 5, 2), "hit_rate": (3, 1, -5, -2)}
+
+# Grades 5 to 2 of a run by wmape at most and by hit rate at least, and their names.
+GRADE_WMAPE = (15, 25, 35, 50)
+GRADE_HIT_RATE = (75, 60, 45, 30)
