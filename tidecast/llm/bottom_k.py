@@ -34,6 +34,8 @@ from tidecast.session import materialise
 
 WIDTH, SKETCH, INDEXED, SHORT, HOT_LEAST, HOT_KEYS = 5, 64, 16, 32, 4, 12
 PERCENT, ESTIMATE_PERCENT = 75, 45
+#: Up to so many ids, some tens of MB, go to all tasks to pick their texts; more meet them in a shuffle.
+BROADCAST_IDS = 1_000_000
 SALTS = 16
 
 
@@ -156,8 +158,9 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = materialise(rows, "sketches")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     classes = materialise(classes, "classes")
-    sketches = rows.where("n > 0").join(classes, (rows["id"] == classes["rep"]) & (rows["f1"] == classes["f1"]) & (rows["f2"] == classes["f2"]))
-    sketches = sketches.select("id", rows["n"], "s").dropDuplicates(["id"])
+    one = rows.where("n > 0").select("id", "n", "f1", "f2", "s").dropDuplicates(["id", "f1", "f2"])
+    of_class = classes.select(F.col("rep").alias("id"), "f1", "f2")
+    sketches = materialise(one.join(of_class, ["id", "f1", "f2"]).select("id", "n", "s"), "class-sketches")
 
     lists = sketches.select("id", "n", F.explode(F.slice("s", 1, INDEXED)).alias("v"))
     seen = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -168,9 +171,11 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     crowded = lists.where(F.col("c") > SHORT).groupBy("id").agg(F.count(F.lit(1)).alias("k"), need.alias("need"))
     crowded = materialise(crowded.where("k >= need").select("id"), "crowded")
 
-    wanted = crowded.union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    full = materialise(shingle_sets(texts, "id", "text").dropDuplicates(["id"]), "sets")
+    wanted = materialise(crowded.union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
+    full = materialise(shingle_sets(texts, "id", "text").select("id", "s"), "sets")
 
     sets = materialise(rarest_first(full.join(crowded, "id", "left_semi")), "rarest")
     more = _list_pairs(sets.select("id", "n", F.explode("prefix").alias("v")))
