@@ -13,7 +13,7 @@ HEADLINE = [
     "win_dedup_txn", "agg_item_day", "agg_wd_hour_ratio", "jn_txn_items", "an_report", "win_outlier_iqr",
     "cal_ratio_summary", "cal_event", "fc_features_shift", "fc_features_item", "fc_shift_split", "fc_chain_blend",
     "jn_actuals_hour", "ld_dedup", "mo_report", "mo_run", "kp_run_errors", "ev_ablation", "bt_report", "ln_bias_keys",
-    "ln_apply", "kb_retrieve", "ds_pairs", "st_actuals",
+    "ln_apply", "kb_retrieve", "ds_pairs", "st_actuals", "run_daily",
 ]
 
 
