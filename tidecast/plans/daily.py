@@ -46,13 +46,15 @@ def forecast_rows(inp: Inputs, today: str, days: int = 30) -> DataFrame:
     impacts = K.holiday_aggregate(K.ratio_summary(ratios))
     events = materialise(K.event_impacts(day, cal), "event-impacts")
     cal = C.apply_impacts(cal, impacts).drop("holiday_impact_source", "holiday_impact_default")
+    cal = materialise(cal, "calendar-impacts")
 
     h = horizon.skeleton(prof.where("not should_exclude or category = 'NEW'").select("entity"), cal, start, days)
-    h = K.apply_events(h, K.event_per_entity(events), K.event_aggregate(events))
+    h = materialise(K.apply_events(h, K.event_per_entity(events), K.event_aggregate(events)), "horizon")
     routed = P.route(prof, h, start, days)
 
     base = P.baseline_median(day, routed.where("route = 'baseline'")).select("entity", "date", "shift", "forecast", "route")
     ens = _ensemble(inp, day, prof, routed.where("route = 'ensemble'"), today)
+    ens = materialise(ens, "ensemble")
     out = base.unionByName(ens.select("entity", "date", "shift", "forecast", "route"))
     if inp.chain_dim is not None:
         out = out.unionByName(_new_entities(inp, day, routed.where("route = 'chain_blend'")))
