@@ -77,3 +77,16 @@ def test_an_item_deep_in_a_text_of_item_words(spark):
         exact = plain.local_alignment(w, text) / (2 * len(w))
         assert (k in got) == (exact >= A.LEAST_SCORE) and (k not in got or abs(got[k].score - exact) < 1e-9)
     assert all(got[k].score == 1.0 for k in range(3))
+
+
+def test_partial_copies_in_many_documents(spark):
+    """Runs that only repeated partial copies hold are as good as any, however many documents hold them."""
+    cut, worded = [f"w{i}" for i in range(37)], [f"v{i}" for i in range(37)]
+    edited = [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(worded)]
+    rows = [(d, f"text {d} before " + " ".join(cut[:16]) + " after") for d in range(30)] + [(100 + d, f"text {d} " + " ".join(edited)) for d in range(25)]
+    docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame([(1, " ".join(cut)), (2, " ".join(worded))], ITEM)
+    got = {r.doc_id: r for r in A.query(docs, bench).collect()}
+    assert set(got) == {d for d, _ in rows}
+    assert all(got[d].item_id == 1 and got[d].score == 16 / 37 and (got[d].start, got[d].end) == (3, 18) for d in range(30))
+    assert all(got[100 + d].item_id == 2 and abs(got[100 + d].score - plain.local_alignment(worded, edited) / 74) < 1e-9 for d in range(25))
+    assert A.decontaminate(docs, bench).count() == 0

@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: shared n-gram seeds, exact bounds, then Smith-Waterman alignment.
 
 1. The test items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, which bounds what is
    collected and sent, however many items there are.
 2. One pass over whole texts finds every 3-word run of a block's items. Runs that lie near each
    other form a passage; it keeps the run numbers and the item words around them as numbers. Long
    passages are cut into windows that overlap by more than any alignment that counts can span.
-3. Runs are counted over all passages of all documents. An item's seeds are its rare runs, those
-   seen at most ``COMMON`` times as often as its median run: relative to the item, so that a passage
-   copied into a third of all documents keeps its seeds.
-4. Passages join items at the seeds. The join is on seeds, with one row per passage and item.
+3. Passages with equal words become one, so that a passage copied into many documents is judged
+   once, and no count of documents decides anything.
+4. A passage meets every item it shares a run with, common or rare. A pair goes on unless a bound
+   shows that no alignment can reach the least score: the words the two have in common, and the
+   best stretch of the text when each of the item's words counts as a match.
 5. A local alignment of words (match 2, mismatch -1, gap -1) between passage and item gives
    score / (2 * words of the item); from ``LEAST_SCORE`` on, the document holds the item.
 
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 from tidecast.llm.words import whole
 from tidecast.session import materialise
 
-RUN, LEAST_SCORE, COMMON, BLOCK_WORDS = 3, 0.35, 20, 500_000
+RUN, LEAST_SCORE, BLOCK_WORDS = 3, 0.35, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 PASSAGE = "doc_id long, text_hash long, first long, runs array<int>, words array<int>"
-FOUND = "doc_id long, text_hash long, item_id long, score double, start long, end long"
+SCORED = "runs array<int>, words array<int>, item_id long, score double, start long, end long"
 
 
 def item_words(text: str | None) -> list[str]:
@@ -119,17 +120,43 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
     return cols.mapInArrow(work, PASSAGE)
 
 
-def seeds(found: DataFrame, items: Items) -> DataFrame:
-    """(run, k): the rare runs of each item, k being the item's place in the block."""
-    spark = found.sparkSession
+def least(words: int) -> float:
+    """The points an alignment needs with an item of so many words."""
+    return LEAST_SCORE * MATCH * words - 1e-9
+
+
+def candidates(distinct: DataFrame, items: Items) -> DataFrame:
+    """(runs, words, k): the passages with each item of a common run that the bounds do not rule out."""
     at = {int(c): i for i, c in enumerate(items.codes)}
-    rows = [(at[c], k) for k, (_, w) in enumerate(items.items) for c in set(items.runs_of(w))]
-    runs = spark.createDataFrame(rows, "run int, k int")
-    seen = found.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c"))
-    # at most as many rows as the block has runs
-    runs = runs.join(F.broadcast(seen), "run", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    middle = runs.groupBy("k").agg(F.greatest(F.median("c"), F.lit(1)).alias("middle"))
-    return runs.join(middle, "k").where(F.col("c") <= COMMON * F.col("middle")).select("k", "run")
+    holders: list[list[int]] = [[] for _ in at]
+    for k, (_, w) in enumerate(items.items):
+        for c in set(items.runs_of(w)):
+            holders[at[c]].append(k)
+    sent = distinct.sparkSession.sparkContext.broadcast((holders, [w for _, w in items.items]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders, wanted = sent.value
+        sizes = [np.unique(np.array(w, dtype=np.int64), return_counts=True) for w in wanted]
+        for b in batches:
+            of, ks = [], []
+            for row, (runs, words) in enumerate(zip(b.column("runs").to_pylist(), b.column("words").to_numpy(zero_copy_only=False), strict=True)):
+                there, where, counts = np.unique(words, return_inverse=True, return_counts=True)
+                for k in sorted({k for r in runs for k in holders[r]}):
+                    own, times = sizes[k]
+                    at = np.minimum(np.searchsorted(there, own), len(there) - 1)
+                    both = there[at] == own
+                    if MATCH * np.minimum(times, counts[at])[both].sum() < least(len(wanted[k])):
+                        continue
+                    # every word of the text that an alignment spans is one of the item's or costs a point
+                    points = np.full(len(there), max(MISMATCH, GAP))
+                    points[at[both]] = MATCH
+                    upto = np.cumsum(points[where])
+                    if (upto - np.minimum(np.minimum.accumulate(upto), 0)).max() >= least(len(wanted[k])):
+                        of.append(row)
+                        ks.append(k)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(of, pa.int64())).columns, pa.array(ks, pa.int32())], names=["runs", "words", "k"])
+
+    return distinct.select("runs", "words").mapInArrow(work, "runs array<int>, words array<int>, k int")
 
 
 def align(item: list[list[int]], text: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,9 +184,9 @@ def align(item: list[list[int]], text: list[list[int]]) -> tuple[np.ndarray, np.
     return best, first, last
 
 
-def score(candidates: DataFrame, items: Items) -> DataFrame:
-    """Rows (doc_id, text_hash, first, words, k) to alignments of at least LEAST_SCORE."""
-    sent = candidates.sparkSession.sparkContext.broadcast(items.items)
+def score(pairs: DataFrame, items: Items) -> DataFrame:
+    """Rows (runs, words, k) to alignments with the points they need; places count from the passage's first word."""
+    sent = pairs.sparkSession.sparkContext.broadcast(items.items)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = sent.value
@@ -169,16 +196,15 @@ def score(candidates: DataFrame, items: Items) -> DataFrame:
                 g = f.iloc[k : k + 256]
                 texts, wanted = [list(w) for w in g["words"]], [known[i][1] for i in g["k"]]
                 best, start, end = align(wanted, texts)
-                share = best / (MATCH * np.array([len(w) for w in wanted]))
-                out = g[["doc_id", "text_hash"]].assign(
+                out = g[["runs", "words"]].assign(
                     item_id=pd.array([known[i][0] for i in g["k"]], dtype="Int64"),
-                    score=share,
-                    start=start + g["first"].to_numpy(),
-                    end=end + g["first"].to_numpy(),
+                    score=best / (MATCH * np.array([len(w) for w in wanted])),
+                    start=start,
+                    end=end,
                 )
-                yield out[share >= LEAST_SCORE]
+                yield out[best >= np.array([least(len(w)) for w in wanted])]
 
-    return candidates.mapInPandas(work, FOUND)
+    return pairs.mapInPandas(work, SCORED)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -190,13 +216,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = part.where(F.pmod(F.xxhash64("i", "text"), F.lit(n)) == k)
         items = Items(sorted(((r[0], r[1] or "") for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
         found = materialise(passages(docs, items), "passages")
-        if not items.items:
-            items.items = [(None, [])]
-        key = found.withColumn("passage", F.struct("doc_id", "text_hash", "first"))
-        near = key.select("passage", F.explode("runs").alias("run")).join(F.broadcast(seeds(found, items)), "run")
-        near = near.select("passage", "k").distinct()
-        both = near.join(key.select("passage", "doc_id", "text_hash", "first", "words").dropDuplicates(["passage"]), "passage")
-        out.append(score(both.drop("passage"), items))
+        # a passage is aligned once, however many documents hold it
+        scored = score(candidates(found.select("runs", "words").distinct(), items), items)
+        both = found.withColumn("h", F.xxhash64("words")).join(scored.withColumn("h", F.xxhash64("words")), ["h", "words", "runs"])
+        out.append(both.select("doc_id", "text_hash", "item_id", "score", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))
     every = out[0]
     for x in out[1:]:
         every = every.union(x)
