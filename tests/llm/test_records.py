@@ -194,6 +194,40 @@ def test_main_text(spark):
     assert tag_paths.query(df.limit(0)).count() == 0
 
 
+LONG = "Long text, with marks. " * 10
+WRAPPED = [
+    "<div class='layout has-sidebar'>{}</div>",
+    "<body><div class='no-sidebar'><div id=search-content>{}</div></div></body>",
+    "<div class='post-with-comments'>{}</div>",
+    "<div class='with-header'>{}</div>",
+    "<form action=x><div>{}</div></form>",
+]
+
+
+def test_main_text_in_a_wrapper_with_a_noise_name():
+    """A name or form around the article drops nothing but what is noise by itself."""
+    side = "<div class=sidebar><p>Side, text.</p></div>"
+    for wrap in WRAPPED:
+        assert tag_paths.content(wrap.format(f"<article><h1>T</h1><p>A b, c.</p></article>{side}")) == "T\nA b, c.", wrap
+        assert tag_paths.content(wrap.format(f"<main><p>A b, c.</p></main>{side}")) == "A b, c.", wrap
+        assert tag_paths.content(wrap.format(f"<div class=post><p>{LONG}</p></div>{side}")) == LONG.strip(), wrap
+    assert tag_paths.content(f"<article><div class='post-with-comments'><p>{LONG}</p></div></article>") == LONG.strip()
+    assert tag_paths.content(f"<div class=ad>{LONG}</div><article><h1>T</h1><p>A b.</article>") == "T\nA b."
+    replies = "".join(f"<article class=comment><p>Reply, {k}.</p></article>" for k in range(9))
+    assert tag_paths.content(f"<main><div><p>{LONG}</p></div><section id=comments>{replies}</section></main>") == LONG.strip()
+
+
+def test_noise_names_alone_leave_the_ratios_to_judge():
+    third = "Some text, of a third. " * 3
+    assert tag_paths.content("".join(f"<div class='{c}'><p>{third}</p></div>" for c in ("search-a", "share-b", "alert-c")))
+    assert tag_paths.content("<div class=menu><a href=1>home</a></div>") == ""
+
+
+def test_link_lists_inside_the_article():
+    refs = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+    assert tag_paths.content(f"<article><p>{LONG}</p>{refs}</article><ul><li><a href=3>elsewhere</a></ul>") == f"{LONG.strip()}\nFirst source\nSecond source"
+
+
 def test_main_text_of_the_given_pages(spark):
     import html
 

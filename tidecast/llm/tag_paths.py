@@ -5,13 +5,19 @@ hold markup). Text gathers in blocks; a block's path is the list of structural t
 to it, each with its class and id, inline markup left out. Then, per page:
 
 1. Blocks whose path runs through an element that is never part of an article (navigation, footer,
-   aside, form, script ...), or one named as an advert, comment, notice, menu ..., go.
+   aside, script ..., or hidden) go, and so do those in a form or in an element whose class, id or
+   role has a name of ``NOISE`` or ``HEADER`` (advert, comment, notice, menu, sidebar, search ...).
+   A name or a form alone drops no subtree that holds the page's article or main element (one with
+   at least half the text of all of them) or, in such an element or on a page without one,
+   ``MOST_TEXT`` of the page's unlinked text: a wrapper "has-sidebar" is judged by the ratios below.
+   So is all of it if the names leave no text.
 2. Text characters, punctuation marks, link characters and blocks are summed per path.
 3. Characters per block and marks per block are smoothed over neighbouring paths of the same parent
    (1, 2, 1), which lifts headings and short paragraphs to their surroundings, and fused to
    ``text * (1 + marks) * (1 - link share)``; paths inside an article or main element weigh more.
 4. Paths that reach ``LEAST_SHARE`` of the best are content, and so is all that lies beside the best
-   path (in the same article, or else under the same parent) and does not consist of links.
+   path: all of the same article, link lists too, or else what has the same parent and does not
+   consist of links.
 
 Content blocks come in page order, joined by a line end; character references are decoded, white
 space becomes one blank. A null or empty page, or one without text, gives the empty text. Repeated
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.words import whole
 
-LEAST_SHARE, ARTICLE_WEIGHT, MOST_LINKS = 0.5, 8.0, 0.8
+LEAST_SHARE, ARTICLE_WEIGHT, MOST_LINKS, MOST_TEXT = 0.5, 8.0, 0.8, 2 / 3
 #: A comment, a declaration, or a tag with its attributes; quoted values may hold ">".
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -41,7 +47,7 @@ INLINE = frozenset(
     "b i em strong span font u s small big sup sub code abbr acronym cite q mark time label img br wbr tt kbd samp var ins del bdi bdo ruby rt rp data"
     " input embed param source track meta link base area col".split()
 )
-NEVER = frozenset("nav footer aside form button dialog menu fieldset head".split()) | RAW
+NEVER = frozenset("nav footer aside button dialog menu fieldset head".split()) | RAW
 ARTICLE = frozenset(["article", "main"])
 CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
 NOISE = re.compile(
@@ -54,16 +60,18 @@ HEADER = re.compile(r"(?<![a-z])(header|masthead)(?![a-z])", re.I)
 MARK = re.compile(r"[.,;:!?…。，、؟।]")
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str, int]]:
-    """(path, inside an article, noise, text, link characters) of each block, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, inside an article, noise
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], bool, str, int, tuple[int, ...]]]:
+    """(path, its articles, noise, text, link characters, its elements that a name or form makes noise)
+    of each block, in page order; elements are numbered."""
+    stack: list[tuple[str, str, tuple[int, ...], bool, tuple[int, ...]]] = []  # tag, label, articles, noise, named
     parts: list[str] = []
     links = anchors = at = 0
 
     def flush():
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
-        found = (tuple(s[1] for s in stack), bool(stack and stack[-1][2]), bool(stack and stack[-1][3]), text, links)
+        articles, noise, named = stack[-1][2:] if stack else ((), False, ())
+        found = (tuple(s[1] for s in stack), articles, noise, text, links, named)
         parts.clear()
         links = 0
         return [found] if text else []
@@ -97,29 +105,53 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str, int]]:
                 at = end.end() if end else len(page)
             else:
                 pop(CLOSES.get(tag, ["p"]) if tag in CLOSES else ["p"])
-                inside, noise = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                inside = inside or tag in ARTICLE
+                articles, noise, named = stack[-1][2:] if stack else ((), False, ())
+                articles = (*articles, at) if tag in ARTICLE else articles
                 names = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
                 words = " ".join(names.get(k, "") for k in ("class", "id", "role"))
-                noise = noise or tag in NEVER or bool(words and NOISE.search(words) and tag not in (*ARTICLE, "body", "html"))
-                noise = noise or not inside and (tag == "header" or bool(HEADER.search(words)))
+                by_name = tag == "form" or bool(words and NOISE.search(words) and tag not in (*ARTICLE, "body", "html"))
+                by_name = by_name or not articles and bool(HEADER.search(words)) and tag not in ("body", "html")
+                named = (*named, at) if by_name else named
+                noise = noise or tag in NEVER or not articles and tag == "header"
                 noise = noise or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
                 if not rest.endswith("/") and tag != "hr":
-                    stack.append((tag, f"{tag}.{words}" if words.strip() else tag, inside, noise))
+                    stack.append((tag, f"{tag}.{words}" if words.strip() else tag, articles, noise, named))
         m = TAG.search(page, at)
     parts.append(page[at:])
     yield from flush()
 
 
+def spared(found: list[tuple]) -> list[tuple]:
+    """The blocks without those in a noise element by name or form, unless it holds the article or most of the text."""
+    unlinked = [max(0, len(text) - links) for _, _, _, text, links, _ in found]
+    of_article: dict[int, int] = defaultdict(int)
+    of_named: dict[int, int] = defaultdict(int)
+    above: dict[int, set[int]] = {}  # the named elements around an article
+    within: set[int] = set()  # the named elements in an article
+    for (_, articles, _, _, _, named), n in zip(found, unlinked, strict=True):
+        for a in articles:
+            of_article[a] += n
+            above[a] = {x for x in named if x < a}  # numbers rise inwards
+        for x in named:
+            of_named[x] += n
+            if articles and x > articles[0]:
+                within.add(x)
+    total, in_articles = sum(unlinked), sum(n for b, n in zip(found, unlinked, strict=True) if b[1])
+    # beside an article, most of the text may still be an advert
+    kept = {x for x, n in of_named.items() if n > MOST_TEXT * total and (not in_articles or x in within)}
+    kept |= {x for a, n in of_article.items() if n and n >= LEAST_SHARE * in_articles for x in above[a]}
+    return [b for b in found if kept.issuperset(b[5])] or (found if total else [])
+
+
 def content(page: str) -> str:
     """The main text of a page."""
-    found = [b for b in blocks(page) if not b[2]]
+    found = spared([b for b in blocks(page) if not b[2]])
     sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])  # characters, marks, links, blocks
     inside: dict[tuple, bool] = {}
-    for path, article, _, text, links in found:
+    for path, articles, _, text, links, _ in found:
         for k, x in enumerate((len(text), len(MARK.findall(text)), min(links, len(text)), 1)):
             sums[path][k] += x
-        inside[path] = article
+        inside[path] = bool(articles)
     if not sums:
         return ""
     ratios = {p: (c / n, m / n) for p, (c, m, _, n) in sums.items()}
@@ -133,13 +165,13 @@ def content(page: str) -> str:
             text, marks = (sum(x) / len(near) for x in zip(*near, strict=True))
             fused[p] = text * (1 + marks) * (1 - sums[p][2] / sums[p][0]) * (ARTICLE_WEIGHT if inside[p] else 1)
     best = max(fused, key=lambda p: fused[p])
-    linked = {p for p in sums if sums[p][2] > MOST_LINKS * sums[p][0]}
+    linked = {p for p in sums if not inside[p] and sums[p][2] > MOST_LINKS * sums[p][0]}
 
     def beside(p):
         return inside[p] if inside[best] else p[: len(best) - 1] == best[:-1]
 
     keep = {p for p in sums if p == best or p not in linked and (fused[p] >= LEAST_SHARE * fused[best] and inside[p] == inside[best] or beside(p))}
-    return "\n".join(text for path, _, _, text, _ in found if path in keep)
+    return "\n".join(text for path, _, _, text, *_ in found if path in keep)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
