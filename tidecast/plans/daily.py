@@ -6,7 +6,7 @@ Each stage is a composition of operators. Stages that several later ones read ar
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from tidecast.operators import facts, horizon, profile
 from tidecast.operators import forecast as P
 from tidecast.operators import learn as N
 from tidecast.operators import ledger as L
+from tidecast.operators import models as D
 from tidecast.session import materialise
 
 
@@ -34,10 +35,15 @@ class Inputs:
     segments: DataFrame | None = None
     seasonal: DataFrame | None = None
     entity_state: DataFrame | None = None
+    future_close: DataFrame | None = None  # entity, future_close_date
+    closed_windows: DataFrame | None = None  # entity, from_date, to_date: no facts to learn from
 
 
 def forecast_rows(inp: Inputs, today: str, days: int = 30) -> DataFrame:
-    """Shift forecasts of the next ``days`` days for every entity that is not excluded."""
+    """Forecasts of the next ``days`` days for every entity that is not excluded: by shift, and
+    those of the ensemble by day (no shift) where the route calls a date long."""
+    if inp.closed_windows is not None:
+        inp = replace(inp, txn=horizon.exclude_windows(inp.txn, inp.closed_windows))
     start = str(dt.date.fromisoformat(today) + dt.timedelta(days=1))
     day = materialise(facts.daily(inp.txn), "daily-facts")
     cal = inp.calendar
@@ -50,10 +56,10 @@ def forecast_rows(inp: Inputs, today: str, days: int = 30) -> DataFrame:
 
     h = horizon.skeleton(prof.where("not should_exclude or category = 'NEW'").select("entity"), cal, start, days)
     h = materialise(K.apply_events(h, K.event_per_entity(events), K.event_aggregate(events)), "horizon")
-    routed = P.route(prof, h, start, days)
+    routed = materialise(P.route(prof, h, start), "routed")
 
     base = P.baseline_median(day, routed.where("route = 'baseline'")).select("entity", "date", "shift", "forecast", "route")
-    ens = _ensemble(inp, day, prof, routed.where("route = 'ensemble'"), today)
+    ens = _ensemble(inp, day, prof, routed.where("route = 'ensemble'"), cal, today)
     ens = materialise(ens, "ensemble")
     out = base.unionByName(ens.select("entity", "date", "shift", "forecast", "route"))
     if inp.chain_dim is not None:
@@ -69,30 +75,40 @@ def forecast_rows(inp: Inputs, today: str, days: int = 30) -> DataFrame:
     wd = profile.weekday_stats(day).select("entity", "weekday", "avg")
     out = P.guardrail(P.final_cap(out), wd)
     rates = K.closure_rates(ratios)
-    gone = day.select("entity").where("false").withColumn("future_close_date", F.lit(None).cast("date"))
+    none = day.select("entity").where("false").withColumn("future_close_date", F.lit(None).cast("date"))
+    gone = inp.future_close if inp.future_close is not None else none
+    gone = gone.groupBy("entity").agg(F.min("future_close_date").alias("future_close_date"))
     sched = inp.schedule if inp.schedule is not None else day.select("entity", "date", F.lit("OPEN").alias("status")).where("false")
     closed = K.closed_dates(h, gone, sched, K.closures(day, inp.calendar), rates)
     return P.half_day(out, closed)
 
 
-def _ensemble(inp: Inputs, day: DataFrame, prof: DataFrame, rows: DataFrame, today: str) -> DataFrame:
-    """Statistical sources blended by strategy, adjusted and split to shifts."""
+def _ensemble(inp: Inputs, day: DataFrame, prof: DataFrame, rows: DataFrame, cal: DataFrame, today: str) -> DataFrame:
+    """Model and statistical sources blended by strategy and adjusted; short dates split to shifts."""
     cols = ["entity", "strategy", "volume_segment", "avg_daily", "trend_score", "trend_short", "mean_7d", "max_by_special",
             "max_daily_normal_weekday", "max_daily_normal_weekend", "min_daily_normal_weekday", "min_daily_normal_weekend"]
     s = materialise(facts.guest_facts(inp.txn, by_shift=True), "shift-facts")
     wd = F.weekday("date").alias("wd")
-    means = day.groupBy("entity", wd).agg(F.avg("guests").alias("ml"), F.median("guests").alias("seasonal"))
+    means = day.groupBy("entity", wd).agg(F.avg("guests").alias("ml"))
     split = s.groupBy("entity", wd).agg(
         F.avg(F.when(F.col("shift") == "MORNING", F.col("guests"))).alias("ml_morning"),
         F.avg(F.when(F.col("shift") == "EVENING", F.col("guests"))).alias("ml_evening"))
     d = rows.join(P.strategy_weights(prof.select(*cols)), "entity").withColumn("wd", F.weekday("date"))
     d = d.join(means, ["entity", "wd"], "left").join(split, ["entity", "wd"], "left")
-    d = d.withColumns({"neural": F.col("avg_daily"), "ai": F.col("mean_7d")}).drop("wd")
+    # a model without a value for an entity takes no part in its blend
+    wanted = rows.select("entity", "date")
+    for name, f in (("seasonal", D.seasonal_forecast(day, wanted)), ("neural", D.global_forecast(day, cal, wanted))):
+        d = d.join(f.select("entity", "date", F.col("forecast").alias(name)), ["entity", "date"], "left")
+    d = d.withColumn("ai", F.col("mean_7d")).drop("wd")
     if inp.booking is not None:
         d = P.booking_ratio(d, facts.booking_day(inp.booking))
     else:
         d = d.withColumn("booking_ratio", F.lit(0.0))
-    return P.shift_split(P.chain(d, today), facts.weekday_shift_ratio(inp.txn), P.percentiles(s)[1])
+    d = materialise(d, "sources")
+    short = P.shift_split(P.chain(d.where("span = 'short'"), today), facts.weekday_shift_ratio(inp.txn), P.percentiles(s)[1])
+    long = P.daily_only(d.where("span = 'long'"), today).withColumn("shift", F.lit(None).cast("string"))
+    cols = ["entity", "date", "shift", "forecast", "route"]
+    return short.select(*cols).unionByName(long.select(*cols))
 
 
 def _new_entities(inp: Inputs, day: DataFrame, rows: DataFrame) -> DataFrame:
@@ -111,6 +127,7 @@ def run(inp: Inputs, today: str, days: int = 30) -> DataFrame:
     """New ledger: actuals filled, the run's rows merged in, one mode and one row per slot."""
     new = forecast_rows(inp, today, days).select(
         F.lit(today).cast("date").alias("run_date"), "entity", "date", F.lit(None).cast("int").alias("hour"), "shift",
-        F.col("forecast").alias("pred"), F.lit(None).cast("double").alias("actual"), F.lit("shift").alias("mode"))
+        F.col("forecast").alias("pred"), F.lit(None).cast("double").alias("actual"),
+        F.when(F.col("shift").isNull(), "daily_only").otherwise("shift").alias("mode"))
     filled = L.fill_actuals(inp.ledger, inp.txn, today).select(*new.columns)
     return L.dedup(L.one_mode(L.merge(filled, new, today)))
