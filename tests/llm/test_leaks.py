@@ -90,3 +90,12 @@ def test_partial_copies_in_many_documents(spark):
     assert all(got[d].item_id == 1 and got[d].score == 16 / 37 and (got[d].start, got[d].end) == (3, 18) for d in range(30))
     assert all(got[100 + d].item_id == 2 and abs(got[100 + d].score - plain.local_alignment(worded, edited) / 74) < 1e-9 for d in range(25))
     assert A.decontaminate(docs, bench).count() == 0
+
+
+def test_a_shared_run_is_no_short_item(spark):
+    """Short items count as a whole only, longer ones from five matching words on."""
+    items = {1: "what is the capital of old france", 2: "a b c d e f g h i j", 3: "k l m n o p q r s"}
+    texts = {1: "he said what is the capital and left", 2: "so what is the capital of old france then", 3: "x a b c d y", 4: "x a b c d e y", 5: "k l m n x o p q r s", 6: "k l m x n y"}
+    docs, bench = spark.createDataFrame(list(texts.items()), DOC), spark.createDataFrame(list(items.items()), ITEM)
+    assert {(r.doc_id, r.item_id) for r in A.query(docs, bench).collect()} == {(2, 1), (4, 2), (5, 3)}
+    assert sorted(r.doc_id for r in A.decontaminate(docs, bench).collect()) == [1, 3, 6]

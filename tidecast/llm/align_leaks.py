@@ -12,6 +12,9 @@
    best stretch of the text when each of the item's words counts as a match.
 5. A local alignment of words (match 2, mismatch -1, gap -1) between passage and item gives
    score / (2 * words of the item); from ``LEAST_SCORE`` on, the document holds the item.
+   Besides, the points must be more than ``LEAST_WORDS - 1`` words can give, so that at least
+   ``LEAST_WORDS`` words match. Items of up to ``SHORT_ITEM`` words are held only as a whole, word
+   for word: one shared run of three words would be enough of them otherwise.
 
 Words are the runs of letters and digits of the lower-cased text. Null or empty texts hold
 nothing. Items of under three words are one run of what they have; items without words are
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from tidecast.llm.words import whole
 from tidecast.session import materialise
 
-RUN, LEAST_SCORE, BLOCK_WORDS = 3, 0.35, 500_000
+RUN, LEAST_SCORE, LEAST_WORDS, SHORT_ITEM, BLOCK_WORDS = 3, 0.35, 5, 8, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 PASSAGE = "doc_id long, text_hash long, first long, runs array<int>, words array<int>"
@@ -122,7 +125,9 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
 
 def least(words: int) -> float:
     """The points an alignment needs with an item of so many words."""
-    return LEAST_SCORE * MATCH * words - 1e-9
+    if words <= SHORT_ITEM:
+        return MATCH * words
+    return max(LEAST_SCORE * MATCH * words - 1e-9, MATCH * (LEAST_WORDS - 1) + 1)
 
 
 def candidates(distinct: DataFrame, items: Items) -> DataFrame:
