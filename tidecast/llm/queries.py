@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, secret_index, tag_paths, token_arrow, toxic_fm, warc_derive
+from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, merkle_blocks, secret_index, tag_paths, token_arrow, toxic_fm, warc_derive
 from tidecast.llm.words import table
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_token_arrow": lambda spark, sf_dir: token_arrow.query(table(spark, sf_dir, "documents")),
     "op9_secret_index": lambda spark, sf_dir: secret_index.query(table(spark, sf_dir, "documents")),
     "op10_host_quality": lambda spark, sf_dir: host_rules.query(table(spark, sf_dir, "documents")),
+    "op11_merkle_blocks": lambda spark, sf_dir: merkle_blocks.query(table(spark, sf_dir, "documents")),
 }
-ORACLES = {"op6_chat_grammar": chat_grammar.ORACLE, "op10_host_quality": host_rules.ORACLE}
+ORACLES = {"op6_chat_grammar": chat_grammar.ORACLE, "op10_host_quality": host_rules.ORACLE, "op11_merkle_blocks": merkle_blocks.ORACLE}

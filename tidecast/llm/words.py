@@ -39,3 +39,17 @@ def window_hashes(words_col: str, width: int = 5) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), one)).otherwise(
         F.array().cast("array<bigint>")
     )
+
+
+#: DuckDB: one row with ``t``, the 256 values of the reflected crc32 polynomial.
+CRC_TABLE = """
+crc AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS c
+  FROM range(256) r(i)))"""
+
+
+def crc32_sql(text: str, table: str) -> str:
+    """DuckDB: unsigned crc32 of an ASCII text, ``table`` being ``t`` of ``CRC_TABLE``."""
+    chars = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    step = f"lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {chars}), {step}), 4294967295::BIGINT)"
