@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, merkle_blocks, period_runs, secret_index, tag_paths, token_arrow, toxic_fm, warc_derive
+from tidecast.llm import align_leaks, bottom_k, chat_grammar, flow_mix, host_rules, merkle_blocks, passage_attention, period_runs, secret_index, tag_paths, token_arrow, toxic_fm, warc_derive
 from tidecast.llm.words import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secret_index": lambda spark, sf_dir: secret_index.query(table(spark, sf_dir, "documents")),
     "op10_host_quality": lambda spark, sf_dir: host_rules.query(table(spark, sf_dir, "documents")),
     "op11_merkle_blocks": lambda spark, sf_dir: merkle_blocks.query(table(spark, sf_dir, "documents")),
+    "op12_passage_attention": lambda spark, sf_dir: passage_attention.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_period_runs": lambda spark, sf_dir: period_runs.query(table(spark, sf_dir, "documents")),
 }
 ORACLES = {"op6_chat_grammar": chat_grammar.ORACLE, "op10_host_quality": host_rules.ORACLE, "op11_merkle_blocks": merkle_blocks.ORACLE, "op13_period_runs": period_runs.ORACLE}
