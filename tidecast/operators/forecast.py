@@ -99,9 +99,10 @@ def blend_or_zero(df: DataFrame) -> DataFrame:
     return blend(df).withColumn("combined", F.coalesce("combined", F.lit(0.0)))
 
 
-def growth_adjust(df: DataFrame, today: str) -> DataFrame:
-    """Weekly growth from the trend score, limited to 15 % either way."""
-    days = F.datediff("date", F.lit(today).cast("date"))
+def growth_adjust(df: DataFrame, today: str | Column) -> DataFrame:
+    """Weekly growth from the trend score, limited to 15 % either way. ``today``: a date, or the
+    column that holds one for each row."""
+    days = F.datediff("date", today if isinstance(today, Column) else F.lit(today).cast("date"))
     f = clip(1 + F.col("trend_score") / 2000 * (days / 7), 0.85, 1.15)
     return df.withColumn("combined", F.when(days > 0, F.col("combined") * f).otherwise(F.col("combined")))
 
@@ -289,15 +290,19 @@ def guardrail(df: DataFrame, weekday_avg: DataFrame) -> DataFrame:
     """Ordinary days stay near the weekday mean: 80-135 % for busy entities (never pulled
     down), 85-120 % for the others. ``weekday_avg``: entity, weekday, avg."""
     j = df.withColumn("weekday", F.date_format("date", "EEEE")).join(weekday_avg, ["entity", "weekday"], "left")
-    j = _with_day(j)
-    base, d = F.coalesce("avg", "avg_daily"), F.col("__day")
+    return guard(j, F.coalesce("avg", "avg_daily"), ["entity", "date"]).drop("avg")
+
+
+def guard(df: DataFrame, base: Column, day: list[str]) -> DataFrame:
+    """Keeps ordinary days near ``base``; the shifts of a day share the key columns ``day``."""
+    j, d = df.withColumn("__day", F.sum("forecast").over(W.partitionBy(*day))), F.col("__day")
     big = F.col("avg_daily") >= 100
     lo = F.when(big, base * 0.80).otherwise(base * 0.85)
     hi = F.when(big, base * 1.35).otherwise(base * 1.20)
     plain = ~F.col("is_holiday") & ~F.col("is_special_event") & (d > 0) & (base > 0)
     out = (d > hi) | (d < lo)
     f = F.when(plain & out & ~(big & (d > base)), clip(d, lo, hi) / F.nullif(d, F.lit(0.0)))
-    return _scale_day(j, f).drop("avg")
+    return _scale_day(j, f)
 
 
 def half_day(df: DataFrame, closed: DataFrame) -> DataFrame:

@@ -62,6 +62,17 @@ def gaps(day: DataFrame, min_gap: int = rules.MIN_GAP_DAYS) -> DataFrame:
     )
 
 
+def exclude_reason(span: Column, gap_ratio: Column, active_days: Column, in_gap: Column, since: Column | None = None) -> Column:
+    current = F.lit("CURRENTLY_IN_GAP")
+    return (
+        F.when(span <= 0, "SINGLE_DAY_DATA")
+        .when(gap_ratio > rules.MAX_GAP_RATIO, "HIGH_GAP_RATIO")
+        .when(active_days < rules.MIN_ACTIVE_DAYS, "LOW_ACTIVE_DAYS")
+        .when(in_gap, current if since is None else F.concat(current, since))
+        .otherwise("OK")
+    )
+
+
 def exclude(day: DataFrame, today: str, gap_rows: DataFrame | None = None) -> DataFrame:
     """Whether an entity is left out of the forecast, and why (first rule wins)."""
     g = (gaps(day) if gap_rows is None else gap_rows).groupBy("entity").agg(
@@ -74,13 +85,8 @@ def exclude(day: DataFrame, today: str, gap_rows: DataFrame | None = None) -> Da
     j = d.join(g, "entity", "left").fillna(0, ["total_gaps", "total_gap_days"])
     gap_ratio = F.col("total_gap_days") / F.nullif(F.col("span").cast("double"), F.lit(0.0))
     in_gap = F.col("last_gap.gap_end") >= F.date_sub(F.lit(today).cast("date"), 3)
-    reason = (
-        F.when(F.col("span") <= 0, "SINGLE_DAY_DATA")
-        .when(gap_ratio > rules.MAX_GAP_RATIO, "HIGH_GAP_RATIO")
-        .when(F.col("active_days") < rules.MIN_ACTIVE_DAYS, "LOW_ACTIVE_DAYS")
-        .when(in_gap, F.concat(F.lit("CURRENTLY_IN_GAP since "), F.col("last_gap.gap_start").cast("string")))
-        .otherwise("OK")
-    )
+    since = F.concat(F.lit(" since "), F.col("last_gap.gap_start").cast("string"))
+    reason = exclude_reason(F.col("span"), gap_ratio, F.col("active_days"), in_gap, since)
     return j.select(
         "entity", "active_days", "total_gaps", "total_gap_days",
         F.coalesce(gap_ratio, F.lit(0.0)).alias("gap_ratio"), reason.alias("exclude_reason"),
@@ -180,6 +186,14 @@ def volume_segment(avg: Column) -> Column:
     )
 
 
+def category(active_days: Column, cv: Column, avg: Column) -> Column:
+    return (
+        F.when(active_days < rules.NEW_DAYS, "NEW").when(active_days < rules.YOUNG_DAYS, "YOUNG")
+        .when(cv > rules.VOLATILE_CV, "VOLATILE").when(avg > rules.HIGH_VOLUME_AVG, "HIGH_VOLUME")
+        .otherwise("STANDARD")
+    )
+
+
 def classify(day: DataFrame) -> DataFrame:
     """Category, strategy and volume segment from the level, spread and length of history."""
     a = day.groupBy("entity").agg(
@@ -189,12 +203,7 @@ def classify(day: DataFrame) -> DataFrame:
     )
     avg, n = F.col("avg_daily"), F.col("active_days")
     a = a.withColumn("cv", F.coalesce(ratio(F.col("std_daily"), F.when(avg > 0, avg)), F.lit(999.0)))
-    cat = (
-        F.when(n < rules.NEW_DAYS, "NEW").when(n < rules.YOUNG_DAYS, "YOUNG")
-        .when(F.col("cv") > rules.VOLATILE_CV, "VOLATILE").when(avg > rules.HIGH_VOLUME_AVG, "HIGH_VOLUME")
-        .otherwise("STANDARD")
-    )
-    a = a.withColumns({"category": cat, "volume_segment": volume_segment(avg)})
+    a = a.withColumns({"category": category(n, F.col("cv"), avg), "volume_segment": volume_segment(avg)})
     c, seg = F.col("category"), F.col("volume_segment")
     strategy = (
         F.when(c == "NEW", "AI_ONLY").when(c == "YOUNG", "AI_PRIMARY_ML_SECONDARY")
