@@ -156,14 +156,24 @@ def join_items(txn: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFram
     return items.join(txn, "transaction_id").join(catalog, "item")
 
 
-def item_facts(item_txn: DataFrame, by_shift: bool = False) -> DataFrame:
-    """Quantity and distinct orders per entity, date, item (and shift)."""
+def order_items(items: DataFrame) -> DataFrame:
+    """Lines summed per transaction and item, dealt out as the join with transactions needs them."""
+    return items.groupBy("transaction_id", "item").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
+
+
+def item_facts(txn: DataFrame, items: DataFrame, catalog: DataFrame, by_shift: bool = False) -> DataFrame:
+    """Quantity and distinct orders per entity, date, item (and shift).
+
+    Lines are summed per transaction and item before the join, in the join's own partitioning, so
+    that the orders of an item are rows to count; transactions are one row per id. The catalog
+    meets the facts only.
+    """
     keys = ["entity", "date", "item"] + (["shift"] if by_shift else [])
     if by_shift:
-        item_txn = item_txn.withColumn("shift", shift_of(F.col("hour"))).where(F.col("shift") != "OTHER")
-    return item_txn.groupBy(*keys, "item_name", "item_group").agg(
-        F.sum("quantity").alias("quantity"), F.count_distinct("transaction_id").alias("orders")
-    )
+        txn = txn.withColumn("shift", shift_of(F.col("hour"))).where(F.col("shift") != "OTHER")
+    sold = order_items(items).join(txn.select("transaction_id", *[k for k in keys if k != "item"]), "transaction_id")
+    sums = sold.groupBy(*keys).agg(F.sum("quantity").alias("quantity"), F.count("transaction_id").alias("orders"))
+    return sums.join(catalog, "item").select(*keys, "item_name", "item_group", "quantity", "orders")
 
 
 def group_facts(item_day: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from tidecast.plans.registry import SHARED, cte
 from tidecast.session import materialise
 
 AS_OF = "2001-08-01"
+#: Buckets of stored facts, for the size of the test tables.
+BUCKETS = 16
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -10,7 +10,8 @@ from tidecast.plans import inputs as I
 from tidecast.plans.inputs import SHIFT_SQL
 from tidecast.plans.q_sources import _two
 from tidecast.plans.registry import cte, query, with_
-from tidecast.sources import readers
+from tidecast.session import fresh_path
+from tidecast.sources import readers, store
 
 
 # -- projections ----------------------------------------------------------------------
@@ -206,6 +207,29 @@ def win_dedup_priority(spark, sf):
     return facts.dedup_priority(_two(spark, sf, False)).select("entity", "transaction_id", "guests", "source")
 
 
+def stored_txn(spark, sf):
+    """Both sources appended to one store, bucketed by transaction id."""
+    a, b = facts.source_a(I.raw_a(spark, sf)), facts.source_b(I.raw_b(spark, sf))
+    path = fresh_path(spark, "txn-store")
+    name = store.open_store(spark, path, a.schema, "transaction_id", I.BUCKETS)
+    for delivery in (a, b):
+        store.append(delivery, name, "transaction_id", I.BUCKETS)
+    return spark.table(name)
+
+
+@query(
+    "win_dedup_stored",
+    with_(
+        """SELECT entity, transaction_id, guests, source, CAST(CAST(open_time AS DATE) AS VARCHAR) AS date,
+        CAST(hour(open_time) AS INTEGER) AS hour, dayname(open_time) AS weekday FROM deduped WHERE open_time IS NOT NULL""",
+        "deduped",
+    ),
+)
+def win_dedup_stored(spark, sf):
+    t = facts.with_open_time(store.dedup_highest(stored_txn(spark, sf)))
+    return t.select("entity", "transaction_id", "guests", "source", "date", "hour", "weekday")
+
+
 @query(
     "set_union_history",
     with_(
@@ -263,6 +287,10 @@ def item_txn(spark, sf):
     return facts.join_items(I.txn(spark, sf), I.items(spark, sf), I.catalog(spark, sf))
 
 
+def item_facts(spark, sf, by_shift=False):
+    return facts.item_facts(I.txn(spark, sf), I.items(spark, sf), I.catalog(spark, sf), by_shift)
+
+
 cte(
     "item_day",
     """SELECT entity, date, item, item_name, item_group, sum(quantity) AS quantity,
@@ -280,12 +308,12 @@ _ITEM = "entity, CAST(date AS VARCHAR) AS date, item, item_name, item_group, qua
 
 @query("agg_item_day", with_(f"SELECT {_ITEM} FROM item_day", "item_day"))
 def agg_item_day(spark, sf):
-    return facts.item_facts(item_txn(spark, sf))
+    return item_facts(spark, sf)
 
 
 @query("agg_item_shift", with_(f"SELECT {_ITEM}, shift FROM item_shift", "item_shift"))
 def agg_item_shift(spark, sf):
-    return facts.item_facts(item_txn(spark, sf), by_shift=True)
+    return item_facts(spark, sf, by_shift=True)
 
 
 @query(
@@ -297,10 +325,9 @@ def agg_item_shift(spark, sf):
     ),
 )
 def jn_txn_items(spark, sf):
-    return item_txn(spark, sf).groupBy("item_group").agg(
-        F.count("*").alias("lines"), F.sum("quantity").alias("quantity"),
-        F.count_distinct("transaction_id").alias("orders"),
-    )
+    sold = facts.join_items(I.txn(spark, sf).select("transaction_id"), facts.order_items(I.items(spark, sf)), I.catalog(spark, sf))
+    order = sold.groupBy("transaction_id", "item_group").agg(F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity"))
+    return order.groupBy("item_group").agg(F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity"), F.count("transaction_id").alias("orders"))
 
 
 @query(
@@ -312,7 +339,22 @@ def jn_txn_items(spark, sf):
     ),
 )
 def agg_group_day(spark, sf):
-    return facts.group_facts(facts.item_facts(item_txn(spark, sf)))
+    return facts.group_facts(item_facts(spark, sf))
+
+
+@query(
+    "jn_items_stored",
+    with_(
+        """SELECT d.entity, CAST(CAST(d.open_time AS DATE) AS VARCHAR) AS date, l.l_partkey AS item, p.p_name AS item_name, p.p_brand AS item_group,
+        sum(l.l_quantity) AS quantity, count(DISTINCT d.transaction_id) AS orders FROM deduped d JOIN lineitem l ON d.transaction_id = 'T' || CAST(l.l_orderkey AS VARCHAR)
+        JOIN part p ON p.p_partkey = l.l_partkey WHERE d.open_time IS NOT NULL GROUP BY ALL""",
+        "deduped",
+    ),
+)
+def jn_items_stored(spark, sf):
+    lines = store.stored(I.items(spark, sf), "lines", "transaction_id", I.BUCKETS)
+    txn = facts.with_open_time(store.dedup_highest(stored_txn(spark, sf)))
+    return facts.item_facts(txn, lines, I.catalog(spark, sf))
 
 
 cte(
@@ -472,7 +514,7 @@ cte(
 
 @query("agg_item_shift_ratio", with_("SELECT entity, item, shift, round(ratio, 9) AS ratio FROM item_shift_ratio", "item_shift_ratio"))
 def agg_item_shift_ratio(spark, sf):
-    s = facts.item_facts(item_txn(spark, sf), by_shift=True)
+    s = item_facts(spark, sf, by_shift=True)
     return facts.item_shift_ratio(s).withColumn("ratio", F.round("ratio", 9))
 
 

@@ -10,7 +10,7 @@ from tidecast.operators import features as X
 from tidecast.operators import forecast as P
 from tidecast.operators import metrics as M
 from tidecast.plans import inputs as I
-from tidecast.plans.q_facts import item_txn
+from tidecast.plans.q_facts import item_facts
 from tidecast.plans.q_ledger import ledger
 from tidecast.plans.q_profile import H_START, closed_dates, hz, rounded, tagged_txn
 from tidecast.plans.q_sources import month_derived
@@ -322,7 +322,7 @@ def _series(name, keys, value, src_sql, needs, src):
 
 
 def item_day(spark, sf):
-    return facts.item_facts(item_txn(spark, sf))
+    return item_facts(spark, sf)
 
 
 _series("fc_features_guest", ("entity",), "guests", "SELECT * FROM day", ("day",), lambda s, f: I.daily(s, f))
@@ -437,7 +437,7 @@ def fc_weekday_avg(spark, sf):
     ),
 )
 def fc_item_shift(spark, sf):
-    ratios = facts.item_shift_ratio(facts.item_facts(item_txn(spark, sf), by_shift=True))
+    ratios = facts.item_shift_ratio(item_facts(spark, sf, by_shift=True))
     return P.item_shift(item_pred(spark, sf), ratios)
 
 

@@ -9,7 +9,7 @@ from tidecast.operators import facts, monitor, profile
 from tidecast.operators import learn as N
 from tidecast.operators import metrics as M
 from tidecast.plans import inputs as I
-from tidecast.plans.q_facts import item_txn
+from tidecast.plans.q_facts import item_facts
 from tidecast.plans.q_ledger import _SEG, ledger, two_runs
 from tidecast.plans.q_profile import rounded
 from tidecast.plans.registry import cte, query, with_
@@ -634,7 +634,7 @@ def group_ledger(spark, sf):
     """Item-group ledger: forecast = previous quantity of the group."""
     from pyspark.sql import Window as W
 
-    g = facts.group_facts(facts.item_facts(item_txn(spark, sf)))
+    g = facts.group_facts(item_facts(spark, sf))
     w = W.partitionBy("entity", "item_group").orderBy("date")
     led = g.select("entity", "date", F.col("item_group").alias("item"), F.lag("quantity").over(w).alias("pred"), F.col("quantity").alias("actual"))
     return I.once(spark, sf, "group-ledger", lambda: N.errors(led))

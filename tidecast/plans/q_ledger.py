@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecast import rules
+from tidecast.operators import asof
 from tidecast.operators import evaluate as E
 from tidecast.operators import facts, kpi, monitor
 from tidecast.operators import ledger as L
 from tidecast.operators import metrics as M
 from tidecast.plans import inputs as I
-from tidecast.plans.q_facts import item_txn
+from tidecast.plans.q_facts import item_facts
 from tidecast.plans.q_profile import rounded
 from tidecast.plans.registry import cte, query, with_
 from tidecast.session import fresh_path
@@ -129,7 +131,7 @@ def jn_guest_actuals(spark, sf):
 
 
 def item_ledger(spark, sf):
-    s = facts.item_facts(item_txn(spark, sf), by_shift=True)
+    s = item_facts(spark, sf, by_shift=True)
     led = s.select("entity", F.date_add("date", 7).alias("date"), "shift", "item", F.col("quantity").alias("pred"))
     return L.fill_item_actuals(led, s, NOW)
 
@@ -971,13 +973,86 @@ def jn_backtest_split(spark, sf):
 
 
 @query(
-    "bt_run",
+    "bt_run_median",
     with_("SELECT CAST(sim_date AS VARCHAR) AS sim_date, entity, CAST(date AS VARCHAR) AS date, shift, pred, actual FROM bt_pairs", "bt_pairs"),
 )
-def bt_run(spark, sf):
+def bt_run_median(spark, sf):
     return bt_pairs(spark, sf)
 
 
+cte("bt_day", "SELECT entity, date, sum(guests) AS guests, sum(CASE WHEN shift = 'MORNING' THEN guests ELSE 0 END) AS morning FROM shift_day GROUP BY ALL", ["shift_day"])
+cte(
+    "bt_win",
+    """SELECT d.*, sim_date, CASE WHEN date - lag(date) OVER w >= 7 THEN date - lag(date) OVER w END AS gap FROM bt_day d
+  JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2001-06-30', INTERVAL 60 DAY)) AS DATE) AS sim_date) x
+   ON d.date >= sim_date - 360 AND d.date < sim_date WINDOW w AS (PARTITION BY entity, sim_date ORDER BY date)""",
+    ["bt_day"],
+)
+cte(
+    "bt_prof",
+    """SELECT *, CASE WHEN a > 0 THEN (b - a) / nullif(a, 0) * 100 WHEN b = 0 THEN 0.0 ELSE 100.0 END AS growth_30d,
+   CASE WHEN span <= 0 THEN 'SINGLE_DAY_DATA' WHEN gap_days / nullif(span::DOUBLE, 0) > 0.5 THEN 'HIGH_GAP_RATIO' WHEN active_days < 7 THEN 'LOW_ACTIVE_DAYS'
+    WHEN gap_end >= sim_date - 4 THEN 'CURRENTLY_IN_GAP' ELSE 'OK' END AS exclude_reason,
+   CASE WHEN active_days < 7 THEN 'NEW' WHEN active_days < 45 THEN 'YOUNG' WHEN coalesce(sd / nullif(avg_daily, 0), 999) > 0.5 THEN 'VOLATILE'
+    WHEN avg_daily > 200 THEN 'HIGH_VOLUME' ELSE 'STANDARD' END AS category,
+   CASE WHEN avg_daily < 20 THEN 'LOW_VOLUME' WHEN avg_daily < 80 THEN 'MEDIUM_VOLUME' ELSE 'HIGH_VOLUME' END AS volume_segment FROM (
+  SELECT entity, sim_date, count(*) AS active_days, avg(guests) AS avg_daily, coalesce(stddev_samp(guests), 0) AS sd, max(date) AS last_date, max(date) - min(date) AS span,
+   count(gap) AS gaps, coalesce(sum(gap), 0)::BIGINT AS gap_days, max(CASE WHEN gap IS NOT NULL THEN date END) AS gap_end,
+   coalesce(avg(guests) FILTER (date >= sim_date - 31 AND date < sim_date - 16), 0) AS a, coalesce(avg(guests) FILTER (date >= sim_date - 16), 0) AS b
+  FROM bt_win GROUP BY entity, sim_date)""",
+    ["bt_win"],
+)
+cte("bt_wd", "SELECT entity, sim_date, isodow(date) AS wd, avg(guests) AS avg, sum(morning) / nullif(sum(guests), 0) AS share FROM bt_win GROUP BY ALL", ["bt_win"])
+
+
+@query(
+    "bt_profiles",
+    with_(
+        """SELECT entity, CAST(sim_date AS VARCHAR) AS sim_date, active_days, round(avg_daily, 4) AS avg_daily, round(sd, 4) AS std_daily, round(growth_30d, 4) AS growth_30d,
+        gaps AS total_gaps, gap_days AS total_gap_days, exclude_reason, category, volume_segment, CAST(last_date AS VARCHAR) AS last_date FROM bt_prof""",
+        "bt_prof",
+    ),
+)
+def bt_profiles(spark, sf):
+    p = asof.profiles(asof.day_totals(I.shift_day(spark, sf)), *BT[:4])
+    cols = ["avg_daily", "std_daily", "growth_30d"]
+    return rounded(p.select("entity", "sim_date", "active_days", *cols, "total_gaps", "total_gap_days", "exclude_reason", "category", "volume_segment", "last_date"), *cols)
+
+
+_CURVE = "CASE volume_segment " + " ".join(
+    f"WHEN '{s}' THEN CASE days_to_holiday " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in c.items()) + " END" for s, c in rules.HOLIDAY_CURVES.items()
+) + " END"
+cte(
+    "bt_real",
+    f"""SELECT *, CASE WHEN NOT is_holiday AND NOT is_special_event AND d1 > 0 AND base > 0 AND (d1 > hi OR d1 < lo) AND NOT (avg_daily >= 100 AND d1 > base)
+    THEN greatest(0, round_even(f1 * (least(greatest(d1, lo), hi) / d1), 0)) ELSE f1 END AS pred FROM (
+   SELECT *, sum(f1) OVER (PARTITION BY entity, sim_date, date) AS d1, CASE WHEN avg_daily >= 100 THEN base * 0.80 ELSE base * 0.85 END AS lo,
+    CASE WHEN avg_daily >= 100 THEN base * 1.35 ELSE base * 1.20 END AS hi FROM (
+   SELECT *, greatest(0, round_even(c4 * coalesce(CASE WHEN shift = 'MORNING' THEN share ELSE 1 - share END, CASE WHEN shift = 'MORNING' THEN 0.45 ELSE 0.55 END), 0)) AS f1 FROM (
+   SELECT *, CASE WHEN busy OR NOT is_holiday THEN c2 * CASE WHEN busy AND holiday_impact <> 1 THEN greatest(1, holiday_impact)
+     WHEN is_holiday_window AND {_CURVE} IS NOT NULL THEN {_CURVE} WHEN holiday_impact <> 1 AND NOT is_holiday THEN holiday_impact ELSE 1.0 END ELSE c2 END AS c4 FROM (
+   SELECT p.entity, p.sim_date, p.avg_daily, p.volume_segment, c.*, s.shift, w.share, coalesce(w.avg, p.avg_daily) AS base,
+    coalesce(w.avg, p.avg_daily) * least(greatest(1 + least(greatest(growth_30d, -100), 100) / 2000 * ((c.date - p.sim_date + 1) / 7), 0.85), 1.15) AS c2,
+    coalesce(is_holiday AND holiday_type IN ('LIBERATION_DAY', 'LABOR_DAY', 'NATIONAL_DAY', 'HUNG_KINGS', 'TET_DUONG_LICH') AND NOT closed_likely, false) AS busy
+   FROM bt_prof p JOIN cal c ON c.date >= p.sim_date AND c.date < p.sim_date + 14 LEFT JOIN bt_wd w ON w.entity = p.entity AND w.sim_date = p.sim_date AND w.wd = isodow(c.date)
+    CROSS JOIN (SELECT unnest(['MORNING', 'EVENING']) AS shift) s
+   WHERE exclude_reason = 'OK' AND active_days >= 7 AND last_date >= p.sim_date - 30))))""",
+    ["bt_prof", "bt_wd", "cal"],
+)
+
+
+@query(
+    "bt_run",
+    with_(
+        """SELECT CAST(r.sim_date AS VARCHAR) AS sim_date, r.entity, CAST(r.date AS VARCHAR) AS date, r.shift, r.pred, s.guests AS actual
+        FROM bt_real r JOIN shift_day s ON s.entity = r.entity AND s.date = r.date AND s.shift = r.shift""",
+        "bt_real", "shift_day",
+    ),
+)
+def bt_run(spark, sf):
+    return asof.walk_forward(I.shift_day(spark, sf), I.calendar(spark, sf), *BT)
+
+
 @query(
     "win_horizon_day",
     with_("SELECT CAST(date - sim_date + 1 AS INTEGER) AS horizon_day, count(*) AS n, sum(pred) AS pred FROM bt_pairs GROUP BY 1", "bt_pairs"),
