@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidecast import rules
 from tidecast.functions.stats import clip, is_weekend, order_stats, ratio
-from tidecast.operators.features import SHIFT_FEATURES, cyclic, interpolate
+from tidecast.operators import linear
+from tidecast.operators.features import SHIFT_FEATURES, interpolate
 
 # Importance limit, features never pruned, gates of the residual models.
 MIN_IMPORTANCE = 0.005
@@ -119,47 +120,101 @@ def fourier(date: Column, yearly: int = 4, weekly: int = 3) -> dict[str, Column]
     return cols
 
 
-def seasonal_forecast(day: DataFrame, horizon: DataFrame, min_days: int = 14) -> DataFrame:
-    """Additive trend and weekly/yearly season: one linear fit on targets scaled by the
-    entity's mean; entities with too few days get no value."""
-    s = day.where("guests > 0").groupBy("entity").agg(
-        F.avg("guests").alias("level"), F.count("*").alias("n"), F.min("date").alias("t0")
-    ).where(F.col("n") >= min_days)
-    f = fourier(F.col("date"))
+CHANGES = (0.2, 0.4, 0.6, 0.8)
+#: Ridge of the level, the slope, its changes, the weekly and the yearly season and of holidays.
+SEASON_RIDGE = {"level": 1e-6, "slope": 0.1, "change": 30.0, "weekly": 0.5, "yearly": 5.0, "holiday": 0.5}
+
+
+def seasonal_columns(cal: bool) -> tuple[dict[str, Column], list[float]]:
+    """Features of a date within an entity's history ``t0`` to ``t1``, and their ridge."""
+    t = F.datediff("date", "t0") / F.greatest(F.datediff("t1", "t0"), F.lit(1))
+    cols = {"one": F.lit(1.0), "t": t} | {f"t{i}": F.greatest(t - c, F.lit(0.0)) for i, c in enumerate(CHANGES)}
+    ridge = [SEASON_RIDGE["level"], SEASON_RIDGE["slope"]] + [SEASON_RIDGE["change"]] * len(CHANGES)
+    season = fourier(F.col("date"))
+    cols |= season
+    ridge += [SEASON_RIDGE["yearly" if n.startswith("y") else "weekly"] for n in season]
+    if cal:
+        cols["hol"] = F.coalesce(F.col("is_holiday").cast("double"), F.lit(0.0))
+        ridge.append(SEASON_RIDGE["holiday"])
+    return cols, ridge
+
+
+def seasonal_forecast(day: DataFrame, horizon: DataFrame, cal: DataFrame | None = None, min_days: int = 14) -> DataFrame:
+    """Additive trend with changes of slope, weekly and yearly season, and holidays, fitted to every
+    entity's own days (ridge, closed form); entities with fewer than ``min_days`` get no value."""
+    seen = day.where("guests > 0")
+    span = seen.groupBy("entity").agg(
+        F.avg("guests").alias("level"), F.count("*").alias("days"), F.min("date").alias("t0"), F.max("date").alias("t1")
+    ).where(F.col("days") >= min_days)
+    cols, ridge = seasonal_columns(cal is not None)
+    hol = cal.select("date", "is_holiday") if cal is not None else None
+
+    def frame(d: DataFrame, *kept: str) -> DataFrame:
+        d = d.select("entity", "date", *kept).join(span, "entity")
+        d = d.join(hol, "date", "left") if hol is not None else d
+        return d.select("entity", "date", *kept, "level", *[c.alias(n) for n, c in cols.items()])
+
+    train = frame(seen, "guests").withColumn("y", F.col("guests") / F.col("level"))
+    coef = linear.gram(train, ["entity"], list(cols), "y").select("entity", linear.solve(F.col("m"), ridge).alias("coef"))
+    out = frame(horizon).join(coef, "entity").withColumn(
+        "forecast", F.greatest(F.lit(0.0), linear.dot(F.col("coef"), [F.col(n) for n in cols]) * F.col("level"))
+    )
+    return horizon.join(out.select("entity", "date", "forecast"), ["entity", "date"]).select(*horizon.columns, "forecast")
 
-    def frame(d):
-        return d.join(s, "entity").withColumns({**f, "trend": F.datediff("date", "t0") / 365.25})
 
-    names = [*f, "trend"]
-    train = _assemble(frame(day.where("guests > 0")).withColumn("y", F.col("guests") / F.col("level")), names)
-    if train.isEmpty():
-        return horizon.select("*", F.lit(None).cast("double").alias("forecast")).where("false")
-    model = LinearRegression(labelCol="y", regParam=0.01).fit(train)
-    out = model.transform(_assemble(frame(horizon), names))
-    return out.withColumn("forecast", F.greatest(F.lit(0.0), F.col("prediction") * F.col("level"))).select(*horizon.columns, "forecast")
+LAGS = 14
+AR_RIDGE, AR_LIMIT = 1.0, 5.0
+
+
+def ar_columns() -> dict[str, Column]:
+    """What a day is beside its past: level, weekly season, part of the year, holiday."""
+    return {"one": F.lit(1.0)} | fourier(F.col("date"), yearly=2) | {"hol": F.coalesce("hol", F.lit(0.0)), "imp": F.coalesce(F.col("impact") - 1, F.lit(0.0))}
 
 
 def global_forecast(day: DataFrame, cal: DataFrame, horizon: DataFrame, min_days: int = 60, min_entities: int = 5) -> DataFrame:
-    """One boosted model over the gap-filled series of all suitable entities: long enough,
-    not constant, with weekdays and weekends, and at least ``min_entities`` of them."""
+    """One autoregression for all suitable entities: long enough, not constant, with weekdays and
+    weekends, and at least ``min_entities`` of them.
+
+    The gap-filled series, in parts of their mean, are explained by their last ``LAGS`` days and the
+    calendar; the coefficients come from one sum over all days. From an entity's last day on, every
+    day is forecast from the ones before it, forecast or not, up to its last wanted date. Dates that
+    are not behind its last day get no value.
+    """
     full = interpolate(day)
     ok = full.groupBy("entity").agg(
         F.count("*").alias("n"), F.stddev_pop("guests").alias("sd"), F.avg("guests").alias("level"),
         F.count_if(is_weekend(F.col("date"))).alias("we"), F.count_if(~is_weekend(F.col("date"))).alias("wd"),
     ).where((F.col("n") >= min_days) & (F.col("sd") > 0) & (F.col("we") > 0) & (F.col("wd") > 0)).select("entity", "level")
     ok = ok.where(ok.agg(F.count("*")).scalar() >= min_entities)
-    last = full.groupBy("entity").agg(F.max_by("guests", "date").alias("lag"))
-    c = F.broadcast(cal.select("date", F.col("is_holiday").cast("int").alias("hol"), "holiday_impact"))
-    names = ["day_of_week", "day_of_month", "month", "dow_sin", "dow_cos", "month_sin", "month_cos", "hol", "holiday_impact", "level", "lag_rel"]
+    c = cal.select("date", F.col("is_holiday").cast("double").alias("hol"), F.col("holiday_impact").alias("impact"))
     w = W.partitionBy("entity").orderBy("date")
-    train = full.join(ok, "entity").withColumn("lag_rel", F.lag("guests", 7).over(w) / F.col("level")).where("lag_rel is not null")
-    train = cyclic(train.join(c, "date")).withColumn("y", F.col("guests") / F.col("level"))
-    if train.isEmpty():  # too few suitable entities: no forecast from this source
-        return horizon.select("entity", "date", F.lit(None).cast("double").alias("forecast")).where("false")
-    model = gbt(label="y").fit(_assemble(train, names))
-    h = cyclic(horizon.select("entity", "date").join(ok, "entity").join(last, "entity").join(c, "date")).withColumn("lag_rel", F.col("lag") / F.col("level"))
-    out = model.transform(_assemble(h, names))
-    return out.select("entity", "date", F.greatest(F.lit(0.0), F.col("prediction") * F.col("level")).alias("forecast"))
+    scaled = full.join(ok, "entity").withColumn("y", F.col("guests") / F.col("level"))
+    lags = {f"lag{k}": F.lag("y", k).over(w) for k in range(1, LAGS + 1)}
+    own = ar_columns()
+    train = scaled.withColumns(lags).where(f"lag{LAGS} is not null").join(c, "date", "left").select("y", *lags, *[v.alias(k) for k, v in own.items()])
+    coef = linear.gram(train, [], [*lags, *own], "y").where("n > 0").select(linear.solve(F.col("m"), [AR_RIDGE] * (LAGS + len(own))).alias("coef"))
+    # one row; without any it is null, and so are the forecasts
+    coef = coef.agg(F.first("coef")).scalar()
+
+    end = horizon.groupBy("entity").agg(F.max("date").alias("until"))
+    recent = scaled.withColumn("rn", F.row_number().over(w.orderBy(F.desc("date")))).where(F.col("rn") <= LAGS)
+    past = recent.groupBy("entity", "level").agg(F.max("date").alias("last"), F.sort_array(F.collect_list(F.struct("date", "y")))["y"].alias("past"))
+    steps = past.join(end, "entity").where("until > last").select("entity", "level", "past", F.explode(F.sequence(F.date_add("last", 1), "until")).alias("date"))
+    steps = steps.join(c, "date", "left").withColumn("coef", coef)
+    pull = linear.dot(F.slice("coef", LAGS + 1, len(own)), list(own.values()))
+    runs = steps.withColumn("u", pull).groupBy("entity", "level", "past", "coef").agg(F.sort_array(F.collect_list(F.struct("date", "u"))).alias("days"))
+
+    def next_day(acc: Column, x: Column) -> Column:
+        # the newest day has the first coefficient
+        terms = F.zip_with(F.reverse(F.slice(acc, -LAGS, LAGS)), F.slice("coef", 1, LAGS), lambda v, a: v * a)
+        value = F.aggregate(terms, x["u"], lambda s, v: s + v)
+        return F.concat(acc, F.array(F.when(value.isNotNull(), clip(value, 0.0, AR_LIMIT))))
+
+    runs = runs.withColumn("values", F.aggregate("days", F.col("past"), next_day))
+    out = runs.select("entity", "level", F.posexplode("days").alias("k", "d"), "values").select(
+        "entity", F.col("d.date").alias("date"), (F.get("values", F.col("k") + LAGS) * F.col("level")).alias("forecast")
+    )
+    return horizon.select("entity", "date").join(out, ["entity", "date"]).where("forecast is not null")
 
 
 def item_forecast(features: DataFrame, future: DataFrame, cols: list[str], seasonal: DataFrame | None = None, label: str = "quantity") -> DataFrame:
