@@ -3,6 +3,10 @@ MLlib fit over all series; thresholds, gates and blends work on its columns."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -50,11 +54,25 @@ def fit_or_none(estimator, train: DataFrame):
     return NoFit() if train.isEmpty() else estimator.fit(train)
 
 
-def cut_date(df: DataFrame, share: float) -> Column:
-    """First date at which ``share`` of the rows is reached, from counts per date."""
+def fit_together(pairs: list[tuple], threads: int = 4) -> list:
+    """Fitted models of (estimator, training rows), as jobs side by side."""
+    if not pairs:
+        return []
+    run = inheritable_thread_target(pairs[0][1].sparkSession)(fit_or_none)
+    with ThreadPoolExecutor(threads) as pool:
+        return [j.result() for j in [pool.submit(run, e, t) for e, t in pairs]]
+
+
+def cut_dates(df: DataFrame, shares: list[float]) -> Column:
+    """First dates at which each share of the rows is reached, from counts per date, as an array."""
     c = df.groupBy("date").agg(F.count("*").alias("k"))
     c = c.withColumns({"u": F.sum("k").over(W.orderBy("date")), "t": F.sum("k").over(W.partitionBy())})
-    return c.where(F.col("u") >= share * F.col("t")).agg(F.min("date")).scalar()
+    return c.agg(F.array(*[F.min(F.when(F.col("u") >= x * F.col("t"), F.col("date"))) for x in shares])).scalar()
+
+
+def cut_date(df: DataFrame, share: float) -> Column:
+    """First date at which ``share`` of the rows is reached."""
+    return F.get(cut_dates(df, [share]), F.lit(0))
 
 
 def gbt_forecast(features: DataFrame, horizon: DataFrame, cols: list[str] | None = None, weight: str | None = "sample_weight") -> DataFrame:
@@ -80,34 +98,59 @@ def gbt_forecast(features: DataFrame, horizon: DataFrame, cols: list[str] | None
     return predict(model, _assemble(horizon, used), "forecast").drop("features")
 
 
-def stack_forecast(features: DataFrame, horizon: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Two-level forecast: three base models on the first 70 % of the dates, a boosted model
-    on their predictions plus calendar columns on the rest, bases refitted on everything."""
+# Shares of the base models where nothing tells them apart; the survey's fourth
+# model (.10) has no counterpart here, so they are scaled to 1.
+STACK_SHARES = {"p_gbt": 0.35, "p_forest": 0.30, "p_linear": 0.25}
+
+
+def cross_fitted(data: DataFrame, makers: dict, label: str, origins: list[float]) -> DataFrame:
+    """Predictions of every maker for the rows behind the first origin, each from a fit on the rows
+    before its own fold begins. ``data`` has assembled features and a date."""
+    data = data.withColumn("__cuts", cut_dates(data, origins))
+    data = data.withColumn("__fold", F.size(F.filter("__cuts", lambda c: c <= F.col("date"))))
+    numbers = range(1, len(origins) + 1)
+    models = iter(fit_together([(make(), data.where(F.col("__fold") < k)) for k in numbers for make in makers.values()]))
+    folds = []
+    for k in numbers:
+        part = data.where(F.col("__fold") == k)
+        for name in makers:
+            part = predict(next(models), part, name)
+        folds.append(part.select("date", "__fold", label, *makers))
+    out = folds[0]
+    for f in folds[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def stack_weights(crossed: DataFrame, names: list[str], label: str, shares: dict[str, float]) -> dict[str, float]:
+    """Non-negative least squares weights of the base predictions; without any rows, or where no
+    base helps, the fixed shares."""
+    known = crossed.na.drop(subset=[*names, label])
+    row = linear.gram(known, [], names, label).first()
+    m = np.array(row["m"], float) if row["n"] else np.zeros((len(names), len(names) + 1))
+    w = linear.non_negative(m[:, :-1], m[:, -1])
+    if not w.sum():
+        w = np.array([shares[n] for n in names]) / sum(shares[n] for n in names)
+    return {n: float(x) for n, x in zip(names, w, strict=True)}
+
+
+def stack_forecast(features: DataFrame, horizon: DataFrame, cols: list[str] | None = None, origins: list[float] | None = None) -> DataFrame:
+    """Two-level forecast. Each base predicts rows that lie behind what it was fitted on (rolling
+    origin); non-negative least squares on these predictions weighs the bases, which are then
+    fitted on everything. The weights are columns ``w_...``. Without training rows the forecast is null."""
     cols = cols or SHIFT_FEATURES
-    ctx = ["shift_id", "weekday", "is_weekend", "is_holiday", "holiday_impact"]
-    data = _assemble(features, cols).withColumn("__cut", cut_date(features, 0.7)).persist()
-    early, late = data.where("date < __cut"), data.where("date >= __cut")
+    data = _assemble(features, cols).select("date", "guests", "features").persist()
     makers = {
         "p_gbt": lambda: gbt(), "p_forest": lambda: RandomForestRegressor(labelCol="guests", numTrees=20, maxDepth=6, seed=7),
         "p_linear": lambda: LinearRegression(labelCol="guests", regParam=1.0),
     }
-    level2 = late
-    for name, make in makers.items():
-        level2 = predict(fit_or_none(make(), early), level2, name)
-    names = list(makers)
-    # without an early or a late slice there is no second level: fixed shares of the bases stand in
-    known = level2.drop("features").na.drop(subset=names)
-    meta = fit_or_none(gbt(features="meta", iters=15, depth=3), _assemble(known, names + ctx, "meta"))
+    weights = stack_weights(cross_fitted(data, makers, "guests", origins or [0.6, 0.8]), list(makers), "guests", STACK_SHARES)
     out = _assemble(horizon, cols)
-    for name, make in makers.items():
-        out = predict(fit_or_none(make(), data), out, name)
+    for name, model in zip(makers, fit_together([(make(), data) for make in makers.values()]), strict=True):
+        out = predict(model, out, name)
     data.unpersist()
-    if isinstance(meta, NoFit):
-        out = out.drop("features").withColumn("meta_forecast", F.lit(None).cast("double"))
-    else:
-        out = predict(meta, _assemble(out.drop("features"), names + ctx, "meta"), "meta_forecast")
-    fall = 0.45 * F.col("p_gbt") + 0.35 * F.col("p_forest") + 0.20 * F.col("p_linear")
-    return out.withColumn("forecast", F.coalesce("meta_forecast", fall)).drop("meta")
+    total = sum((F.lit(w) * F.col(n) for n, w in weights.items()), F.lit(0.0))
+    return out.drop("features").withColumns({"forecast": total} | {f"w{n[1:]}": F.lit(w) for n, w in weights.items()})
 
 
 def fourier(date: Column, yearly: int = 4, weekly: int = 3) -> dict[str, Column]:
@@ -226,8 +269,8 @@ def item_forecast(features: DataFrame, future: DataFrame, cols: list[str], seaso
         "m3": RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=5, seed=7),
     }
     out = _assemble(future, cols)
-    for name, m in models.items():
-        out = predict(fit_or_none(m, train), out, name)
+    for name, m in zip(models, fit_together([(m, train) for m in models.values()]), strict=True):
+        out = predict(m, out, name)
     train.unpersist()
     ms = [F.col(n) for n in models]
     total = sum((F.coalesce(m, F.lit(0.0)) for m in ms), F.lit(0.0))
@@ -241,10 +284,12 @@ def item_forecast(features: DataFrame, future: DataFrame, cols: list[str], seaso
 
 
 def meta_forecast(features: DataFrame, future: DataFrame, cols: list[str], ctx: list[str], label: str = "quantity", min_rows: int = 14) -> DataFrame:
-    """Second level for the item line, learned on dates the base models did not see."""
+    """Second level for the item line, learned on dates the base models did not see. With one date
+    only, which nothing lies before, the bases learn from it and their mean stands."""
     data = _assemble(features, cols).withColumn("__cut", cut_date(features, 0.8))
     early, late = data.where("date < __cut"), data.where("date >= __cut")
-    a, b = gbt(label, iters=12, depth=3).fit(early), gbt(label, iters=12, depth=5, seed=11).fit(early)
+    early = data if early.isEmpty() else early
+    a, b = fit_or_none(gbt(label, iters=12, depth=3), early), fit_or_none(gbt(label, iters=12, depth=5, seed=11), early)
     hold = predict(b, predict(a, late, "b1"), "b2").drop("features")
     names = ["b1", "b2", *ctx]
     enough = hold.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
@@ -280,9 +325,13 @@ def cluster_features(day: DataFrame, trend: DataFrame, min_days: int = 14) -> Da
 def clusters(feats: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(entity, cluster) by k-means on scaled features, and the cluster profiles."""
     names = [c for c in feats.columns if c != "entity"]
-    v = _assemble(feats, names, "raw")
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v)
-    got = KMeans(k=k, seed=42).fit(scaled).transform(scaled).withColumnRenamed("prediction", "cluster")
+    kinds = feats.select(*names).distinct().limit(k).count()
+    if kinds < 2:  # nothing to tell entities apart by
+        got = feats.withColumn("cluster", F.lit(0))
+    else:
+        v = _assemble(feats, names, "raw")
+        scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v)
+        got = KMeans(k=kinds, seed=42).fit(scaled).transform(scaled).withColumnRenamed("prediction", "cluster")
     prof = got.groupBy("cluster").agg(
         F.count("*").alias("members"), F.avg("avg_daily").alias("avg_daily"), F.avg("weekend_ratio").alias("weekend_ratio"),
         F.avg("volatility").alias("volatility"),
@@ -424,23 +473,42 @@ def error_model(history: DataFrame, state: DataFrame, pred: DataFrame, today: st
 # -- tuning ----------------------------------------------------------------------------------------
 
 
-def tune(features: DataFrame, cols: list[str], grid: list[dict], folds: int = 3) -> DataFrame:
-    """Walk-forward MAE of each parameter set: fold i tests the i-th last slice of dates and
-    trains on what lies before. The loop is over parameters; every fit is distributed."""
+def tune(features: DataFrame, cols: list[str], grid: list[dict], folds: int = 3, halve: bool = True, threads: int = 4) -> DataFrame:
+    """Walk-forward MAE of parameter sets, the worse half stopping after each fold.
+
+    Fold i trains on the dates before the i-th slice and tests on it. The sets that are left run as
+    jobs side by side, each fit being distributed itself; after a fold, the better half of them (by
+    the mean over the folds so far, the earlier set first) goes on, one at least. With ``halve`` off
+    every set runs through all folds. A fold without rows to learn from or to test on counts for none.
+    """
     spark = features.sparkSession
     dates = features.select("date").distinct()
     slices = folds + 1
     rank = F.ntile(slices).over(W.orderBy("date"))
     data = _assemble(features.join(F.broadcast(dates.withColumn("slice", rank)), "date"), cols).persist()
-    rows = []
-    for i, params in enumerate(grid):
-        for s in range(2, slices + 1):
-            m = gbt(**params).fit(data.where(F.col("slice") < s))
-            mae = m.transform(data.where(F.col("slice") == s)).agg(F.avg(F.abs(F.col("guests") - F.col("prediction")))).first()[0]
-            rows.append((i, s - 1, params["iters"], params["depth"], float(mae)))
+
+    def error(i: int, fold: int) -> float | None:
+        train = data.where(F.col("slice") <= fold)
+        model = fit_or_none(gbt(**grid[i]), train)
+        return model.transform(data.where(F.col("slice") == fold + 1)).agg(F.avg(F.abs(F.col("guests") - F.col("prediction")))).first()[0]
+
+    found: dict[int, list[float]] = {i: [] for i in range(len(grid))}
+    left = list(found)
+    with ThreadPoolExecutor(threads) as pool:
+        for fold in range(1, folds + 1):
+            jobs = [pool.submit(inheritable_thread_target(spark)(error), i, fold) for i in left]
+            for i, job in zip(left, jobs, strict=True):
+                if job.result() is not None:
+                    found[i].append(float(job.result()))
+            if halve:
+                left = sorted(sorted(left, key=lambda i: (np.mean(found[i]) if found[i] else np.inf, i))[: -(-len(left) // 2)])
     data.unpersist()
-    r = spark.createDataFrame(rows, "params int, fold int, iters int, depth int, mae double")
-    return r.groupBy("params", "iters", "depth").agg(F.avg("mae").alias("mae")).withColumn("best", F.col("mae") == F.min("mae").over(W.partitionBy()))
+    # the best of those that went furthest; the others stopped because they were worse
+    mean = {i: float(np.mean(e)) if e else None for i, e in found.items()}
+    known = [i for i in left if mean[i] is not None]
+    best = min(known, key=lambda i: (mean[i], i)) if known else None
+    rows = [(i, grid[i]["iters"], grid[i]["depth"], len(found[i]), mean[i], i == best) for i in found]
+    return spark.createDataFrame(rows, "params int, iters int, depth int, folds int, mae double, best boolean")
 
 
 def tune_weights(comparison: DataFrame) -> DataFrame:
