@@ -61,3 +61,55 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components.components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def _all_pairs_of_rows(rows):
+    """Component of each row, rows of one id being one document."""
+    comp = plain.components(dict(enumerate(t for _, t in rows)))
+    parent = {k: k for k in comp}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for k, (i, t) in enumerate(rows):
+        if plain.shingles(t):
+            for j in (comp[k], first.setdefault(i, k)):
+                a, b = find(k), find(j)
+                parent[b] = a
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return [least[find(k)] for k in range(len(rows))]
+
+
+def test_two_texts_of_one_id_link_both_their_copies(spark):
+    rng = random.Random(4)
+    one, two = _words(rng, 60), _words(rng, 60)
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, " ".join(one[:-1])), (7, " ".join(two[1:])), (8, " ".join(_words(rng, 60)))]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = bottom_k.query(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (6, 5), (7, 5), (8, 8)}
+
+
+def test_repeated_ids_as_comparing_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i if rng.random() < 0.8 else rng.randrange(300), t) for i, t in _corpus().items() if t and len(t.split()) > 5]
+    got = bottom_k.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(zip([i for i, _ in rows], _all_pairs_of_rows(rows), strict=True))
+
+
+def test_long_lists_of_unlinked_members(spark, monkeypatch):
+    """Texts made of passages that hundreds of them share, a few of them copies of each other."""
+    rng = random.Random(7)
+    passages = [_words(rng, 25) for _ in range(24)]
+    docs = [sum(rng.sample(passages, 5), []) for _ in range(500)]
+    docs += [_edited(rng, rng.choice(docs), 0.01) for _ in range(40)]
+    texts = dict(enumerate(" ".join(d) for d in docs))
+    monkeypatch.setattr(bottom_k, "TOGETHER", 20)
+    got = {r.doc_id: r.component_id for r in bottom_k.query(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = plain.components(texts)
+    assert got == want
+    assert len(set(want.values())) < len(want) - 20

@@ -12,13 +12,16 @@
    give their pairs.
 4. What is left are documents of which three quarters or more are values of long lists, that is
    large groups of near copies. Each such list compares its members with its least edited one and
-   links are contracted to components; then only members outside that one's component are compared
-   with members of other components, and only if the counts of shared values allow a link.
+   links are contracted to components; the members outside that one's component do the same among
+   themselves, until a round finds no link. Then only members outside the first one's component are
+   compared with members of other components, and only if the counts of shared values allow a link;
+   a list is dealt out over as many tasks as its length asks for.
 5. Pairs are filtered by the Jaccard estimate of the union's sketch and confirmed on full sets.
 6. Components by alternating stars, on classes.
 
 A document without words has an empty set, links with nothing and is its own component. A null
-text is an empty one. Rows that share a doc_id are one document; rows without one follow their
+text is an empty one. Rows that share a doc_id are one document, all of whose texts are linked with
+each other; rows without one follow their
 class, or stay alone with a null component (and are kept) when no row of the class has one.
 Extra columns are not looked at. Empty tables give empty results.
 """
@@ -36,7 +39,8 @@ WIDTH, SKETCH, INDEXED, SHORT, HOT_LEAST, HOT_KEYS = 5, 64, 16, 32, 4, 12
 PERCENT, ESTIMATE_PERCENT = 75, 45
 #: Up to so many ids, some tens of MB, go to all tasks to pick their texts; more meet them in a shuffle.
 BROADCAST_IDS = 1_000_000
-SALTS = 16
+#: Members of a long list that one task compares with the ones outside its hub's component.
+TOGETHER = 64
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,20 +123,44 @@ def _hub_pairs(lists: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _with_main(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Adds each member's component, that of its list's least edited member, and the list's length."""
+    df = lists.join(comps, lists["id"] == comps["node"], "left").drop("node")
+    df = df.withColumn("component", F.coalesce("component", "id"))
+    hub = df.groupBy("v").agg(F.min(F.struct(F.col("n") - F.col("hot"), "id", "component")).alias("h"), F.count(F.lit(1)).alias("c"))
+    return df.join(hub.select("v", F.col("h.component").alias("main"), "c"), "v")
+
+
+def _hub_links(long: DataFrame, links: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links found through hubs, and the components they make.
+
+    The members outside the component of their list's hub get a hub of their own, and so on, as
+    long as a round finds a link.
+    """
+    comps = materialise(components(links), "components")
+    lists = long
+    while True:
+        outside = _with_main(lists, comps).where("component <> main")
+        lists = materialise(outside.select(*long.columns), "outside")
+        new = materialise(confirm(_hub_pairs(lists), full), "hub-links")
+        if new.isEmpty():
+            return links, comps
+        links = links.union(new)
+        comps = materialise(components(links), "components")
+
+
 def _outside_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Members outside the component of a list's hub against the members of other components.
 
-    A pair is given at its first common list; a long list is dealt out over ``SALTS`` tasks.
+    A pair is given at its first common list; a list is dealt out over as many tasks as it has lots
+    of ``TOGETHER`` members.
     """
-    df = lists.join(comps, lists["id"] == comps["node"], "left").drop("node")
-    df = df.withColumn("component", F.coalesce("component", "id"))
-    hub = df.groupBy("v").agg(F.min(F.struct(F.col("n") - F.col("hot"), "id", "component")).alias("h"))
-    df = df.join(hub.select("v", F.col("h.component").alias("main")), "v")
+    df = _with_main(lists, comps).withColumn("lots", F.ceil(F.col("c") / TOGETHER).cast("int"))
     names = ["id", "n", "hot", "keys", "component"]
-    a = df.where("component <> main").select("v", *[F.col(c).alias(f"{c}a") for c in names])
-    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    b = df.select("v", *[F.col(c).alias(f"{c}b") for c in names], (F.col("component") != F.col("main")).alias("out"))
-    b = b.withColumn("salt", F.pmod(F.xxhash64("idb"), F.lit(SALTS)).cast("int"))
+    a = df.where("component <> main").select("v", "lots", *[F.col(c).alias(f"{c}a") for c in names])
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    b = df.select("v", "lots", *[F.col(c).alias(f"{c}b") for c in names], (F.col("component") != F.col("main")).alias("out"))
+    b = b.withColumn("salt", F.pmod(F.xxhash64("idb"), F.col("lots")).cast("int")).drop("lots")
     on = (
         (a["v"] == b["v"])
         & (a["salt"] == b["salt"])
@@ -145,6 +173,15 @@ def _outside_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
 
 
+def _of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of rows that share an id: each with the least of them."""
+    several = (F.min("f1") != F.max("f1")) | (F.min("f2") != F.max("f2"))
+    ids = rows.where("n > 0").groupBy("id").agg(several.alias("several")).where("several").select("id")
+    of = rows.select("id", "f1", "f2", "n").join(ids, "id", "left_semi").join(classes, ["f1", "f2", "n"]).select("id", "cid")
+    of = materialise(of.distinct(), "repeated")
+    return of.join(of.groupBy("id").agg(F.min("cid").alias("u")), "id").where("u <> cid").select("u", F.col("cid").alias("v"))
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, t, n, component) for every row; t is the hash of its text."""
     rows = shingle_sets(docs, doc_id, text).select(
@@ -157,10 +194,12 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     rows = materialise(rows, "sketches")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    classes = materialise(classes, "classes")
-    one = rows.where("n > 0").select("id", "n", "f1", "f2", "s").dropDuplicates(["id", "f1", "f2"])
-    of_class = classes.select(F.col("rep").alias("id"), "f1", "f2")
-    sketches = materialise(one.join(of_class, ["id", "f1", "f2"]).select("id", "n", "s"), "class-sketches")
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # From here to the end ``id`` is the number of a class, whose text is one of its document ``doc``.
+    one = rows.where("n > 0").select("id", "t", "n", "f1", "f2", "s").dropDuplicates(["id", "f1", "f2"])
+    of_class = classes.select(F.col("rep").alias("id"), "f1", "f2", "cid")
+    sketches = one.join(of_class, ["id", "f1", "f2"]).select(F.col("cid").alias("id"), F.col("id").alias("doc"), "t", "n", "s")
+    sketches = materialise(sketches, "class-sketches")
 
     lists = sketches.select("id", "n", F.explode(F.slice("s", 1, INDEXED)).alias("v"))
     seen = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -171,17 +210,18 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     crowded = lists.where(F.col("c") > SHORT).groupBy("id").agg(F.count(F.lit(1)).alias("k"), need.alias("need"))
     crowded = materialise(crowded.where("k >= need").select("id"), "crowded")
 
-    wanted = materialise(crowded.union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = crowded.union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = materialise(wanted.join(sketches.select("id", "doc", "t"), "id"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc", "t"]).dropDuplicates(["id"])
     full = materialise(shingle_sets(texts, "id", "text").select("id", "s"), "sets")
 
     sets = materialise(rarest_first(full.join(crowded, "id", "left_semi")), "rarest")
     more = _list_pairs(sets.select("id", "n", F.explode("prefix").alias("v")))
     long = materialise(sets.where("keys is not null").select("id", "n", "hot", "keys", F.explode("keys").alias("v")), "long")
-    links = materialise(confirm(pairs.union(more).union(_hub_pairs(long)).distinct(), full), "links")
-    comps = materialise(components(links), "components")
+    links = confirm(pairs.union(more).union(_hub_pairs(long)).distinct(), full).union(_of_one_id(rows, classes))
+    links, comps = _hub_links(long, materialise(links, "links"), full)
     rest = materialise(confirm(_outside_pairs(long, comps), full), "rest")
 
     # the later links join whole components
@@ -190,11 +230,14 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rest = rest.join(comps.alias("cv"), F.col("v") == F.col("cv.node"), "left")
     upper = components(rest.select(of("u").alias("u"), of("v").alias("v")))
     of_class = (
-        classes.join(comps, F.col("rep") == F.col("node"), "left")
-        .select("f1", "f2", "n", F.coalesce("component", "rep").alias("c1"))
+        classes.join(comps, F.col("cid") == F.col("node"), "left")
+        .select("f1", "f2", "n", "rep", F.coalesce("component", "cid").alias("c1"))
         .join(upper, F.col("c1") == F.col("node"), "left")
-        .select("f1", "f2", "n", F.coalesce("component", "c1").alias("component"))
+        .select("f1", "f2", "n", "rep", F.coalesce("component", "c1").alias("c2"))
     )
+    of_class = materialise(of_class, "class-components")
+    least = of_class.groupBy("c2").agg(F.min("rep").alias("component"))
+    of_class = of_class.join(least, "c2").drop("c2", "rep")
     out = rows.select("id", "t", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
     return out.select("id", "t", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
