@@ -262,6 +262,43 @@ def test_derivatives_link_back(spark):
 # -- toxicity
 
 
+def test_terms_that_tell_only_in_pairs_are_kept_and_learned(spark):
+    """Label 1 where an insult and a group are both there or both not: each alone tells nothing."""
+    rng = random.Random(1)
+    words = ["w" + "".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    rows, labels, seen = [], [], []
+    for k in range(2000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        text = [rng.choice(words) for _ in range(15)] + ["vilename"] * insult + ["somefolk"] * group
+        rng.shuffle(text)
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(insult == group), 1))
+        seen.append((insult, group))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = toxic_fm.query(docs, known).collect()
+    held = [r.predicted == labels[r.doc_id][1] for r in got if r.held_out]
+    assert len(held) > 300 and np.mean(held) > 0.9
+    # additive weights of the same two terms, by least squares
+    x = np.column_stack([np.ones(len(rows)), np.array(seen, float)])
+    y = np.array([v for _, v, _ in labels])
+    fit = [k for k in range(len(rows)) if zlib.crc32(str(k).encode()) % 5]
+    w = np.linalg.lstsq(x[fit], y[fit], rcond=None)[0]
+    other = [k for k in range(len(rows)) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean(((x[other] @ w) >= 0.5) == y[other]) < 0.6
+
+
+def test_margin_equals_a_plain_factorization_machine():
+    rng = np.random.default_rng(2)
+    model = {"w0": 0.3, "w": rng.normal(size=6), "v": rng.normal(size=(6, toxic_fm.FACTORS))}
+    rows = [[(0, 1.0), (3, 2.0), (5, 0.5)], [], [(2, 1.5)], [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]]
+    i, x = np.array([k for r in rows for k, _ in r]), np.array([v for r in rows for _, v in r])
+    got, _ = toxic_fm.margin(model, i, x, np.cumsum([0, *map(len, rows)]))
+    for z, r in zip(got, rows, strict=True):
+        want = model["w0"] + sum(model["w"][a] * p for a, p in r)
+        want += sum(model["v"][a] @ model["v"][b] * p * q for n, (a, p) in enumerate(r) for b, q in r[:n])
+        assert z == pytest.approx(want)
+
+
 def test_pairs_of_terms_are_learned():
     """Toxic only where an insult meets a group: no additive weights can tell."""
     rng = np.random.default_rng(1)

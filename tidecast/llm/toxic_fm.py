@@ -8,10 +8,13 @@ letters, hashed to ``BUCKETS`` numbers; a term's value is log(1 + count). The ma
 so that two terms may mean more, or less, together than their weights add up to.
 
 Fitting: labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``TRAIN_ROWS`` of them, the ones
-with the least hashes of their id. Buckets seen in at least ``LEAST_DOCS`` of these rows and
-unevenly between the classes (chi-square of ``LEAST_CHI``) are kept, the strongest ``MOST_TERMS``
-at most; the others have no weight. The sample and the model are bounded by these parameters,
-whatever the size of the corpus; the scores cover every whole text.
+with the least hashes of their id. Two kinds of buckets get weights and factors: those seen in at
+least ``LEAST_DOCS`` of these rows and unevenly between the classes (chi-square of ``LEAST_CHI``),
+the strongest ``MOST_TERMS`` at most; and those that belong to a pair which tells more than its two
+terms do by themselves (chi-square of ``PAIR_CHI``), whatever they tell alone, looked for among the
+``PAIR_TERMS`` most frequent buckets of at least ``PAIR_SHARE`` of the rows. The others have no
+weight. The sample, the terms tried and the model are bounded by these parameters, whatever the
+size of the corpus; the scores cover every whole text.
 
 A text without known terms, also a null or empty one, scores the sigmoid of w0. Null ids are
 scored, and are never held out or fitted on. Of several labels of a document the larger counts.
@@ -33,6 +36,8 @@ from tidecast.session import materialise
 
 BUCKETS, PREFIXES = 1 << 18, range(4, 11)
 TRAIN_ROWS, LEAST_DOCS, LEAST_CHI, MOST_TERMS = 20_000, 5, 10.0, 20_000
+#: Terms in this share of the fitted rows, the most frequent ones, are tried in pairs.
+PAIR_SHARE, PAIR_TERMS, PAIR_CHI, PAIR_ROWS = 0.01, 3_000, 60.0, 1_000
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 128, 0.1, 3e-3, 5
 
 
@@ -121,16 +126,55 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     seen = some.select("toxic", F.explode(F.array_distinct("t")).alias("b")).groupBy("b")
     seen = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     chi = F.pow(F.col("k") - F.col("n") * mean, F.lit(2.0)) / (F.col("n") * mean * (1 - mean))
-    seen = seen.where((F.col("n") >= LEAST_DOCS) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "b").limit(MOST_TERMS).select("b")
-    model["buckets"] = np.sort(seen.toArrow()["b"].to_numpy()).astype(np.int64)
-    kept = docs.sparkSession.createDataFrame([(int(b),) for b in model["buckets"]], "b int")
+    told = (F.col("n") >= LEAST_DOCS) & (chi >= LEAST_CHI)
+    strong = seen.where(told).orderBy(chi.desc(), "b").limit(MOST_TERMS).select("b").toArrow()["b"].to_numpy()
+    # what tells nothing alone may tell much beside another term, if both are seen often enough
+    often = F.col("n") >= max(LEAST_DOCS, PAIR_SHARE * len(y))
+    often = np.sort(seen.where(often).orderBy(F.col("n").desc(), "b").limit(PAIR_TERMS).select("b").toArrow()["b"].to_numpy())
+    row, i, _ = _entries(some, often, ids["doc_id"].to_numpy())
+    paired = often[in_pairs(row, i, y, len(often))]
+    model["buckets"] = np.union1d(strong, paired).astype(np.int64)
+    row, i, count = _entries(some, model["buckets"], ids["doc_id"].to_numpy())
+    border = np.searchsorted(row, np.arange(len(y) + 1))
+    return model | fit(i, np.log1p(count), border, y, len(model["buckets"]))
+
+
+def _entries(some: DataFrame, buckets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number among ``buckets`` and count of each of these terms in the sample, in order."""
+    kept = some.sparkSession.createDataFrame([(int(b),) for b in buckets], "b int")
     entries = some.select("doc_id", F.explode("t").alias("b")).join(F.broadcast(kept), "b")
-    entries = entries.groupBy("doc_id", "b").agg(F.count(F.lit(1)).alias("c")).toArrow()
-    row = np.searchsorted(ids["doc_id"].to_numpy(), entries["doc_id"].to_numpy())
-    i = np.searchsorted(model["buckets"], entries["b"].to_numpy())
+    entries = entries.groupBy("doc_id", "b").agg(F.count(F.lit(1)).cast("int").alias("c")).toArrow()
+    row, i = np.searchsorted(ids, entries["doc_id"].to_numpy()), np.searchsorted(buckets, entries["b"].to_numpy())
     order = np.lexsort((i, row))
-    border = np.searchsorted(row[order], np.arange(len(y) + 1))
-    return model | fit(i[order], np.log1p(entries["c"].to_numpy()[order]), border, y, len(model["buckets"]))
+    return row[order], i[order], entries["c"].to_numpy()[order]
+
+
+def in_pairs(row: np.ndarray, i: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` terms belong to a pair that tells more than its two terms do one by one.
+
+    A pair's share of label 1 is held against the one its terms would give if they only added up
+    (their odds multiplied); ``PAIR_CHI`` allows for the many pairs that are tried.
+    """
+    y = np.asarray(labels, float)
+    both, ones = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for k in range(0, len(y), PAIR_ROWS):
+        at = slice(*np.searchsorted(row, [k, k + PAIR_ROWS]))
+        x = np.zeros((min(PAIR_ROWS, len(y) - k), n), np.float32)
+        x[row[at] - k, i[at]] = 1
+        both += x.T @ x
+        ones += x[y[k : k + PAIR_ROWS] > 0].T @ x[y[k : k + PAIR_ROWS] > 0]
+    out, mean = np.zeros(n, bool), y.mean()
+    alone = (np.diag(ones) + mean) / (np.diag(both) + 1)
+    odds = alone / (1 - alone)
+    for k in range(n):
+        joint = odds[k] * odds / (mean / (1 - mean))
+        share = joint / (1 + joint)
+        spread = both[k] * share * (1 - share)
+        chi = (ones[k] - both[k] * share) ** 2 / np.maximum(spread, 1)
+        # a term beside another one that is always with it is the same term
+        own = both[k] > 0.9 * np.minimum(np.diag(both), both[k, k])
+        out[k] = bool((chi[~own] >= PAIR_CHI).any())
+    return out
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
