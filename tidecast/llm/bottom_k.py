@@ -13,7 +13,7 @@
 4. What is left are documents of which three quarters or more are values of long lists, that is
    large groups of near copies. Each such list compares its members with its least edited one and
    links are contracted to components; the members outside that one's component do the same among
-   themselves, until a round finds no link. Then only members outside the first one's component are
+   themselves, as long as that links many of them. Then only members outside the first one's component are
    compared with members of other components, and only if the counts of shared values allow a link;
    a list is dealt out over as many tasks as its length asks for.
 5. Pairs are filtered by the Jaccard estimate of the union's sketch and confirmed on full sets.
@@ -41,6 +41,8 @@ PERCENT, ESTIMATE_PERCENT = 75, 45
 BROADCAST_IDS = 1_000_000
 #: Members of a long list that one task compares with the ones outside its hub's component.
 TOGETHER = 64
+#: Share of the members outside that a further round of hubs has to link to be followed by another.
+WORTH = 0.25
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,7 +137,7 @@ def _hub_links(long: DataFrame, links: DataFrame, full: DataFrame) -> tuple[Data
     """Links found through hubs, and the components they make.
 
     The members outside the component of their list's hub get a hub of their own, and so on, as
-    long as a round finds a link.
+    long as a round links ``WORTH`` of the members it looks at. The rest is for the pairs outside.
     """
     comps = materialise(components(links), "components")
     lists = long
@@ -143,10 +145,12 @@ def _hub_links(long: DataFrame, links: DataFrame, full: DataFrame) -> tuple[Data
         outside = _with_main(lists, comps).where("component <> main")
         lists = materialise(outside.select(*long.columns), "outside")
         new = materialise(confirm(_hub_pairs(lists), full), "hub-links")
-        if new.isEmpty():
+        found, members = new.count(), lists.select("id").distinct().count()
+        if found:
+            links = links.union(new)
+            comps = materialise(components(links), "components")
+        if found <= WORTH * members:
             return links, comps
-        links = links.union(new)
-        comps = materialise(components(links), "components")
 
 
 def _outside_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
