@@ -70,6 +70,33 @@ def test_flow_of_overlapping_sources_is_cheapest():
         assert (sum(got.values()), -sum(cost(got[p], n) for p, n in patterns.items())) == best
 
 
+def test_flow_of_many_patterns():
+    """Fed as far as the sources ask, and repeated no more than the words that are short of it."""
+    import time
+
+    rng = random.Random(5)
+    patterns = {}
+    while len(patterns) < 20_000:
+        p = tuple(sorted({f"s{int(400 * rng.random() ** 2)}" for _ in range(rng.choice([1, 1, 2, 3]))}))
+        patterns[p] = rng.randint(1, 1000)
+    sizes = {}
+    for p, n in patterns.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + n
+    quota = {s: rng.randint(0, n) for s, n in sizes.items()}
+    begun = time.time()
+    got = M._flow(patterns, quota)
+    assert time.time() - begun < 30
+    assert all(0 <= got[p] <= 3 * n for p, n in patterns.items())
+    # no way is left from a pattern with unused words, through flows that may move, to a source that asks
+    net = M._Network(patterns, quota)
+    net.supply = [x + n for x, n in zip(net.supply, net.sizes, strict=True)]
+    while found := net.levels():
+        net.push(*found)
+    once = sum(net.sizes) - sum(net.supply)
+    assert sum(min(got[p], n) for p, n in patterns.items()) == once
+
+
 def test_overlap_in_documents(spark):
     docs = spark.createDataFrame([(i, "x" if i % 3 else "y", "w " * 10) for i in range(60)], DOC)
     both = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array("source"))
