@@ -223,6 +223,47 @@ def test_noise_names_alone_leave_the_ratios_to_judge():
     assert tag_paths.content("<div class=menu><a href=1>home</a></div>") == ""
 
 
+REMARK = "Nice one, thanks. I liked it, all of it."
+COMMENTED = [
+    "<main><div>{}</div><article class=comment><p>{}</p></article></main>",
+    "<article class=post>{}</article><article class=comment><p>{}</p></article>",
+    "<article>{}<div class=discussion><p>{}</p></div></article>",
+    "<article>{}<div class=responses><p>{}</p></div></article>",
+    "<article>{}<ol class=commentList><li id=comment-12><p>{}</p></ol></article>",
+]
+PARTS = ["<h2 class='related-work'>{}</h2>", "<section class='share-your-story'><p>{}</p></section>", "<div class='search-results-analysis'><p>{}</p></div>",
+         "<section class=discussion><p>{}</p></section>", "<div class=adventure><p>{}</p></div>"]
+
+
+@pytest.mark.parametrize("length", [1, 12])
+def test_reader_comments_go_and_parts_of_the_article_stay(length):
+    for page in COMMENTED:
+        assert tag_paths.content(page.format(f"<p>{LONG}</p>", REMARK * length)) == LONG.strip(), page
+    for part in PARTS:
+        assert tag_paths.content(f"<article><p>{LONG}</p>{part.format(REMARK)}<p>End.</p></article>") == f"{LONG.strip()}\n{REMARK}\nEnd.", part
+
+
+def test_hidden_text_goes_inside_a_line_too():
+    page = "<article><p>a <span style='display: none'>hid <span>x</span> den</span>b <i hidden>c</i>d.</p><div hidden><p>e</p></div></article>"
+    assert tag_paths.content(page) == "a b d."
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<p "', "<div>x", "<a", "<!", "<x>y", "<ul><li>z", "<script ", "<p '\"", "</x>", "<p><div>q</x>", "<article>k", "<title ", "<a href=x>y"])
+def test_hostile_pages_take_linear_time(unit):
+    """Four times the page may take some four times as long, not sixteen."""
+    import time
+
+    def took(n):
+        page = unit * (n // len(unit))
+        begun = time.process_time()
+        tag_paths.content(page + ">")
+        warc_derive.derive("r", "u", "d", "HTTP/1.1 200 OK\r\n\r\n", page)
+        return time.process_time() - begun
+
+    took(10_000)
+    assert took(200_000) < 10 * took(50_000) + 0.3
+
+
 def test_link_lists_inside_the_article():
     refs = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
     assert tag_paths.content(f"<article><p>{LONG}</p>{refs}</article><ul><li><a href=3>elsewhere</a></ul>") == f"{LONG.strip()}\nFirst source\nSecond source"
@@ -259,6 +300,47 @@ def test_derivatives_link_back(spark):
     assert warc_derive.query(pages.limit(0)).count() == 0
 
 
+def test_records_of_any_id_and_of_like_rows(spark):
+    rows = [(2**63 - 1, "u", "a"), (-(2**63), "u", "b"), (1, "u", "<p>one"), (1, "u", "<p>two"), (1, None, "<p>one"), (1, "", "<p>one")]
+    got = warc_derive.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 12 and len({r.record_id for r in got}) == 12
+    assert all(re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in got)
+
+
+def test_title_and_links_of_the_given_pages(spark):
+    """Against a parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.title, self.links, self.inside = None, [], None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "title" and self.title is None:
+                self.inside, self.title = "title", ""
+            elif tag == "a":
+                self.inside = "a" if "href" in dict(attrs) else None
+                self.links += [[dict(attrs)["href"], ""]] if self.inside else []
+
+        def handle_endtag(self, tag):
+            self.inside = None if tag == self.inside else self.inside
+
+        def handle_data(self, data):
+            if self.inside == "title":
+                self.title += data
+            elif self.inside == "a":
+                self.links[-1][1] += data
+
+    flat = lambda t: " ".join(t.split()) if t is not None else None
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        p = Plain()
+        p.feed(warc_derive.UNSEEN.sub("", r.html))
+        title, links = warc_derive.title_and_links(warc_derive.UNSEEN.sub("", r.html))
+        assert title == flat(p.title)
+        assert [(x["url"], flat(x["text"])) for x in links] == [(u, flat(t)) for u, t in p.links]
+
+
 # -- toxicity
 
 

@@ -1,23 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once, forgivingly (unclosed paragraphs, stray end tags, cut pages, scripts that
-hold markup). Text gathers in blocks; a block's path is the list of structural tags from the root
-to it, each with its class and id, inline markup left out. Then, per page:
-
-1. Blocks whose path runs through an element that is never part of an article (navigation, footer,
-   aside, script ..., or hidden) go, and so do those in a form or in an element whose class, id or
-   role has a name of ``NOISE`` or ``HEADER`` (advert, comment, notice, menu, sidebar, search ...).
-   A name or a form alone drops no subtree that holds the page's article or main element (one with
-   at least half the text of all of them) or, in such an element or on a page without one,
-   ``MOST_TEXT`` of the page's unlinked text: a wrapper "has-sidebar" is judged by the ratios below.
-   So is all of it if the names leave no text.
+A page is read once, in linear time and forgivingly (unclosed paragraphs, stray end tags, cut pages,
+scripts that hold markup). Text gathers in blocks; a block's path is the list of structural tags from
+the root to it, each with its class and id, inline markup left out. Then, per page:
+
+1. Blocks inside elements that are never part of an article (navigation, footer, aside, script ...,
+   a header outside of articles, or hidden) go.
 2. Text characters, punctuation marks, link characters and blocks are summed per path.
 3. Characters per block and marks per block are smoothed over neighbouring paths of the same parent
    (1, 2, 1), which lifts headings and short paragraphs to their surroundings, and fused to
-   ``text * (1 + marks) * (1 - link share)``; paths inside an article or main element weigh more.
-4. Paths that reach ``LEAST_SHARE`` of the best are content, and so is all that lies beside the best
-   path: all of the same article, link lists too, or else what has the same parent and does not
-   consist of links.
+   ``text * (1 + marks) * (1 - link share)``. Paths inside an article or main element weigh
+   ``ARTICLE_WEIGHT`` times that; each element of a path that is a form, or whose class, id or role
+   names nothing but page furniture (``NOISE`` words, alone or with ``PLAIN`` ones: "comment-list",
+   "related-posts", but neither "related-work" nor "has-sidebar"), takes it times ``NAME_WEIGHT``.
+   A name is a weight and nothing more: where all the text has such names, the best of it stays.
+4. The best path leads. In an article, that article element is content (the innermost one around
+   most of the path's text); what lies in it below another article or a furniture name, and what
+   lies in other articles, is content only if its fused value reaches ``LEAST_SHARE`` of the best.
+   Without an article, content is what has the same parent and as few such names and does not
+   consist of links, and paths that reach that share.
 
 Content blocks come in page order, joined by a line end; character references are decoded, white
 space becomes one blank. A null or empty page, or one without text, gives the empty text. Repeated
@@ -28,8 +29,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +40,10 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.words import whole
 
-LEAST_SHARE, ARTICLE_WEIGHT, MOST_LINKS, MOST_TEXT = 0.5, 8.0, 0.8, 2 / 3
-#: A comment, a declaration, or a tag with its attributes; quoted values may hold ">".
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+LEAST_SHARE, ARTICLE_WEIGHT, NAME_WEIGHT, MOST_LINKS = 0.5, 8.0, 0.001, 0.8
+#: A tag with its attributes; quoted values may hold ">".
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?>[^>"']|"[^"]*"|'[^']*')*+)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select".split())
@@ -47,131 +51,264 @@ INLINE = frozenset(
     "b i em strong span font u s small big sup sub code abbr acronym cite q mark time label img br wbr tt kbd samp var ins del bdi bdo ruby rt rp data"
     " input embed param source track meta link base area col".split()
 )
+VOID = frozenset("img br wbr input embed param source track meta link base area col hr".split())
 NEVER = frozenset("nav footer aside button dialog menu fieldset head".split()) | RAW
 ARTICLE = frozenset(["article", "main"])
 CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
-NOISE = re.compile(
-    r"(?<![a-z])(ads?|adverts?|advertisements?|advertising|adbox|banner|sponsor(ed|s)?|promo(tion)?s?|comments?|commentlist|disqus|repl(y|ies)|sidebar|widgets?"
-    r"|menu|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|subscribe|newsletter|share|sharing|social"
-    r"|related|recommend(ed|ations)?|toolbar|pagination|pager|login|signup|search|contentinfo|complementary|dialog|skip)(?![a-z])",
-    re.I,
+SCOPES = frozenset(["article", "main", "section", "div", "table", "body"])
+#: Words for parts of a page beside its article, and words that name a part without saying of what.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox banner sponsor sponsored sponsors promo promos promotion promotions comment comments"
+    " commentlist disqus reply replies sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices"
+    " alert alerts popup modal overlay subscribe newsletter share sharing social related recommend recommended recommendations toolbar pagination pager login"
+    " signup search contentinfo complementary dialog skip".split()
+)
+#: These name a part of many articles too; on a section they say nothing.
+UNSURE = frozenset("discussion discussions response responses".split())
+OUTSIDE = frozenset("header masthead".split())
+PLAIN = frozenset(
+    "area bar block body box button buttons container content count entry feed field footer form group head header heading holder icons inner item items left"
+    " link links list main meta module outer panel policy post posts right row section site text thread title top bottom wrap wrapper js page".split()
 )
-HEADER = re.compile(r"(?<![a-z])(header|masthead)(?![a-z])", re.I)
+WORDS = re.compile(r"[a-z]+", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MARK = re.compile(r"[.,;:!?…。，、؟।]")
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], bool, str, int, tuple[int, ...]]]:
-    """(path, its articles, noise, text, link characters, its elements that a name or form makes noise)
-    of each block, in page order; elements are numbered."""
-    stack: list[tuple[str, str, tuple[int, ...], bool, tuple[int, ...]]] = []  # tag, label, articles, noise, named
+class Node(NamedTuple):
+    """An open element; ``path`` numbers the labels from the root to it."""
+
+    tag: str
+    path: int
+    noise: bool
+    names: int  # elements around and including it with furniture names
+    article: int  # innermost article element, 0 for none
+    names_in: int  # those with furniture names below that article
+    ends: int  # which of the tags that others end are open within the section, one bit each
+
+
+class Block(NamedTuple):
+    node: Node
+    text: str
+    links: int
+
+
+ROOT = Node("", 0, False, 0, 0, 0, 0)
+_BIT = {t: 1 << k for k, t in enumerate("p li dt dd tr td th option".split())}
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    parents: list[int]  # of each path
+
+
+def _ends(page: str, at: int) -> tuple[list[int], list[int]]:
+    """Places of quotes and ">" from ``at`` on, and where a tag that goes on at each of them ends
+    (-1: nowhere), quoted values being passed over."""
+    marks = [m.start() for m in re.compile("[>\"']").finditer(page, at)]
+    ends, after = [-1] * (len(marks) + 1), {'"': -1, "'": -1}
+    for k in range(len(marks) - 1, -1, -1):
+        c = page[marks[k]]
+        if c == ">":
+            ends[k] = marks[k]
+        else:
+            ends[k] = ends[after[c] + 1] if after[c] >= 0 else -1
+            after[c] = k
+    return marks, ends
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of tags, in one pass; comments and declarations have no tag.
+
+    A caller that passes over text sends the place to go on at.
+    """
+    last, at, slow = page.rfind(">"), page.find("<"), None
+    while at >= 0:
+        found, after = None, page[at + 1 : at + 3]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            found = (at, end + 3 if end >= 0 else len(page), False, "", "")
+        elif at > last:  # no tag can end any more
+            at = page.find("<!--", at)
+            continue
+        elif after[:1] in ("!", "?"):
+            found = (at, page.find(">", at) + 1, False, "", "")
+        elif after[:1].isalpha() and after[:1].isascii() or after[:1] == "/" and after[1:].isalpha() and after[1:].isascii():
+            m = TAG.match(page, at) if slow is None else None
+            if m:
+                found = (at, m.end(), bool(m[1]), m[2].lower(), m[3])
+            else:  # quotes that stay open: from now on the ends of tags are looked up
+                slow = slow or _ends(page, at)
+                name = NAME.match(page, at)
+                end = slow[1][bisect_left(slow[0], name.end())]
+                end = end if end >= 0 else page.find(">", name.end())
+                found = (at, end + 1, bool(name[1]), name[2].lower(), page[name.end() : end])
+        if found is None:
+            at = page.find("<", at + 1)
+            continue
+        sent = yield found
+        at = page.find("<", max(found[1], sent or 0))
+
+
+def _furniture(tag: str, label: str, in_article: bool) -> bool:
+    """Whether the element is a form or one of its names says nothing but furniture."""
+    if tag == "form":
+        return True
+    if not label or tag in ("body", "html"):
+        return False
+    words = NOISE if tag == "section" else NOISE | UNSURE
+    words = words if in_article else words | OUTSIDE
+    for name in label.split():
+        parts = [w.lower() for w in WORDS.findall(CAMEL.sub(" ", name))]
+        if parts and any(w in words for w in parts) and all(w in words or w in PLAIN for w in parts):
+            return True
+    return False
+
+
+def read(page: str) -> Page:
+    """All blocks of a page, those of furniture too."""
+    stack = [ROOT]
+    blocks: list[Block] = []
+    parents, numbers = [0], {}
     parts: list[str] = []
     links = anchors = at = 0
+    mute: list = []  # tag and depth of a hidden inline element
 
     def flush():
         nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split())
-        articles, noise, named = stack[-1][2:] if stack else ((), False, ())
-        found = (tuple(s[1] for s in stack), articles, noise, text, links, named)
-        parts.clear()
+        if parts:
+            text = "".join(parts)
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            if text:
+                blocks.append(Block(stack[-1], text, links))
+            parts.clear()
         links = 0
-        return [found] if text else []
 
-    def pop(tags, stop=("article", "main", "section", "div", "table", "body")):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
+    open_tags: dict[str, int] = defaultdict(int)
+
+    def pop(names):
+        """Closes the innermost of these elements, which is open, and all inside it."""
+        while True:
+            node = stack.pop()
+            open_tags[node.tag] -= 1
+            if node.tag in names:
                 return
 
-    m = TAG.search(page)
-    while m:
-        piece = page[at : m.start()]
-        parts.append(piece)
-        links += len(piece) if anchors else 0
-        at = m.end()
-        closing, tag, rest = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
-        if tag in ("br", "wbr"):
+    reader, place = tags(page), None
+    while True:
+        try:
+            start, end, closing, tag, rest = reader.send(place)
+        except StopIteration:
+            break
+        place = None
+        if not mute:
+            if start > at:
+                parts.append(page[at:start])
+                links += start - at if anchors else 0
+        at = end
+        if not tag:
+            continue
+        if mute and (tag in INLINE or tag == "a"):
+            mute[1] += (-1 if closing else 1) if tag == mute[0] else 0
+            if not mute[1]:
+                mute = []
+        elif tag in ("br", "wbr"):
             parts.append(" ")
-        elif tag == "a":
-            anchors = 0 if closing else 1
-        elif tag and tag not in INLINE:
-            yield from flush()
-            anchors = 0
+        elif tag in INLINE or tag == "a":
+            if tag == "a":
+                anchors = 0 if closing else 1
+            low = rest.lower() if rest and not closing and tag not in VOID else ""
+            if ("hid" in low or "none" in low) and _hidden(_names(rest)):
+                mute = [tag, 1]
+        else:
+            flush()
+            anchors, mute = 0, []
             if closing:
-                pop([tag], stop=())
+                if open_tags[tag]:
+                    pop([tag])
             elif tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = place = m.end() if m else len(page)
             else:
-                pop(CLOSES.get(tag, ["p"]) if tag in CLOSES else ["p"])
-                articles, noise, named = stack[-1][2:] if stack else ((), False, ())
-                articles = (*articles, at) if tag in ARTICLE else articles
-                names = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
-                words = " ".join(names.get(k, "") for k in ("class", "id", "role"))
-                by_name = tag == "form" or bool(words and NOISE.search(words) and tag not in (*ARTICLE, "body", "html"))
-                by_name = by_name or not articles and bool(HEADER.search(words)) and tag not in ("body", "html")
-                named = (*named, at) if by_name else named
-                noise = noise or tag in NEVER or not articles and tag == "header"
-                noise = noise or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-                if not rest.endswith("/") and tag != "hr":
-                    stack.append((tag, f"{tag}.{words}" if words.strip() else tag, articles, noise, named))
-        m = TAG.search(page, at)
-    parts.append(page[at:])
-    yield from flush()
-
-
-def spared(found: list[tuple]) -> list[tuple]:
-    """The blocks without those in a noise element by name or form, unless it holds the article or most of the text."""
-    unlinked = [max(0, len(text) - links) for _, _, _, text, links, _ in found]
-    of_article: dict[int, int] = defaultdict(int)
-    of_named: dict[int, int] = defaultdict(int)
-    above: dict[int, set[int]] = {}  # the named elements around an article
-    within: set[int] = set()  # the named elements in an article
-    for (_, articles, _, _, _, named), n in zip(found, unlinked, strict=True):
-        for a in articles:
-            of_article[a] += n
-            above[a] = {x for x in named if x < a}  # numbers rise inwards
-        for x in named:
-            of_named[x] += n
-            if articles and x > articles[0]:
-                within.add(x)
-    total, in_articles = sum(unlinked), sum(n for b, n in zip(found, unlinked, strict=True) if b[1])
-    # beside an article, most of the text may still be an advert
-    kept = {x for x, n in of_named.items() if n > MOST_TEXT * total and (not in_articles or x in within)}
-    kept |= {x for a, n in of_article.items() if n and n >= LEAST_SHARE * in_articles for x in above[a]}
-    return [b for b in found if kept.issuperset(b[5])] or (found if total else [])
+                if stack[-1].ends:
+                    closes = CLOSES.get(tag, ["p"])
+                    if stack[-1].ends & sum(_BIT[t] for t in closes):
+                        pop(closes)
+                top = stack[-1]
+                names = _names(rest) if rest else {}
+                label = " ".join(names.get(k, "") for k in ("class", "id", "role")).strip() if names else ""
+                article = end if tag in ARTICLE else top.article
+                named = _furniture(tag, label, bool(article))
+                key = (top.path, tag, label)
+                if key not in numbers:
+                    numbers[key] = len(parents)
+                    parents.append(top.path)
+                noise = top.noise or tag in NEVER or tag == "header" and not article or bool(names) and _hidden(names)
+                below = 0 if tag in ARTICLE else top.names_in + named
+                if not rest.endswith("/") and tag not in VOID:
+                    ends = 0 if tag in SCOPES else top.ends | _BIT.get(tag, 0)
+                    stack.append(Node(tag, numbers[key], noise, top.names + named, article, below, ends))
+                    open_tags[tag] += 1
+    if not mute:
+        parts.append(page[at:])
+    flush()
+    return Page(blocks, parents)
+
+
+def _names(rest: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
+
+
+def _hidden(names: dict[str, str]) -> bool:
+    return "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
 
 
 def content(page: str) -> str:
     """The main text of a page."""
-    found = spared([b for b in blocks(page) if not b[2]])
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])  # characters, marks, links, blocks
-    inside: dict[tuple, bool] = {}
-    for path, articles, _, text, links, _ in found:
-        for k, x in enumerate((len(text), len(MARK.findall(text)), min(links, len(text)), 1)):
-            sums[path][k] += x
-        inside[path] = bool(articles)
+    found = read(page)
+    blocks = [b for b in found.blocks if not b.node.noise]
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])  # characters, marks, links, blocks
+    of: dict[int, Node] = {}
+    for b in blocks:
+        of_path, n = sums[b.node.path], len(b.text)
+        of_path[0] += n
+        of_path[1] += len(MARK.findall(b.text))
+        of_path[2] += min(b.links, n)
+        of_path[3] += 1
+        of[b.node.path] = b.node
     if not sums:
         return ""
     ratios = {p: (c / n, m / n) for p, (c, m, _, n) in sums.items()}
-    families: dict[tuple, list[tuple]] = defaultdict(list)
+    families: dict[int, list[int]] = defaultdict(list)
     for p in sums:
-        families[p[:-1]].append(p)
+        families[found.parents[p]].append(p)
     fused = {}
     for family in families.values():
         for k, p in enumerate(family):
-            near = [ratios[family[j]] for j in (k - 1, k, k, k + 1) if 0 <= j < len(family)]
-            text, marks = (sum(x) / len(near) for x in zip(*near, strict=True))
-            fused[p] = text * (1 + marks) * (1 - sums[p][2] / sums[p][0]) * (ARTICLE_WEIGHT if inside[p] else 1)
+            text, marks = ratios[p]
+            if len(family) > 1:
+                near = [ratios[family[j]] for j in (k - 1, k, k, k + 1) if 0 <= j < len(family)]
+                text, marks = (sum(x) / len(near) for x in zip(*near, strict=True))
+            weight = (ARTICLE_WEIGHT if of[p].article else 1) * NAME_WEIGHT ** min(of[p].names, 20)
+            fused[p] = text * (1 + marks) * (1 - sums[p][2] / sums[p][0]) * weight
     best = max(fused, key=lambda p: fused[p])
-    linked = {p for p in sums if not inside[p] and sums[p][2] > MOST_LINKS * sums[p][0]}
-
-    def beside(p):
-        return inside[p] if inside[best] else p[: len(best) - 1] == best[:-1]
-
-    keep = {p for p in sums if p == best or p not in linked and (fused[p] >= LEAST_SHARE * fused[best] and inside[p] == inside[best] or beside(p))}
-    return "\n".join(text for path, _, _, text, *_ in found if path in keep)
+    linked = {p for p in sums if sums[p][2] > MOST_LINKS * sums[p][0]}
+    carried = {p for p in sums if p not in linked and fused[p] >= LEAST_SHARE * fused[best] > 0}
+    if not of[best].article:
+        if not fused[best]:
+            return ""
+        family = {p for p in families[found.parents[best]] if p not in linked and of[p].names <= of[best].names}
+        return "\n".join(b.text for b in blocks if b.node.path in family or b.node.path in carried)
+    # the article element that holds most of the best path's text
+    text_in: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        if b.node.path == best:
+            text_in[b.node.article] += len(b.text)
+    main = max(text_in, key=lambda a: text_in[a])
+    level = min(b.node.names_in for b in blocks if b.node.path == best)
+    carried = {p for p in carried if of[p].article}
+    keep = (b.node.article == main and b.node.names_in <= level or b.node.path in carried for b in blocks)
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.tag_paths import blocks
+from tidecast.llm.tag_paths import read as read_page
 from tidecast.session import fresh_path, materialise
 
 VERSION = "WARC/1.1"
@@ -48,20 +48,25 @@ FIELDS = {
     "content_length": "Content-Length",
 }
 RESULT = ", ".join(f"{k} {'long' if k == 'content_length' else 'string'}" for k in FIELDS) + ", block string"
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>(.*?)(?=</a|<a\b|\Z)""", re.I | re.S)
-MARKUP = re.compile(r"<[^>]*>")
+#: A tag, looked for up to the next "<" only, and never twice over the same characters.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*+)([^<>]*+)>")
+TITLE_END = re.compile(r"</title", re.I)
+HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+MARKUP = re.compile(r"<[^<>]*+>")
 UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-ROWS = 200
+ROWS, DATES = 200, 10**9
 
 
 def responses(pages: DataFrame) -> DataFrame:
     """Pages as WARC responses; id, date and HTTP header follow from the row."""
     body = F.coalesce("html", F.lit(""))
-    name = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url"))
+    # nulls are told from empty texts, and rows that differ in their page only have ids of their own
+    name = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col("page_id").cast("string"), F.col("url"), F.md5(body))]))
     parts = [F.substring(name, *x) for x in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # ids count seconds, over and over within ``DATES``, so that any of them gives a date
+    seconds = F.lit(1_700_000_000) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(DATES))
+    when = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return pages.select(
         F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">")).alias("record_id"),
         F.col("url").alias("target_uri"),
@@ -79,6 +84,26 @@ def _words(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def title_and_links(seen: str) -> tuple[str | None, list[dict]]:
+    """The first title, and every link with its text, in one pass. A link ends at the next one."""
+    title, untitled, links, at = None, True, [], None
+    for m in TAG.finditer(seen):
+        closing, tag, rest = m[1], m[2].lower(), m[3]
+        if tag == "title" and not closing and untitled:
+            end, untitled = TITLE_END.search(seen, m.end()), False
+            title = _words(seen[m.end() : end.start()]) if end else None
+        elif tag == "a":
+            if at is not None:
+                links[-1]["text"] = _words(MARKUP.sub(" ", seen[at : m.start()]))
+            href, at = None if closing else HREF.search(rest), None
+            if href:
+                links.append({"url": html.unescape(href[1] or href[2] or href[3] or ""), "text": ""})
+                at = m.end()
+    if at is not None:
+        links[-1]["text"] = _words(MARKUP.sub(" ", seen[at:]))
+    return title, links
+
+
 def derive(record_id: str, target_uri: str | None, date: str, http_header: str, body: str) -> list[dict]:
     """The two records of a response."""
     payload = body.encode()
@@ -93,16 +118,15 @@ def derive(record_id: str, target_uri: str | None, date: str, http_header: str,
     }
     status, *lines = http_header.strip().split("\r\n")
     seen = UNSEEN.sub("", body)
-    title = TITLE.search(seen)
-    links = [{"url": html.unescape(a or b or c), "text": _words(MARKUP.sub(" ", t))} for a, b, c, t in LINK.findall(seen)]
+    title, links = title_and_links(seen)
     about = {
         "envelope": {k: v for k, v in source.items() if v is not None},
         "http": {"status": status, "headers": dict(x.split(": ", 1) for x in lines if ": " in x)},
-        "html": {"title": _words(title[1]) if title else None, "links": links},
+        "html": {"title": title, "links": links},
     }
     texts = {
         "metadata": ("application/json", json.dumps(about, ensure_ascii=False)),
-        "conversion": ("text/plain; charset=utf-8", "\n".join(b[3] for b in blocks(body))),
+        "conversion": ("text/plain; charset=utf-8", "\n".join(b.text for b in read_page(body).blocks)),
     }
     return [
         {
