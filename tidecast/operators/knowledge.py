@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doc_id(*parts: Column) -> Column:
@@ -95,6 +103,63 @@ def retrieve(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rn).where(F.col("rank") <= k).select("query", "id", "rank", "score")
 
 
+# -- inverted-file index --------------------------------------------------------------------
+
+
+def cell_centres(docs: DataFrame, cells: int, sample: int = 100_000, seed: int = 5) -> np.ndarray:
+    """Unit vectors of ``cells`` cells at most: k-means on the ``sample`` documents with the least
+    hashes of their id. The sample bounds the fit only; every document is put into a cell."""
+    some = docs.select("id", "embedding").where(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(sample)
+    e = F.col("embedding")
+    length = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    some = some.select(array_to_vector(F.transform(e, lambda x: x / F.nullif(length, F.lit(0.0)))).alias("features")).where(length > 0)
+    kinds = some.distinct().limit(cells).count()
+    if kinds < 2:
+        return np.array([v["features"].toArray() for v in some.limit(1).collect()])
+    centres = np.array(KMeans(k=kinds, seed=seed, maxIter=10).fit(some).clusterCenters())
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+
+def with_cells(df: DataFrame, vector: str, centres: np.ndarray, nearest: int = 1) -> DataFrame:
+    """Adds ``cells``: numbers of the nearest cells by cosine, nearest first, in Arrow batches. Rows
+    whose vector is null or of another length go to cell 0."""
+    n, place = min(nearest, max(1, len(centres))), df.columns.index(vector)
+    out = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column(place)
+            near = np.zeros((b.num_rows, n), np.int32)
+            fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), centres.shape[1] if len(centres) else -1), False)
+            good = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+            if len(good):
+                rows = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(good), -1)
+                near[good] = np.argsort(-(np.nan_to_num(rows) @ centres.T), axis=1, kind="stable")[:, :n]
+            cells = pa.array(near.tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, "cells"])
+
+    return df.mapInArrow(work, out)
+
+
+def build_index(docs: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """Writes id, label, embedding and cell, in folders by cell, so that a probe reads its cells only."""
+    spread = F.pmod(F.xxhash64("id"), F.lit(16))  # a crowded cell is written by several tasks
+    index = with_cells(docs.select("id", "label", "embedding"), "embedding", centres).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+    index.repartition("cell", spread).write.partitionBy("cell").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def probe(index: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, cells: int | None = None) -> DataFrame:
+    """Top ``k`` documents per query from the ``cells`` cells nearest to it, ranked by their exact
+    scores; all cells (None) give the exact result of :func:`retrieve`."""
+    if cells is None:
+        return retrieve(index, queries, k)
+    q = with_cells(queries, "vector", centres, cells)
+    q = q.withColumn("cell", F.explode("cells"))
+    place = lambda df: df.withColumn("label", F.struct("label", F.col("cell").cast("int").alias("cell"))).drop("cell")
+    return retrieve(place(index), place(q.drop("cells")), k)
+
+
 def mean_vectors(docs: DataFrame) -> DataFrame:
     """Mean embedding per label: as many rows as there are labels."""
     p = docs.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -5,7 +5,7 @@ Ledger rows: run_date, entity, date, hour, shift, pred, actual, mode and flags.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,27 @@ def quality(raw: DataFrame, important=("entity", "date", "pred")) -> DataFrame:
     return q.withColumn("usable", (F.col("rows") > 10) & (F.col("missing") < F.col("rows") * 0.5))
 
 
+class UnusableLedger(ValueError):
+    """The loaded ledger lacks too much to be used."""
+
+
+def load_checked(raw: DataFrame, columns: dict, path: str, important=("entity", "date", "pred"), strict: bool = True) -> tuple[DataFrame, bool]:
+    """Loads a delivered ledger into ``path`` and judges it by what the one pass over it counted.
+
+    Rows and missing cells are observed on the rows as delivered, while they are written. With
+    ``strict`` an unusable ledger raises after the write, and nothing points to the folder.
+    """
+    missing = sum((F.col(c).isNull().cast("int") for c in important), F.lit(0))
+    seen = Observation()
+    counted = raw.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing"))
+    load(counted, columns).write.parquet(path)
+    rows, lacking = seen.get["rows"], seen.get["missing"]
+    usable = rows > 10 and lacking < rows * 0.5
+    if strict and not usable:
+        raise UnusableLedger(f"{lacking} missing cells in {rows} rows")
+    return raw.sparkSession.read.parquet(path), usable
+
+
 def _slot(shift: Column, hour: Column) -> Column:
     """Which kind of fact a row is compared with: a shift, an hour or the day."""
     return (

@@ -147,9 +147,17 @@ def pairs(
     )
 
 
+#: Letters behind the common beginning of all names by which a date's rows are counted.
+CELL_LETTERS = 3
+
+
 def split_pairs(examples: DataFrame, share: float) -> DataFrame:
-    """Chronological train/eval flag. The cut is found on counts per start date (bounded by
-    the calendar); only the rows of the cut date itself are ordered."""
+    """Chronological train/eval flag, entities in order within a date.
+
+    The cut date is found on counts per start date (bounded by the calendar). Its rows are then
+    counted by the first letters in which its entities differ, and the place of the cut among these
+    counts is known; only rows with the same letters are ordered, side by side with others.
+    """
     counts = examples.groupBy("forecast_start").agg(F.count("*").alias("k"))
     w = W.orderBy("forecast_start")
     c = counts.withColumns({"upto": F.sum("k").over(w), "total": F.sum("k").over(W.partitionBy())})
@@ -158,9 +166,19 @@ def split_pairs(examples: DataFrame, share: float) -> DataFrame:
     c = c.select("forecast_start", (cut - (F.col("upto") - F.col("k"))).alias("take"), "k")
     j = examples.join(F.broadcast(c), "forecast_start")
     whole = j.where("take <= 0 or take >= k").withColumn("part", F.when(F.col("take") <= 0, "eval").otherwise("train"))
-    rn = F.row_number().over(W.partitionBy("forecast_start").orderBy("entity"))
-    edge = j.where("take > 0 and take < k").withColumn("rn", rn).withColumn("part", F.when(F.col("rn") <= F.col("take"), "train").otherwise("eval")).drop("rn")
-    return whole.unionByName(edge).drop("take", "k")
+    edge = j.where("take > 0 and take < k")
+    # what the least and the greatest name have in common, all names have
+    ends = edge.agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
+    same = F.sequence(F.lit(1), F.greatest(F.length("a"), F.lit(1)))
+    common = F.size(F.filter(same, lambda i: F.substring(F.col("a"), F.lit(1), i) == F.substring(F.col("b"), F.lit(1), i)))
+    edge = edge.withColumn("__skip", ends.select(F.coalesce(common, F.lit(0))).scalar())
+    edge = edge.withColumn("__cell", F.substring(F.col("entity"), F.lit(1), F.col("__skip") + CELL_LETTERS))
+    cells = edge.groupBy("__cell").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+    cells = cells.select("__cell", before.alias("__before"))  # a row per cell
+    rn = F.col("__before") + F.row_number().over(W.partitionBy("__cell").orderBy("entity"))
+    edge = edge.join(cells, "__cell").withColumn("part", F.when(rn <= F.col("take"), "train").otherwise("eval"))
+    return whole.unionByName(edge.select(*whole.columns)).drop("take", "k")
 
 
 def evaluate_answers(truth: DataFrame, answers: DataFrame) -> DataFrame:

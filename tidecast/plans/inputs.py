@@ -19,6 +19,8 @@ from tidecast.session import materialise
 AS_OF = "2001-08-01"
 #: Buckets of stored facts, for the size of the test tables.
 BUCKETS = 16
+#: Cells of the vector index, and how many of them a query looks into.
+CELLS, PROBED = 24, 8
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

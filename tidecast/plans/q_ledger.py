@@ -352,8 +352,8 @@ def src_ledger_load(spark, sf):
         "shift", F.col("pred").cast("string").alias("pred"), F.col("actual").cast("string").alias("actual"),
     )
     cols = {"shift": "string", "pred": "double", "actual": "double", "booking_guests": "double"}
-    usable = L.quality(raw).select("usable").scalar()
-    return L.load(raw, cols).withColumn("usable", usable)
+    out, usable = L.load_checked(raw, cols, fresh_path(spark, "ledger-load"), strict=False)
+    return out.withColumn("usable", F.lit(usable))
 
 
 @query(

@@ -8,9 +8,9 @@ from tidecast.operators import learn as N
 from tidecast.plans import inputs as I
 from tidecast.plans.q_ledger import NOW, ledger, plan_rows
 from tidecast.plans.q_profile import rounded
-from tidecast.plans.registry import cte, query, with_
+from tidecast.plans.registry import ORACLES, cte, query, with_
 from tidecast.session import fresh_path
-from tidecast.streaming import jobs
+from tidecast.streaming import jobs, state
 
 
 def _events(spark, sf):
@@ -114,5 +114,17 @@ def st_bias(spark, sf):
     N.errors(ledger(spark, sf)).select("entity", "date", "error").repartition(6).write.parquet(staged)
     out = fresh_path(spark, "stream-bias")
     stream = jobs.file_stream(spark, staged, spark.read.parquet(staged).schema, files_per_batch=2)
+    # files come in any order, so nothing may be late here
+    state.track(stream, out, f"{out}-checkpoint", delay="5000 days")
+    return rounded(state.newest(spark, out).drop("closed"), "bias", n=6)
+
+
+@query("st_bias_parts", ORACLES["st_bias"])
+def st_bias_parts(spark, sf):
+    """The same bias, folded from sums that each batch writes."""
+    staged = fresh_path(spark, "staged-errors")
+    N.errors(ledger(spark, sf)).select("entity", "date", "error").repartition(6).write.parquet(staged)
+    out = fresh_path(spark, "stream-bias")
+    stream = jobs.file_stream(spark, staged, spark.read.parquet(staged).schema, files_per_batch=2)
     jobs.track_bias(stream, out, f"{out}-checkpoint")
     return rounded(jobs.newest_bias(spark, out), "bias", n=6)

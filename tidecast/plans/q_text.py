@@ -16,6 +16,7 @@ from tidecast.plans.q_ledger import ledger
 from tidecast.plans.q_profile import _ratios, rounded
 from tidecast.plans.q_sources import month_dedup
 from tidecast.plans.registry import cte, query, with_
+from tidecast.session import fresh_path
 
 # -- macro ------------------------------------------------------------------------------
 
@@ -288,17 +289,37 @@ def kb_learn(spark, sf):
     return _flat(B.upsert(old, B.learn(ledger(spark, sf), I.AS_OF)))
 
 
-@query(
-    "kb_retrieve",
-    """WITH m AS (SELECT label, list(x ORDER BY pos) AS vector FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label)
+_NEAREST = """WITH m AS (SELECT label, list(x ORDER BY pos) AS vector FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label)
     SELECT label AS query, vec_id AS id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY s DESC, vec_id) AS rank, s AS score FROM (
-      SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], m.vector) AS s FROM embeddings e JOIN m ON m.label = e.label) e) WHERE rank <= 5""",
-)
+      SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], m.vector) AS s FROM embeddings e JOIN m ON m.label = e.label) e) WHERE rank <= 5"""
+
+
+@query("kb_retrieve", _NEAREST)
 def kb_retrieve(spark, sf):
     d = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     return rounded(B.retrieve(d, B.mean_vectors(d), 5), "score", n=5)
 
 
+def _indexed(spark, sf):
+    d = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    centres = B.cell_centres(d, I.CELLS)
+    return B.build_index(d, centres, fresh_path(spark, "cells")), B.mean_vectors(d), centres
+
+
+@query("kb_retrieve_cells", _NEAREST)
+def kb_retrieve_cells(spark, sf):
+    """The exact mode of the index: all cells probed."""
+    index, queries, centres = _indexed(spark, sf)
+    return rounded(B.probe(index, queries, 5, centres), "score", n=5)
+
+
+@query("kb_retrieve_near")
+def kb_retrieve_near(spark, sf):
+    """The nearest cells of each query only; its recall is measured in the tests."""
+    index, queries, centres = _indexed(spark, sf)
+    return rounded(B.probe(index, queries, 5, centres, I.PROBED), "score", n=5)
+
+
 # -- example pairs ---------------------------------------------------------------------------------
 
 
