@@ -125,18 +125,17 @@ def with_weekday(df: DataFrame) -> DataFrame:
     return df.withColumn("weekday", F.date_format("date", "EEEE"))
 
 
-def shift_daily(txn: DataFrame) -> DataFrame:
-    """Per entity, date and shift with the day's outlier flag and weight; OTHER left out."""
-    return (
+def shift_daily(txn: DataFrame, tagged_day: DataFrame) -> DataFrame:
+    """Per entity, date and shift with the day's outlier flag and weight; OTHER left out. The flags
+    meet the sums, not the transactions."""
+    sums = (
         txn.withColumn("shift", shift_of(F.col("hour")))
         .where(F.col("shift") != "OTHER")
         .groupBy("entity", "date", "shift")
-        .agg(
-            F.sum("guests").alias("guests"),
-            F.max("is_outlier_day").alias("is_outlier_day"),
-            F.min("outlier_weight").alias("outlier_weight"),
-        )
+        .agg(F.sum("guests").alias("guests"))
     )
+    flags = tagged_day.select("entity", "date", "is_outlier_day", "outlier_weight")
+    return sums.join(flags, ["entity", "date"], "left").fillna({"is_outlier_day": 0, "outlier_weight": 1.0})
 
 
 def guest_facts(txn: DataFrame, by_shift: bool = False) -> DataFrame:

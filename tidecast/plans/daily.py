@@ -39,9 +39,15 @@ class Inputs:
     closed_windows: DataFrame | None = None  # entity, from_date, to_date: no facts to learn from
 
 
+def known_at(inp: Inputs, today: str) -> Inputs:
+    """The inputs as of that day: no later transaction is seen, whatever the tables hold."""
+    return replace(inp, txn=inp.txn.where(F.col("date") <= F.lit(today).cast("date")))
+
+
 def forecast_rows(inp: Inputs, today: str, days: int = 30) -> DataFrame:
     """Forecasts of the next ``days`` days for every entity that is not excluded: by shift, and
     those of the ensemble by day (no shift) where the route calls a date long."""
+    inp = known_at(inp, today)
     if inp.closed_windows is not None:
         inp = replace(inp, txn=horizon.exclude_windows(inp.txn, inp.closed_windows))
     start = str(dt.date.fromisoformat(today) + dt.timedelta(days=1))
@@ -97,7 +103,7 @@ def _ensemble(inp: Inputs, day: DataFrame, prof: DataFrame, rows: DataFrame, cal
     d = d.join(means, ["entity", "wd"], "left").join(split, ["entity", "wd"], "left")
     # a model without a value for an entity takes no part in its blend
     wanted = rows.select("entity", "date")
-    for name, f in (("seasonal", D.seasonal_forecast(day, wanted)), ("neural", D.global_forecast(day, cal, wanted))):
+    for name, f in (("seasonal", D.seasonal_forecast(day, wanted, cal)), ("neural", D.global_forecast(day, cal, wanted))):
         d = d.join(f.select("entity", "date", F.col("forecast").alias(name)), ["entity", "date"], "left")
     d = d.withColumn("ai", F.col("mean_7d")).drop("wd")
     if inp.booking is not None:
@@ -125,6 +131,7 @@ def _new_entities(inp: Inputs, day: DataFrame, rows: DataFrame) -> DataFrame:
 
 def run(inp: Inputs, today: str, days: int = 30) -> DataFrame:
     """New ledger: actuals filled, the run's rows merged in, one mode and one row per slot."""
+    inp = known_at(inp, today)
     new = forecast_rows(inp, today, days).select(
         F.lit(today).cast("date").alias("run_date"), "entity", "date", F.lit(None).cast("int").alias("hour"), "shift",
         F.col("forecast").alias("pred"), F.lit(None).cast("double").alias("actual"),

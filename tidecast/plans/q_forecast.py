@@ -12,7 +12,7 @@ from tidecast.operators import metrics as M
 from tidecast.plans import inputs as I
 from tidecast.plans.q_facts import item_facts
 from tidecast.plans.q_ledger import ledger
-from tidecast.plans.q_profile import H_START, closed_dates, hz, rounded, tagged_txn
+from tidecast.plans.q_profile import H_START, closed_dates, hz, rounded, shift_flags
 from tidecast.plans.q_sources import month_derived
 from tidecast.plans.registry import cte, query, with_
 
@@ -290,7 +290,7 @@ def fc_features_shift(spark, sf):
 
 
 def shift_features(spark, sf):
-    s = facts.shift_daily(tagged_txn(spark, sf))
+    s = shift_flags(spark, sf)
     return X.shift_frame(s, I.calendar(spark, sf), facts.booking_day(I.booking(spark, sf)))
 
 
@@ -375,7 +375,7 @@ def fc_lag_fallback(spark, sf):
     ),
 )
 def fc_sample_weight(spark, sf):
-    s = facts.shift_daily(tagged_txn(spark, sf)).withColumn("is_weekend", (F.weekday("date") >= 5).cast("int"))
+    s = shift_flags(spark, sf).withColumn("is_weekend", (F.weekday("date") >= 5).cast("int"))
     return P.sample_weight(s).groupBy(F.round("sample_weight", 4).alias("sample_weight")).agg(F.count("*").alias("n"))
 
 

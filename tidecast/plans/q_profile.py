@@ -410,9 +410,10 @@ cte(
 )
 
 
-def tagged_txn(spark, sf):
+def shift_flags(spark, sf):
+    """Shift facts with the flags of their days."""
     t = I.txn(spark, sf)
-    return profile.tag_txn(t, profile.outliers(facts.daily(t)))
+    return facts.shift_daily(t, profile.outliers(facts.daily(t)))
 
 
 @query(
@@ -420,7 +421,7 @@ def tagged_txn(spark, sf):
     with_("SELECT entity, CAST(date AS VARCHAR) AS date, shift, guests, is_outlier_day, outlier_weight FROM shift_flag", "shift_flag"),
 )
 def agg_shift(spark, sf):
-    return facts.shift_daily(tagged_txn(spark, sf))
+    return shift_flags(spark, sf)
 
 
 _RECENT = "date >= DATE '2001-08-01' - 90"
