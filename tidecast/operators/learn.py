@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecast import rules
 from tidecast.functions.stats import clip, is_weekend, ratio
 from tidecast.operators.metrics import hit_strict, metrics_segment, segment, valid_pairs, with_errors
 
@@ -278,15 +279,17 @@ def segment_step(rows: DataFrame, old: DataFrame, entity_state: DataFrame, min_r
         (F.avg(F.abs("error") / F.col("actual")) * 100).alias("nm"), F.avg(hit_strict().cast("double")).alias("nh"),
     ).where(F.col("n") >= min_rows)
     big = F.col("segment").endswith("LARGE")
-    obs = obs.withColumn("of", F.when(big, clip(F.col("r"), 0.75, 1.45)).otherwise(clip(F.col("r"), 0.85, 1.25))).drop("r")
+    obs = obs.withColumn("of", F.when(big, clip(F.col("r"), *rules.SEGMENT_FACTOR_LARGE)).otherwise(clip(F.col("r"), *rules.SEGMENT_FACTOR))).drop("r")
     a = entity_state.select("entity", alpha_of(F.col("last_mape")).alias("a"))
     j = old.join(obs, ["entity", "segment"], "full").join(a, "entity", "left")
     al = F.coalesce("a", F.lit(0.2))
     news = F.col("n").isNotNull()
     bias = _smooth(F.col("ob"), F.col("bias"), al)
     j = j.withColumn("__b", bias)
-    direction = F.when(F.col("__b") > 2, "CONSISTENT_OVER").when(F.col("__b") < -2, "CONSISTENT_UNDER").otherwise("MIXED")
-    conf = F.least(F.lit(0.95), F.greatest(F.lit(0.30), F.coalesce("confidence", F.lit(0.45)) + 0.03))
+    most = rules.DIRECTION_BIAS
+    direction = F.when(F.col("__b") > most, "CONSISTENT_OVER").when(F.col("__b") < -most, "CONSISTENT_UNDER").otherwise("MIXED")
+    c = rules.SEGMENT_CONFIDENCE
+    conf = clip(F.coalesce("confidence", F.lit(c["start"])) + c["step"], c["least"], c["most"])
     return j.select(
         "entity", "segment", _smooth(F.col("of"), F.col("factor"), al, 1.0).alias("factor"), F.col("__b").alias("bias"),
         F.when(news, direction).otherwise(F.col("direction")).alias("direction"), F.coalesce("nm", "mape").alias("mape"),
@@ -306,8 +309,9 @@ def empty_segments(df: DataFrame) -> DataFrame:
 def bias_direction(history: Column) -> Column:
     """Direction of the last ten biases; null with fewer than five."""
     h = F.slice(history, F.greatest(F.size(history) - 9, F.lit(1)), 10)
-    return F.when(F.size(h) >= 5, F.when(F.forall(h, lambda b: b > 2), "CONSISTENT_OVER")
-                  .when(F.forall(h, lambda b: b < -2), "CONSISTENT_UNDER").otherwise("MIXED"))
+    most = rules.DIRECTION_BIAS
+    return F.when(F.size(h) >= 5, F.when(F.forall(h, lambda b: b > most), "CONSISTENT_OVER")
+                  .when(F.forall(h, lambda b: b < -most), "CONSISTENT_UNDER").otherwise("MIXED"))
 
 
 def escalate(state: DataFrame) -> DataFrame:
@@ -316,15 +320,16 @@ def escalate(state: DataFrame) -> DataFrame:
     five = F.slice(h, F.greatest(F.size(h) - 4, F.lit(1)), 5)
     m = F.coalesce("last_mape", F.lit(0.0))
     cf = F.col("correction_factor")
-    step = F.when(m > 50, 0.02).otherwise(0.01)
-    off = F.abs(cf - 1.0) > 0.01
-    over, under = F.forall(five, lambda b: b > 2), F.forall(five, lambda b: b < -2)
+    (large, small), (fast, slow), most = rules.ESCALATE_STEPS, rules.ESCALATE_BACK, rules.DIRECTION_BIAS
+    step = F.when(m > rules.ESCALATE_MAPE, large).otherwise(small)
+    off = F.abs(cf - 1.0) > rules.ESCALATE_OFF
+    over, under = F.forall(five, lambda b: b > most), F.forall(five, lambda b: b < -most)
     first = (
         F.when(F.size(h) < 5, cf)
-        .when(m <= TARGET, F.when(off, cf + (1 - cf) * 0.10).otherwise(cf))
+        .when(m <= TARGET, F.when(off, cf + (1 - cf) * fast).otherwise(cf))
         .when(over, F.greatest(F.lit(1 - MAX_CORRECTION), cf - step))
         .when(under, F.least(F.lit(1 + MAX_CORRECTION), cf + step))
-        .otherwise(F.when(off, cf + (1 - cf) * 0.05).otherwise(cf))
+        .otherwise(F.when(off, cf + (1 - cf) * slow).otherwise(cf))
     )
     s = state.withColumn("correction_factor", first)
     q = F.col("mape_history")
@@ -332,17 +337,18 @@ def escalate(state: DataFrame) -> DataFrame:
     mean3 = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / 3
     recent, older = mean3(F.slice(q, n - 2, 3)), mean3(F.slice(q, n - 5, 3))
     cf = F.col("correction_factor")
-    decayed = F.when(F.abs(cf - 1.0) > 0.005, cf + (1 - cf) * 0.05).otherwise(cf)
-    good = F.when(F.abs(cf - 1.0) > 0.01, cf + (1 - cf) * 0.10).otherwise(cf)
+    rule = rules.STAGNATION
+    decayed = F.when(F.abs(cf - 1.0) > rule["off"], cf + (1 - cf) * rule["back"]).otherwise(cf)
+    good = F.when(F.abs(cf - 1.0) > rules.ESCALATE_OFF, cf + (1 - cf) * fast).otherwise(cf)
     level = F.coalesce("escalation_level", F.lit(0))
     three = F.slice(h, F.greatest(F.size(h) - 2, F.lit(1)), 3)
     mixed = (F.size(h) >= 3) & ~(F.forall(three, lambda b: b > 0) | F.forall(three, lambda b: b < 0))
-    better = recent < older * 0.97
-    flat = F.abs(recent - older) / F.greatest(older, F.lit(1.0)) < 0.03
-    up = F.least(F.lit(2), level + 1)
+    better = recent < older * rule["better"]
+    flat = F.abs(recent - older) / F.greatest(older, F.lit(1.0)) < rule["flat"]
+    up = F.least(F.lit(rule["top"]), level + 1)
     b = F.col("overall_bias")
-    pushed = F.when(b > 0, decayed - up * 0.005).when(b < 0, decayed + up * 0.005)
-    active = n >= 10
+    pushed = F.when(b > 0, decayed - up * rule["push"]).when(b < 0, decayed + up * rule["push"])
+    active = n >= rule["runs"]
     case = (
         F.when(~active, "none").when(m <= TARGET, "good").when(better, "better").when(mixed, "mixed").when(flat, "flat").otherwise("rest")
     )
@@ -667,7 +673,7 @@ def settle(segments: DataFrame, decisions: DataFrame) -> DataFrame:
             "factor": F.when(back, F.col("before_factor")).otherwise(F.col("factor")),
             "bias": F.when(back, F.col("before_bias")).otherwise(F.col("bias")),
             "validated": F.coalesce(ok, F.lit(False)) | F.col("validated"),
-            "confidence": F.when(ok, F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")),
+            "confidence": F.when(ok, F.least(F.lit(1.0), F.col("confidence") + rules.SEGMENT_CONFIDENCE["confirmed"])).otherwise(F.col("confidence")),
         }
     ).drop("before_factor", "before_bias")
 

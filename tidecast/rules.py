@@ -118,3 +118,21 @@ VERDICT_STEPS = {"mae": (-0.5, -0.1, 1.0, 0.3), "wmape": (-3, -1, 5, 2), "hit_ra
 # Grades 5 to 2 of a run by wmape at most and by hit rate at least, and their names.
 GRADE_WMAPE = (15, 25, 35, 50)
 GRADE_HIT_RATE = (75, 60, 45, 30)
+
+# Learned segment factors, limits for large and other segments; confidence of a segment
+# (least, most, at the start, gain of a step, gain of a confirmed one); bias from which on a direction counts.
+SEGMENT_FACTOR_LARGE = (0.75, 1.45)
+SEGMENT_FACTOR = (0.85, 1.25)
+SEGMENT_CONFIDENCE = {"least": 0.30, "most": 0.95, "start": 0.45, "step": 0.03, "confirmed": 0.1}
+DIRECTION_BIAS = 2
+
+# Escalation of the correction factor (mape from which steps are large, large and small
+# step, distance from 1 that counts, shares of the way back to 1 on target and otherwise).
+ESCALATE_MAPE = 50
+ESCALATE_STEPS = (0.02, 0.01)
+ESCALATE_OFF = 0.01
+ESCALATE_BACK = (0.10, 0.05)
+
+# Stagnation rule (distance from 1 that counts, share of the way back, mape below this
+# share of the older one is better, within this share is flat, push per level, runs it needs, top level).
+STAGNATION = {"off": 0.005, "back": 0.05, "better": 0.97, "flat": 0.03, "push": 0.005, "runs": 10, "top": 2}
