@@ -20,7 +20,7 @@ therefore encoded once per worker and remembered, which gives the tokenizer's id
 its time. Texts that hold a special token, or white space before a blank, go to it undivided.
 
 A null text is an empty one: it has the end id alone. Null ids come first. Rows that share an id
-are ordered by text. Extra columns are ignored. An empty table gives no shards and no rows.
+are ordered by a hash of their text. Extra columns are ignored. An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
