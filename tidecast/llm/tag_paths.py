@@ -165,8 +165,9 @@ def _furniture(tag: str, label: str, in_article: bool) -> bool:
     return False
 
 
-def read(page: str) -> Page:
-    """All blocks of a page, those of furniture too."""
+def read(page: str, judge: bool = True) -> Page:
+    """All blocks of a page, those of furniture too. Without ``judge`` attributes are not looked at:
+    the text is the same but for hidden pieces within a line, which stay."""
     stack = [ROOT]
     blocks: list[Block] = []
     parents, numbers = [0], {}
@@ -217,7 +218,7 @@ def read(page: str) -> Page:
         elif tag in INLINE or tag == "a":
             if tag == "a":
                 anchors = 0 if closing else 1
-            low = rest.lower() if rest and not closing and tag not in VOID else ""
+            low = rest.lower() if rest and judge and not closing and tag not in VOID else ""
             if ("hid" in low or "none" in low) and _hidden(_names(rest)):
                 mute = [tag, 1]
         else:
@@ -235,10 +236,10 @@ def read(page: str) -> Page:
                     if stack[-1].ends & sum(_BIT[t] for t in closes):
                         pop(closes)
                 top = stack[-1]
-                names = _names(rest) if rest else {}
+                names = _names(rest) if rest and judge else {}
                 label = " ".join(names.get(k, "") for k in ("class", "id", "role")).strip() if names else ""
                 article = end if tag in ARTICLE else top.article
-                named = _furniture(tag, label, bool(article))
+                named = judge and _furniture(tag, label, bool(article))
                 key = (top.path, tag, label)
                 if key not in numbers:
                     numbers[key] = len(parents)

@@ -126,7 +126,7 @@ def derive(record_id: str, target_uri: str | None, date: str, http_header: str,
     }
     texts = {
         "metadata": ("application/json", json.dumps(about, ensure_ascii=False)),
-        "conversion": ("text/plain; charset=utf-8", "\n".join(b.text for b in read_page(body).blocks)),
+        "conversion": ("text/plain; charset=utf-8", "\n".join(b.text for b in read_page(body, judge=False).blocks)),
     }
     return [
         {
