@@ -15,7 +15,7 @@ from tidecast.plans import inputs as I
 from tidecast.plans.q_facts import item_facts
 from tidecast.plans.q_profile import rounded
 from tidecast.plans.registry import cte, query, with_
-from tidecast.session import fresh_path
+from tidecast.session import fresh_path, parts
 from tidecast.sources import readers, sinks
 
 NOW = "2001-06-01"
@@ -131,9 +131,10 @@ def jn_guest_actuals(spark, sf):
 
 
 def item_ledger(spark, sf):
+    n, keys = parts(I.items(spark, sf)), ["entity", "date", "shift", "item"]
     s = item_facts(spark, sf, by_shift=True)
     led = s.select("entity", F.date_add("date", 7).alias("date"), "shift", "item", F.col("quantity").alias("pred"))
-    return L.fill_item_actuals(led, s, NOW)
+    return L.fill_item_actuals(led.repartition(n, *keys), s.repartition(n, *keys), NOW)
 
 
 cte(
