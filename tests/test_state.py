@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from tidecast.session import fresh_path
@@ -67,3 +68,50 @@ def test_an_idle_entity_leaves_the_state(spark):
     again = [("A", D0 + dt.timedelta(days=62), 10.0)]
     got = run(spark, [rows, *later, again], "1 day", idle_days=20)
     assert got["A"].days == 1 and got["A"].bias == pytest.approx(3.0)
+
+
+class Calls:
+    """Stands for the handle and its one value; counts what would be sent to the state store."""
+
+    def __init__(self):
+        self.n, self.value = 0, None
+
+    def getValueState(self, name, schema):
+        return self
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.n += 1
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def containsKey(self, key):
+        self.n += 1
+        return False
+
+    def updateValue(self, key, value):
+        self.n += 1
+
+    def iterator(self):
+        return iter(())
+
+
+def test_calls_to_the_state_do_not_grow_with_the_days():
+    def calls(days):
+        got, p = Calls(), state.BiasProcessor(0.3, 400)
+        p.init(got)
+        for k in range(2):
+            part = pd.DataFrame({"day": range(k * days, (k + 1) * days), "error": [1.0] * days})
+            list(p.handleInputRows(("A",), iter([part]), None))
+        return got.n
+
+    assert calls(300) == calls(3)

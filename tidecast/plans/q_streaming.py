@@ -9,7 +9,7 @@ from tidecast.plans import inputs as I
 from tidecast.plans.q_ledger import NOW, ledger, plan_rows
 from tidecast.plans.q_profile import rounded
 from tidecast.plans.registry import ORACLES, cte, query, with_
-from tidecast.session import fresh_path
+from tidecast.session import fresh_path, parts
 from tidecast.streaming import jobs, state
 
 
@@ -101,6 +101,15 @@ def st_actuals(spark, sf):
     return led.join(real, ["entity", "date", "slot"], "left").select("entity", "date", "shift", "pred", known)
 
 
+def _staged_errors(spark, sf, batches=3):
+    """Errors as a stream of three batches, in files whose number grows with the orders."""
+    staged = fresh_path(spark, "staged-errors")
+    each = -(-parts(I.table(spark, sf, "orders")) // batches)
+    # dealt out at random, so that days are split between files and between batches
+    N.errors(ledger(spark, sf)).select("entity", "date", "error").repartition(batches * each).write.parquet(staged)
+    return jobs.file_stream(spark, staged, spark.read.parquet(staged).schema, files_per_batch=each)
+
+
 @query(
     "st_bias",
     with_(
@@ -109,11 +118,8 @@ def st_actuals(spark, sf):
     ),
 )
 def st_bias(spark, sf):
-    staged = fresh_path(spark, "staged-errors")
-    # dealt out at random, so that days are split between files and between batches
-    N.errors(ledger(spark, sf)).select("entity", "date", "error").repartition(6).write.parquet(staged)
     out = fresh_path(spark, "stream-bias")
-    stream = jobs.file_stream(spark, staged, spark.read.parquet(staged).schema, files_per_batch=2)
+    stream = _staged_errors(spark, sf)
     # files come in any order, so nothing may be late here
     state.track(stream, out, f"{out}-checkpoint", delay="5000 days")
     return rounded(state.newest(spark, out).drop("closed"), "bias", n=6)
@@ -122,9 +128,7 @@ def st_bias(spark, sf):
 @query("st_bias_parts", ORACLES["st_bias"])
 def st_bias_parts(spark, sf):
     """The same bias, folded from sums that each batch writes."""
-    staged = fresh_path(spark, "staged-errors")
-    N.errors(ledger(spark, sf)).select("entity", "date", "error").repartition(6).write.parquet(staged)
     out = fresh_path(spark, "stream-bias")
-    stream = jobs.file_stream(spark, staged, spark.read.parquet(staged).schema, files_per_batch=2)
+    stream = _staged_errors(spark, sf)
     jobs.track_bias(stream, out, f"{out}-checkpoint")
     return rounded(jobs.newest_bias(spark, out), "bias", n=6)
