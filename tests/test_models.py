@@ -127,3 +127,21 @@ def test_halving_finds_the_winner_of_the_full_grid(spark):
     assert win == [i for i, r in half.items() if r.best] == [1]
     assert [half[i].folds for i in range(4)].count(1) == 2 and half[1].folds == 3
     assert half[1].mae == pytest.approx(full[1].mae)
+
+
+def test_sums_of_the_autoregression_equal_its_rows(spark):
+    """Entities that begin and end anywhere: the sums by date are those of a row per day and entity."""
+    rng = random.Random(6)
+    rows = [(e, D0 + dt.timedelta(days=k), rng.uniform(0, 3), n) for e, (a, n) in {"A": (0, 60), "B": (9, 33), "C": (40, 14), "D": (3, 15)}.items() for k in range(a, a + n)]
+    df = spark.createDataFrame(rows, "entity string, date date, y double, n long")
+    got = D.ar_gram(D.ar_moments(df).withColumn("one", F.lit(1.0)).withColumn("t", F.unix_date("date") / 1e4), ["one", "t"]).first()
+    x, y = [], []
+    for e in "ABCD":
+        s = [(r[1], r[2]) for r in rows if r[0] == e]
+        for k in range(D.LAGS, len(s)):
+            x.append([s[k - i][1] for i in range(1, D.LAGS + 1)] + [1.0, (s[k][0] - dt.date(1970, 1, 1)).days / 1e4])
+            y.append(s[k][1])
+    x, y = np.array(x), np.array(y)
+    m = np.array(got["m"], float)
+    assert got["n"] == len(y) == 46 + 19 + 0 + 1
+    assert np.allclose(m[:, :-1], x.T @ x) and np.allclose(m[:, -1], x.T @ y)
