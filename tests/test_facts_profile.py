@@ -112,3 +112,14 @@ def test_no_cell_is_crowded_by_outliers_and_heavy_tails(spark):
         assert np.allclose([r.q1, r.m, r.q9], np.quantile(sets[r.k], [0.25, 0.5, 0.9]), rtol=1e-12)
     for r in stats.deal_out(df, ["k"], "v", 128).groupBy("k", "__cell").count().collect():
         assert r["count"] <= 0.03 * len(np.unique(sets[r.k])) + 2
+
+
+def test_entity_impacts_make_the_holiday_ratios_once(spark, monkeypatch):
+    from tidecast.plans import catalog
+    from tidecast.plans import q_profile as Q
+
+    made, paths = [], Q._ratios
+    monkeypatch.setattr(Q, "_ratios", lambda *a: made.append(paths(*a)) or made[-1])
+    out = catalog.QUERIES["cal_holiday_per_entity"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "percentile(" not in plan and not out.isEmpty()
