@@ -44,3 +44,11 @@ def test_pruned_fit_learns_from_the_rows_of_the_first(spark, monkeypatch):
     got = models.gbt_forecast(df, df, cols, None)
     assert made == [cols]
     assert got.where("abs(forecast - guests) > 3").isEmpty()
+
+
+def test_large_fits_run_one_after_another(spark, monkeypatch):
+    df = spark.range(4000)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for factor, want in ((1, 4), (2, 2), (9, 1)):
+        monkeypatch.setattr(models, "parts", lambda d, f=factor: n * f)
+        assert models.side_by_side(df) == want
